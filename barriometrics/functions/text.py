@@ -13,6 +13,7 @@ FEATURE_PATTERNS = {
     "garages": r"(\d+)\s?coch\.?",
 }
 EXPENSES_PATTERN = r"(\d{1,3}(?:\.\d{3})*)"
+ROOMS_IN_TEXT = r"(10|[1-9])(?: amb|amb| dor|dorm|  ambientes)"
 RENTAL_PREFIX = "Departamento en Alquiler en"
 CITY = "Capital Federal"
 
@@ -111,11 +112,9 @@ def price_number_literal(text: Column) -> Column:
 
 
 def rooms_in_text(description: Column) -> Column:
-    """Smallest number 1..10 that the text names as rooms."""
-    options = [
-        F.when(description.rlike(f"{i}( amb|amb| dor|dorm|  ambientes)"), F.lit(float(i))) for i in range(1, 11)
-    ]
-    return F.coalesce(*options)
+    """Smallest number 1..10 that stands right before a word for rooms, found in one pass."""
+    named = F.regexp_extract_all(description, F.lit(ROOMS_IN_TEXT), 1)
+    return F.array_min(F.transform(named, lambda x: x.cast("double")))
 
 
 def rooms_from_area(area: Column) -> Column:

@@ -12,7 +12,8 @@ from barriometrics.operators.lookups import attach
 from barriometrics.operators.order_stats import quantiles
 from barriometrics.operators.snapshots import change_counts, code_presence
 
-PRICE_M2 = F.try_divide(F.col("price"), F.col("total_area"))
+def price_m2() -> Column:
+    return F.try_divide(F.col("price"), F.col("total_area"))
 
 
 def _price_summary(prefix: str, suffix: str) -> list[Column]:
@@ -84,7 +85,7 @@ def averages_by_rooms(df: DataFrame) -> DataFrame:
         .groupBy("neighborhood", "room_category")
         .agg(
             F.sum("price").alias("p"), F.count("price").alias("pn"),
-            F.sum(PRICE_M2).alias("m"), F.count(PRICE_M2).alias("mn"),
+            F.sum(price_m2()).alias("m"), F.count(price_m2()).alias("mn"),
         )
     )
     sets = [[F.col("neighborhood"), F.col("room_category")], [F.col("room_category")]]

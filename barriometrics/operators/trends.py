@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barriometrics.operators.lookups import attach
-from barriometrics.operators.metrics import PRICE_M2
+from barriometrics.operators.metrics import price_m2
 from barriometrics.operators.order_stats import order_statistics, quantiles
 from barriometrics.operators.snapshots import change_counts, code_presence
 
@@ -28,7 +28,7 @@ def share_pct(part: Column, whole: Column) -> Column:
 
 def price_part(old: DataFrame, new: DataFrame) -> DataFrame:
     """Counts and mean prices of both snapshots in one aggregate."""
-    cols = [KEY, "price", PRICE_M2.alias("m2")]
+    cols = [KEY, "price", price_m2().alias("m2")]
     both = old.select(*cols, F.lit(False).alias("is_new")).unionByName(new.select(*cols, F.lit(True).alias("is_new")))
     is_new = F.col("is_new")
     folded = both.groupBy(KEY).agg(
@@ -164,8 +164,8 @@ def competitive_position(old: DataFrame, new: DataFrame) -> DataFrame:
     entry = F.struct((-F.col("n_new")).alias("order"), F.col(KEY).alias("name"), F.col("avg_price_new").alias("price"))
     ranked = largest.agg(F.array_sort(F.collect_list(entry)))
     own = F.col("avg_price_new")
-    others = F.slice(F.filter("ranked", lambda s: s.name != F.col(KEY)), 1, 3)
-    mean = F.aggregate(others, F.lit(0.0), lambda acc, s: acc + s.price) / F.size(others)
+    others = F.slice(F.filter("ranked", lambda s: s["name"] != F.col(KEY)), 1, 3)
+    mean = F.aggregate(others, F.lit(0.0), lambda acc, s: acc + s["price"]) / F.size(others)
     compared = parts.select(KEY, own, ranked.scalar().alias("ranked")).select(
         KEY, own, F.when(F.size(others) > 0, mean).otherwise(own).alias("avg_price_competitors")
     )
@@ -189,7 +189,7 @@ def cheapest_quarter(new: DataFrame) -> DataFrame:
 
     The quarter's last value is an exact order statistic; the mean then is a plain aggregate.
     """
-    rows = new.select(KEY, PRICE_M2.alias("m2"))
+    rows = new.select(KEY, price_m2().alias("m2"))
     edge = order_statistics(rows, F.col("m2"), {"edge": lambda n: F.floor(n * 0.25)}, [KEY])
     edge = edge.withColumn("k", F.floor(F.col("n") * 0.25)).drop("n")
     below = F.col("m2") < F.col("edge")
@@ -224,7 +224,7 @@ def availability(old: DataFrame, new: DataFrame, code: str = "code") -> DataFram
 def best_deals(new: DataFrame) -> DataFrame:
     """Listings up to the neighbourhood's first price quartile against its mean."""
     quartile = quantiles(new, F.col("price"), {"price_threshold": 0.25}, [KEY]).drop("n")
-    rows = attach(new.select(KEY, "price", PRICE_M2.alias("m2")), quartile, [KEY], "inner")
+    rows = attach(new.select(KEY, "price", price_m2().alias("m2")), quartile, [KEY], "inner")
     deal = F.col("price") <= F.col("price_threshold")
     folded = rows.groupBy(KEY).agg(
         F.max("price_threshold").alias("price_threshold"),

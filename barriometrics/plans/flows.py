@@ -62,16 +62,16 @@ def report_listings(
     """One portal Z RAW snapshot to report listings: outliers out, names mapped by the short table.
 
     ``map_first`` drops unmapped names before the outlier rules instead of after them.
-    ``literal_prices`` loses dollar prices, as the older reports did.
+    ``literal_prices`` loses dollar prices, as the older reports did. The result is written once,
+    since every report figure reads it again.
     """
     if literal_prices:
         raw = raw.filter(~F.startswith("price", F.lit("USD ")))
     cleaned = clean_stg(staging.stage_z(raw, usd_rate), literal_prices)
-
-    def mapped(df: DataFrame) -> DataFrame:
-        return neighborhoods.drop_unmapped(neighborhoods.map_neighborhood(df, long_aliases=False))
-
-    return without_outliers(mapped(cleaned)) if map_first else mapped(without_outliers(cleaned))
+    mapped = neighborhoods.map_neighborhood(cleaned, long_aliases=False)
+    if map_first:
+        return materialise(without_outliers(neighborhoods.drop_unmapped(mapped)))
+    return materialise(neighborhoods.drop_unmapped(without_outliers(mapped)))
 
 
 def stock_listings(stock: DataFrame, usd_rate: float = 1225.0) -> DataFrame:
