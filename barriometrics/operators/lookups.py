@@ -11,17 +11,24 @@ SALTS = 64
 
 
 def attach(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "left", broadcast_rows: int = BROADCAST_ROWS
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "left",
+    broadcast_rows: int = BROADCAST_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Join ``small`` (unique on ``on``) to ``big`` without gathering a hot key in one task.
 
     ``small`` is written out and counted first. Up to ``broadcast_rows`` rows it is broadcast, so
     ``big`` is not shuffled at all. Beyond that both sides are hashed on the key plus a salt taken
-    from the map partition of ``big``, and ``small`` is repeated once per salt.
+    from the map partition of ``big``, and ``small`` is repeated once per salt. ``stored`` says that
+    ``small`` already is a written table.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    small = materialise(small)
+    if not stored:
+        small = materialise(small, "lookup")
     if small.count() <= broadcast_rows:
         return big.join(F.broadcast(small), on, how)
     salted_big = big.withColumn("_salt", F.spark_partition_id() % SALTS)

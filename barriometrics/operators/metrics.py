@@ -16,13 +16,14 @@ def price_m2() -> Column:
     return F.try_divide(F.col("price"), F.col("total_area"))
 
 
-def _price_summary(prefix: str, suffix: str) -> list[Column]:
-    whole = lambda c: c.cast("bigint")  # noqa: E731 - truncates, as the reports do
+def _price_summary(suffix: str, whole: bool) -> list[Column]:
+    """Count and mean, minimum and maximum price; ``whole`` truncates the prices."""
+    shown = lambda c: c.cast("bigint") if whole else c
     return [
-        F.count("*").alias(f"{prefix}total_properties{suffix}"),
-        whole(F.avg("price")).alias(f"{prefix}average_price{suffix}"),
-        whole(F.min("price")).alias(f"{prefix}min_price{suffix}"),
-        whole(F.max("price")).alias(f"{prefix}max_price{suffix}"),
+        F.count("*").alias(f"total_properties{suffix}"),
+        shown(F.avg("price")).alias(f"average_price{suffix}"),
+        shown(F.min("price")).alias(f"min_price{suffix}"),
+        shown(F.max("price")).alias(f"max_price{suffix}"),
     ]
 
 
@@ -32,12 +33,17 @@ def kpi_city(df: DataFrame) -> DataFrame:
 
 def kpi_neighborhood(df: DataFrame) -> DataFrame:
     """Count and truncated mean, minimum and maximum price; all 19 names, zeros where empty."""
-    stats = df.groupBy("neighborhood").agg(*_price_summary("", "_neighborhood"))
+    stats = df.groupBy("neighborhood").agg(*_price_summary("_neighborhood", whole=True))
     return dims.valid_neighborhoods(df.sparkSession).join(stats, "neighborhood", "left").na.fill(0)
 
 
+def price_summary(df: DataFrame) -> DataFrame:
+    """Untruncated neighbourhood figures, as the single-request report prints them."""
+    return df.groupBy("neighborhood").agg(*_price_summary("_neighborhood", whole=False))
+
+
 def kpi_neighborhood_rooms(df: DataFrame) -> DataFrame:
-    return df.groupBy("neighborhood", "rooms").agg(*_price_summary("", "_amb_neighborhood"))
+    return df.groupBy("neighborhood", "rooms").agg(*_price_summary("_amb_neighborhood", whole=False))
 
 
 def kpi_report(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -168,9 +174,8 @@ def density_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     x = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("x"), s.alias("s"))
     width = (F.col("s.hi") - F.col("s.lo")) / bins
     position = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("s.lo"), width)), F.lit(0))
-    binned = x.select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "s")
-    counts = binned.groupBy("bin").agg(F.count("*").alias("n"), F.first("s").alias("s"))
-    return counts.select(
+    counts = x.groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select("*", s.alias("s")).select(
         "bin",
         (F.col("s.lo") + F.col("bin") * width).alias("lower_edge"),
         "n",

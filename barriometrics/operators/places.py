@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barriometrics import dims
 from barriometrics.functions.geo import cell_index, haversine_m
 from barriometrics.operators.lookups import attach
+from barriometrics.session import materialise
 
 METRES_PER_DEGREE = 111_194.9
 HOT_CELL_ROWS = 100_000
@@ -70,6 +71,7 @@ def near(requests: DataFrame, places: DataFrame, radius_m: float = 500.0) -> Dat
         placed.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CELL_ROWS)
         .select(*cell, F.ceil(F.col("n") / HOT_CELL_ROWS).cast("int").alias("salts"))
     )
+    hot = materialise(hot, "hot-cells")
     half = F.lit(size * 1.001)
     # Half width of the box in degrees of longitude, at its edge nearest to the pole.
     half_lon = F.least(half / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + half, F.lit(89.9)))), F.lit(1e-3)), F.lit(180.0))
@@ -82,8 +84,8 @@ def near(requests: DataFrame, places: DataFrame, radius_m: float = 500.0) -> Dat
         ).alias("cell_lon"),
     ).drop("_half")
     salts = F.coalesce("salts", F.lit(1))
-    placed = attach(placed, hot, cell).withColumn("salt", F.pmod(F.xxhash64("place_lat", "place_lon"), salts).cast("int")).drop("salts")
-    covering = attach(covering, hot, cell).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    placed = attach(placed, hot, cell, stored=True).withColumn("salt", F.pmod(F.xxhash64("place_lat", "place_lon"), salts).cast("int")).drop("salts")
+    covering = attach(covering, hot, cell, stored=True).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     return (
         covering.join(placed, [*cell, "salt"])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from barriometrics.operators.metrics import kpi_city, kpi_neighborhood_rooms
+from barriometrics import dims
+from barriometrics.operators.lookups import attach
+from barriometrics.operators.metrics import kpi_city, kpi_neighborhood_rooms, price_summary
 from barriometrics.operators.models import predict_ohe
 from barriometrics.operators.places import grouped_places, near_counts
 from barriometrics.operators.snapshots import change_counts, code_presence
-from barriometrics import dims
 
 
 def area_bounds(requests: DataFrame) -> DataFrame:
@@ -35,16 +36,6 @@ def rent_range(requests: DataFrame, model: PipelineModel) -> DataFrame:
     return scored.groupBy("request_id").agg(at("min").alias("rent_result_min"), at("max").alias("rent_result_max"))
 
 
-def neighborhood_prices(new: DataFrame) -> DataFrame:
-    """Untruncated neighbourhood prices, as the single-request report prints them."""
-    return new.groupBy("neighborhood").agg(
-        F.count("*").alias("total_properties_neighborhood"),
-        F.avg("price").alias("average_price_neighborhood"),
-        F.min("price").alias("min_price_neighborhood"),
-        F.max("price").alias("max_price_neighborhood"),
-    )
-
-
 def answer_requests(
     requests: DataFrame, old: DataFrame, new: DataFrame, places: DataFrame | None = None, model: PipelineModel | None = None
 ) -> DataFrame:
@@ -58,19 +49,17 @@ def answer_requests(
         F.col("new_rows").alias("new_properties_since_last_report_neighborhood"),
         F.col("removed_rows").alias("removed_properties_since_last_report_neighborhood"),
     )
-    answer = (
-        requests.withColumn("rooms", F.col("rooms").cast("double"))
-        .join(neighborhood_prices(new), "neighborhood", "left")
-        .join(local, "neighborhood", "left")
-        .join(kpi_neighborhood_rooms(new), ["neighborhood", "rooms"], "left")
-        .select(
-            "*",
-            kpi_city(new).scalar().alias("total_properties"),
-            city["new_rows"].alias("new_properties_since_last_report"),
-            city["removed_rows"].alias("removed_properties_since_last_report"),
-        )
-        .na.fill(0, ["total_properties_neighborhood", "total_properties_amb_neighborhood"])
-    )
+    # One row per neighbourhood, and per neighbourhood and room number: checked, then broadcast, so
+    # requests are not shuffled on their few neighbourhoods.
+    figures = price_summary(new).join(local, "neighborhood", "left")
+    answer = attach(requests.withColumn("rooms", F.col("rooms").cast("double")), figures, ["neighborhood"])
+    answer = attach(answer, kpi_neighborhood_rooms(new), ["neighborhood", "rooms"])
+    answer = answer.select(
+        "*",
+        kpi_city(new).scalar().alias("total_properties"),
+        city["new_rows"].alias("new_properties_since_last_report"),
+        city["removed_rows"].alias("removed_properties_since_last_report"),
+    ).na.fill(0, ["total_properties_neighborhood", "total_properties_amb_neighborhood"])
     if places is not None:
         counts = near_counts(requests.select("request_id", "lat", "lon"), grouped_places(places), "place_group")
         nearby = counts.groupBy("request_id").agg(

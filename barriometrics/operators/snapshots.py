@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barriometrics.operators.lookups import attach
+
 
 def snapshot_date(path: Column) -> Column:
     """Date of a file named ``..._DDMMYYYY.csv``."""
@@ -20,12 +22,13 @@ def snapshot_month(path: Column) -> Column:
 def latest_snapshots(df: DataFrame, n: int, source: str = "source", date: str = "snapshot_date") -> DataFrame:
     """Rows of the newest ``n`` snapshots of each source.
 
-    Dates are ranked on the distinct (source, date) pairs, a table as small as the list of files,
-    and its join back prunes date partitions at run time.
+    Dates are ranked on the distinct (source, date) pairs, a table as small as the list of files.
+    Joined back by broadcast it prunes date folders at run time, and rows are not shuffled on the
+    few dates.
     """
     dates = df.select(source, date).dropna().distinct()
     newest = dates.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(F.desc(date))))
-    return df.join(newest.filter(F.col("_rank") <= n).drop("_rank"), [source, date], "left_semi")
+    return attach(df, newest.filter(F.col("_rank") <= n).drop("_rank"), [source, date], "left_semi")
 
 
 def code_presence(old: DataFrame, new: DataFrame, code: str = "code", by: Sequence[str] = ()) -> DataFrame:

@@ -570,3 +570,21 @@ done AS (SELECT p.*, mapped FROM p JOIN b2 ON total_area BETWEEN lo AND hi JOIN
 def report_listings(spark, sf):
     rows = flows.report_listings(dt.raw_z(spark, sf), USD_RATE)
     return rows.select("zonaprop_code", "neighborhood", "price", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")
+
+
+_BOTH = ", both_ AS (SELECT * EXCLUDE (zonaprop_code) FROM stg_z UNION ALL BY NAME SELECT * EXCLUDE (argenprop_code) FROM stg_a)" + _STUDIO.replace("FROM stg_z)", "FROM both_)")
+
+
+@query(
+    "training_table",
+    _BOTH + f""", ages(neighborhood, age) AS (VALUES {_AGES}),
+    clean AS (SELECT neighborhood AS written, TRY_CAST(regexp_replace(price, '\\.(\\d{{3}})', '\\1', 'g') AS DOUBLE) AS price, total_area, rooms, bedrooms, bathrooms, coalesce(garages, 0) AS garages,
+      coalesce(ceil(coalesce(antiquity, avg(antiquity) OVER (PARTITION BY neighborhood))), age, 50)::DOUBLE AS antiquity FROM bathed LEFT JOIN ages USING (neighborhood)),
+    m AS (SELECT clean.*, names.neighborhood FROM clean JOIN names ON raw_neighborhood = written WHERE names.neighborhood <> 'OTRO' AND price > 1000 AND total_area > 10), b1 AS ({_FENCE.format(c='price', t='m')}),
+    p AS (SELECT m.* FROM m, b1 WHERE price BETWEEN lo AND hi), b2 AS ({_FENCE.format(c='total_area', t='p')})
+    SELECT neighborhood, price, total_area, rooms, bedrooms, bathrooms, garages, antiquity FROM p, b2 WHERE total_area BETWEEN lo AND hi""",
+    ("stg_z", "stg_a"),
+)
+def training_table(spark, sf):
+    table = flows.training_table(_stg_z(spark, sf), staging.stage_a(dt.raw_a(spark, sf), USD_RATE))
+    return table.select("neighborhood", "price", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")

@@ -58,12 +58,12 @@ def kpi_neighborhood(spark, sf):
 
 @query(
     "kpi_neighborhood_rooms",
-    """SELECT neighborhood, rooms, count(*) AS total_properties_amb_neighborhood, CAST(trunc(avg(price)) AS BIGINT) AS average_price_amb_neighborhood,
-    CAST(trunc(min(price)) AS BIGINT) AS min_price_amb_neighborhood, CAST(trunc(max(price)) AS BIGINT) AS max_price_amb_neighborhood FROM news GROUP BY 1, 2""",
+    """SELECT neighborhood, rooms, count(*) AS total_properties_amb_neighborhood, round(avg(price), 1) AS average_price_amb_neighborhood,
+    min(price) AS min_price_amb_neighborhood, max(price) AS max_price_amb_neighborhood FROM news GROUP BY 1, 2""",
     ("facts", "snaps"),
 )
 def kpi_neighborhood_rooms(spark, sf):
-    return metrics.kpi_neighborhood_rooms(_new(spark, sf))
+    return rounded(metrics.kpi_neighborhood_rooms(_new(spark, sf)), 1, "average_price_amb_neighborhood")
 
 
 @query("kpi_report", _KPI.format(news="news") + _REPORT.format(news="news", olds="olds"), ("facts", "snaps"))
@@ -345,7 +345,7 @@ def report_requests(spark, sf):
     """, req AS (SELECT o_orderkey AS request_id, neighborhood, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 3 END::DOUBLE AS rooms,
       CAST(floor(o_totalprice / 10000) AS INT) + 15 AS area_min FROM orders JOIN customer ON o_custkey = c_custkey JOIN names ON c_nationkey = nk),
     k AS (SELECT neighborhood, count(*) AS n, round(avg(price), 1) AS a, min(price) AS lo, max(price) AS hi FROM news GROUP BY 1),
-    kr AS (SELECT neighborhood, rooms, count(*) AS n, CAST(trunc(avg(price)) AS BIGINT) AS a FROM news GROUP BY 1, 2),
+    kr AS (SELECT neighborhood, rooms, count(*) AS n, round(avg(price), 1) AS a FROM news GROUP BY 1, 2),
     nn AS (SELECT neighborhood, count(*) AS c FROM news n WHERE NOT EXISTS (SELECT 1 FROM olds o WHERE o.code = n.code AND o.neighborhood = n.neighborhood) GROUP BY 1)
     SELECT request_id, req.neighborhood, area_min, area_min + 10 AS area_max, (SELECT count(*) FROM news) AS total_properties, coalesce(k.n, 0) AS total_properties_neighborhood,
     k.a AS average_price_neighborhood, k.lo AS min_price_neighborhood, k.hi AS max_price_neighborhood, coalesce(kr.n, 0) AS total_properties_amb_neighborhood, kr.a AS average_price_amb_neighborhood,
@@ -356,7 +356,7 @@ def report_requests(spark, sf):
 def report_request(spark, sf):
     requests = report_requests(spark, sf)
     answers = reports.area_bounds(reports.answer_requests(requests, *dt.old_and_new(spark, sf)))
-    return rounded(answers, 1, "average_price_neighborhood").select(
+    return rounded(answers, 1, "average_price_neighborhood", "average_price_amb_neighborhood").select(
         "request_id", "neighborhood", "area_min", "area_max", "total_properties", "total_properties_neighborhood", "average_price_neighborhood",
         "min_price_neighborhood", "max_price_neighborhood", "total_properties_amb_neighborhood", "average_price_amb_neighborhood",
         "new_properties_since_last_report_neighborhood",
@@ -560,6 +560,53 @@ def market_speed(spark, sf):
     return rounded(trends.market_speed(*dt.old_and_new(spark, sf)), 4, "removal_rate")
 
 
+_MONEY = "'$' || format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+_SHARE = "printf('{f}', round_even({x}, 1)) || '%'"
+
+
+def _money(x: str) -> str:
+    return _MONEY.format(x=x)
+
+
+def _share(x: str, form: str = "%.1f") -> str:
+    return _SHARE.format(f=form, x=x)
+
+
+_VALUES = {
+    ("owner", "price_trend"): _share("price_change", "%+.1f"),
+    ("owner", "competition"): "n_new || ' propiedades'",
+    ("owner", "price_per_m2"): _money("price_m2_new") + " || '/m²'",
+    ("owner", "market_rotation"): _share(_ROT) + " || ' rotación'",
+    ("owner", "top_segment"): "CAST(top_rooms AS INT) || ' ambientes'",
+    ("agent", "market_growth"): _share("growth_rate", "%+.1f"),
+    ("agent", "price_segmentation"): _money("top_price"),
+    ("agent", "competitive_position"): _share("pos", "%+.1f"),
+    ("agent", "inventory"): "n_new || ' unidades'",
+    ("agent", "price_per_m2_trend"): _money("price_m2_new") + " || '/m²'",
+    ("tenant", "timing"): _share("price_change", "%+.1f"),
+    ("tenant", "availability"): "n_new || ' propiedades'",
+    ("tenant", "best_deals"): _money("deals_price"),
+    ("tenant", "property_profile"): "band_n || ' en segmento principal'",
+    ("tenant", "market_speed"): _share(_REM) + " || ' rotación'",
+}
+_TREND_VALUES = _PART + _SEG + _CODES + _BANDED.replace("t AS (", "tot AS (") + """, pairs AS (SELECT x.neighborhood, x.avg_price_new AS own, y.avg_price_new AS other, row_number() OVER (PARTITION BY x.neighborhood ORDER BY y.n_new DESC, y.neighborhood) AS rk
+  FROM part x JOIN part y ON x.neighborhood <> y.neighborhood),
+comp AS (SELECT neighborhood, (any_value(own) - avg(other)) / avg(other) * 100 AS pos FROM pairs WHERE rk <= 3 GROUP BY 1),
+q AS (SELECT neighborhood, quantile_cont(price, 0.25::DOUBLE) AS t FROM news GROUP BY 1),
+deal AS (SELECT neighborhood, avg(price) AS deals_price FROM news JOIN q USING (neighborhood) WHERE price <= t GROUP BY 1),
+top AS (SELECT neighborhood, rooms AS top_rooms, p AS top_price FROM ranked WHERE ranked.k = 1),
+bandtop AS (SELECT neighborhood, n AS band_n FROM k WHERE k.k = 1),
+allv AS (SELECT * FROM chg JOIN comp USING (neighborhood) JOIN deal USING (neighborhood) JOIN top USING (neighborhood) JOIN bandtop USING (neighborhood) JOIN codes USING (neighborhood))
+""" + " UNION ALL ".join(f"SELECT neighborhood, '{who}' AS audience, '{kind}' AS metric_type, {sql} AS value FROM allv" for (who, kind), sql in _VALUES.items())
+
+
+@query("trend_values", _TREND_VALUES, _V)
+def trend_values(spark, sf):
+    """The headline value of all fifteen metrics per neighbourhood, as printed."""
+    rows = trend_texts.trend_rows(trends.trend_facts(*_stored(spark, sf)))
+    return rows.select("neighborhood", "audience", "metric_type", "value")
+
+
 @query("trend_rows")
 def trend_rows(spark, sf):
     """All fifteen metrics of every neighbourhood with their texts."""
