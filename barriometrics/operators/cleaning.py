@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from barriometrics import dims
 from barriometrics.functions import text
@@ -27,8 +28,9 @@ def parse_price_text(df: DataFrame, literal: bool = False) -> DataFrame:
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = NUMERIC_LISTING_COLUMNS) -> DataFrame:
-    """Columns to DOUBLE; text that is no number becomes NULL."""
-    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
+    """Columns to DOUBLE; text that is no number becomes NULL. DOUBLE columns stay untouched."""
+    pending = [c for c in columns if not isinstance(df.schema[c].dataType, DoubleType)]
+    return df.withColumns({c: F.col(c).try_cast("double") for c in pending})
 
 
 def fill_garages_zero(df: DataFrame) -> DataFrame:

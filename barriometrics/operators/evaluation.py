@@ -50,10 +50,15 @@ def with_categories(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
 
 
 def deviation_bins(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
-    """Rows per deviation class and model, empty classes included, in class order."""
-    counts = df.agg(
+    """Rows per deviation class and model, empty classes included, in class order.
+
+    Rows are first folded to the few combinations of classes, so each is classified once per model.
+    """
+    positions = [deviation_position(F.col(f"{m}_deviation")).alias(m) for m in models]
+    folded = df.groupBy(*positions).agg(F.count("*").alias("n"))
+    counts = folded.agg(
         *[
-            F.count_if(deviation_position(F.col(f"{m}_deviation")) == i).alias(f"{m}_{i}")
+            F.coalesce(F.sum(F.when(F.col(m) == i, F.col("n"))), F.lit(0)).alias(f"{m}_{i}")
             for m in models
             for i in range(len(dims.DEVIATION_LABELS))
         ]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barriometrics.dims import constant_table
+from barriometrics.session import materialise
+from barriometrics.sources.readers import spread
 
 # Nation key -> (neighbourhood as a listing writes it, reported neighbourhood).
 NATION_NEIGHBORHOODS = (
@@ -49,10 +51,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, for_texts: bool = False) -> DataFrame:
     """One typed row per line item: the listing that the text views below spell out."""
     names = constant_table(spark, NATION_NEIGHBORHOODS, "s_nationkey, raw_neighborhood, neighborhood")
     items = read(spark, sf_dir, "lineitem")
+    if for_texts:
+        items = spread(items)
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     number = lambda c: F.col(c).cast("double")
     return (
@@ -90,6 +94,12 @@ def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return mapped.filter(~is_new), mapped.filter(is_new)
 
 
+def stored(texts: DataFrame) -> DataFrame:
+    """Texts as a written RAW table, which the flows start from; filters then meet columns, not
+    the expressions that spell the texts."""
+    return materialise(texts, "raw")
+
+
 def _dotted(amount) -> object:
     return F.replace(F.format_number(amount, 0), F.lit(","), F.lit("."))
 
@@ -99,7 +109,7 @@ def raw_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     pesos = F.floor(F.col("price") * 10)
     dollars = F.floor(F.col("price") / 100)
     whole = lambda c: F.col(c).cast("int").cast("string")
-    return facts(spark, sf_dir).select(
+    return facts(spark, sf_dir, for_texts=True).select(
         F.concat(F.lit(f"{SITE_Z}/propiedades/depto-"), "part", F.lit("-"), "code", F.lit(".html")).alias("property_url"),
         F.col("code").alias("zonaprop_code"),
         F.when(F.col("l_returnflag") == "R", F.lit("Consultar precio"))
@@ -131,7 +141,7 @@ def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     pesos = F.floor(F.col("price") * 10)
     dollars = F.floor(F.col("price") / 100)
     whole = lambda c: F.col(c).cast("int").cast("string")
-    return facts(spark, sf_dir).select(
+    return facts(spark, sf_dir, for_texts=True).select(
         F.concat(F.lit(f"{SITE_A}/depto-"), "part", F.lit("--"), "code").alias("property_url"),
         F.col("code").alias("argenprop_code"),
         F.when(F.col("l_returnflag") == "R", F.lit("None None"))
@@ -162,7 +172,7 @@ def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the links of their menu: ``items`` is an array of (href, label)."""
-    pages = read(spark, sf_dir, "pages")
+    pages = spread(read(spark, sf_dir, "pages"))
     link = r'<li><a href="([^"]*)">([^<]*)</a></li>'
     return pages.select(
         "page_id",

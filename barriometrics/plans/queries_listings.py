@@ -568,7 +568,7 @@ done AS (SELECT p.*, mapped FROM p JOIN b2 ON total_area BETWEEN lo AND hi JOIN
     ("stg_z",),
 )
 def report_listings(spark, sf):
-    rows = flows.report_listings(dt.raw_z(spark, sf), USD_RATE)
+    rows = flows.report_listings(dt.stored(dt.raw_z(spark, sf)), USD_RATE)
     return rows.select("zonaprop_code", "neighborhood", "price", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")
 
 
@@ -586,5 +586,7 @@ _BOTH = ", both_ AS (SELECT * EXCLUDE (zonaprop_code) FROM stg_z UNION ALL BY NA
     ("stg_z", "stg_a"),
 )
 def training_table(spark, sf):
-    table = flows.training_table(_stg_z(spark, sf), staging.stage_a(dt.raw_a(spark, sf), USD_RATE))
+    stg_z = staging.stage_z(dt.stored(dt.raw_z(spark, sf)), USD_RATE)
+    stg_a = staging.stage_a(dt.stored(dt.raw_a(spark, sf)), USD_RATE)
+    table = flows.training_table(stg_z, stg_a)
     return table.select("neighborhood", "price", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")

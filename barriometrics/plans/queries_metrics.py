@@ -73,7 +73,7 @@ def kpi_report(spark, sf):
 
 def _cleaned_snapshots(spark, sf):
     """Both RAW snapshots through the report flow, each cleaned on its own."""
-    raw = dt.raw_z(spark, sf)
+    raw = dt.stored(dt.raw_z(spark, sf))
     out = []
     for day in (dt.OLD_SNAPSHOT, dt.NEW_SNAPSHOT):
         rows = raw.filter(F.col("snapshot_date") == F.lit(day).cast("date"))

@@ -8,6 +8,15 @@ from barriometrics import schemas
 from barriometrics.operators.snapshots import snapshot_date
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than cores, dealt out before per-row text work.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_raw_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_Z, with_date: bool = False) -> DataFrame:
     """Snapshot CSV files with header; descriptions may hold line breaks and quotes.
 
