@@ -24,11 +24,11 @@ def closest_valid_name(names: pd.Series) -> pd.Series:
 
 
 def name_mapping(df: DataFrame, column: str, long_aliases: bool = True) -> DataFrame:
-    """``column`` -> ``mapped`` for each distinct name: alias first, then the closest reported name."""
+    """``column`` -> ``_mapped`` for each distinct name: alias first, then the closest reported name."""
     distinct = df.select(column).dropna().distinct().withColumn("alias", F.upper(F.col(column)))
     known = distinct.join(F.broadcast(dims.aliases(df.sparkSession, long_aliases)), "alias", "left")
-    direct = known.filter(F.col("canonical").isNotNull()).select(column, F.col("canonical").alias("mapped"))
-    fuzzy = known.filter(F.col("canonical").isNull()).select(column, closest_valid_name("alias").alias("mapped"))
+    direct = known.filter(F.col("canonical").isNotNull()).select(column, F.col("canonical").alias("_mapped"))
+    fuzzy = known.filter(F.col("canonical").isNull()).select(column, closest_valid_name("alias").alias("_mapped"))
     return direct.unionByName(fuzzy)
 
 
@@ -37,7 +37,7 @@ def map_neighborhood(
 ) -> DataFrame:
     """Adds or replaces ``into``. Python sees each distinct name once; rows meet it by a lookup join."""
     names = name_mapping(df, column, long_aliases)
-    return attach(df, names, [column]).withColumn(into, F.col("mapped")).drop("mapped")
+    return attach(df, names, [column]).withColumn(into, F.col("_mapped")).drop("_mapped")
 
 
 def drop_unmapped(df: DataFrame, column: str = "neighborhood") -> DataFrame:

@@ -45,7 +45,7 @@ def write_trends_json(documents: DataFrame, path: str, month: str) -> str:
 
 def _write_month(rows: DataFrame, path: str, month: str) -> str:
     """The month's folder is replaced as a whole, so names that dropped out do not stay behind."""
-    writer = rows.write.mode("overwrite").partitionBy("neighborhood")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("neighborhood")
     writer.json(f"{path}/month={month}")
     return path
 

@@ -49,7 +49,7 @@ def test_latest_model_by_date(spark, rows, tmp_path):
 
 
 def test_rent_range(spark, rows):
-    model = models.train_ohe(rows, params=QUICK)
+    model = models.train_ohe(rows, params={"maxIter": 10, "maxDepth": 5, "featureSubsetStrategy": "all"})
     requests = spark.createDataFrame([(1, "PALERMO", 2, 1, 5, "20-110")], "request_id int, neighborhood string, rooms int, bedrooms int, antiquity int, total_area string")
     out = reports.rent_range(requests, model).first()
     assert out["rent_result_min"] < out["rent_result_max"]
