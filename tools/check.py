@@ -34,6 +34,11 @@ def canonical(rows, names):
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
+def kinds(rows, names):
+    """The Python types each column holds, to catch a DECIMAL or BIGINT where the other side has DOUBLE."""
+    return {n: {type(row[i]).__name__ for row in rows if row[i] is not None} for i, n in enumerate(names)}
+
+
 def main() -> int:
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
@@ -67,6 +72,9 @@ def main() -> int:
             elif ours != theirs:
                 diff = [(a, b) for a, b in zip(ours, theirs) if a != b][:2]
                 verdict = f"DIFF {len(ours)}/{len(theirs)} {diff}"
+            elif kinds(rows, df.columns) != kinds(expected, names):
+                a, b = kinds(rows, df.columns), kinds(expected, names)
+                verdict = f"TYPES { {n: (a[n], b[n]) for n in a if a[n] != b[n]} }"
             else:
                 verdict = "" if rows else "EMPTY"
             bad += bool(verdict)
