@@ -12,11 +12,6 @@ from barriometrics.operators.lookups import attach
 PAGES_PER_RANGE = 1000
 
 
-def page_listing_ids(cards: DataFrame) -> DataFrame:
-    """The sorted set of listing codes on each page; a page bounds its set."""
-    return cards.groupBy("page_url").agg(F.array_sort(F.collect_set("code")).alias("ids"))
-
-
 def with_previous(df: DataFrame, group: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """``value`` of the row before within ``group`` by the integer ``order``.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from barriometrics import schemas
 
+ROWS_PER_BATCH = 5000
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -157,14 +158,14 @@ def _text(card: dict, name: str) -> str | None:
     return card[name].strip() if name in card else None
 
 
-def read_cards(html: str, portal: str) -> list[dict]:
-    """Cards of one page in page order; none where the page has no result container."""
+def read_cards(html: str, portal: str, need_container: bool = True) -> list[dict]:
+    """Cards of one page in page order; none where the page lacks the result container it needs."""
     layout = LAYOUTS[portal]
     reader = CardReader(layout)
     reader.feed(html or "")
     reader.close()
     rows = []
-    for card in reader.cards if reader.has_container else []:
+    for card in reader.cards if reader.has_container or not need_container else []:
         href = card.get("href")
         url = layout.site + href if href is not None else None
         row = {name: _text(card, name) for name in ("expenses", "address", "location", "description")}
@@ -200,6 +201,22 @@ def extract_cards(pages: DataFrame, portal: str, features_from_first_card: bool
                     if features_from_first_card:
                         card = {**card, "features": cards[0]["features"]}
                     rows.append({**card, "page_url": url, "page_pos": pos})
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return pages.select("url", "html").mapInPandas(scan, schemas.CARD)
+
+
+def page_listing_ids(pages: DataFrame, portal: str = "A") -> DataFrame:
+    """The sorted set of listing codes on each page, read page by page without a shuffle."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [
+                sorted({card["code"] for card in read_cards(html, portal, need_container=False) if card["code"] is not None})
+                for html in batch["html"]
+            ]
+            yield pd.DataFrame({"url": batch["url"], "ids": ids})
+
+    return pages.select("url", "html").mapInPandas(scan, "url STRING, ids ARRAY<STRING>")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from barriometrics.session import materialise
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 SALTS = 64
 
 
@@ -20,8 +21,8 @@ def attach(
 ) -> DataFrame:
     """Join ``small`` (unique on ``on``) to ``big`` without gathering a hot key in one task.
 
-    ``small`` is written out and counted first. Up to ``broadcast_rows`` rows it is broadcast, so
-    ``big`` is not shuffled at all. Beyond that both sides are hashed on the key plus a salt taken
+    ``small`` is written out and measured first. Up to ``broadcast_rows`` rows and 64 MB of text it is
+    broadcast, so ``big`` is not shuffled at all. Beyond that both sides are hashed on the key plus a salt taken
     from the map partition of ``big``, and ``small`` is repeated once per salt. ``stored`` says that
     ``small`` already is a written table.
     """
@@ -29,7 +30,9 @@ def attach(
         raise ValueError(f"unsupported join type {how}")
     if not stored:
         small = materialise(small, "lookup")
-    if small.count() <= broadcast_rows:
+    width = F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))
+    size = small.agg(F.count("*").alias("rows"), F.coalesce(width, F.lit(0)).alias("bytes")).first()
+    if size["rows"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     salted_big = big.withColumn("_salt", F.spark_partition_id() % SALTS)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -10,7 +10,7 @@ from barriometrics import dims
 from barriometrics.functions import text
 from barriometrics.operators.lookups import attach
 from barriometrics.operators.order_stats import quantiles
-from barriometrics.operators.snapshots import change_counts, code_presence
+from barriometrics.operators.snapshots import change_counts, citywide, code_presence
 
 def price_m2() -> Column:
     return F.try_divide(F.col("price"), F.col("total_area"))
@@ -48,9 +48,10 @@ def kpi_neighborhood_rooms(df: DataFrame) -> DataFrame:
 
 def kpi_report(old: DataFrame, new: DataFrame) -> DataFrame:
     """The ten report fields per neighbourhood: city totals, neighbourhood totals, changes."""
-    city = change_counts(code_presence(old, new)).select(F.struct("new_rows", "removed_rows").alias("c")).scalar()
+    presence = code_presence(old, new, by=["neighborhood"])
+    city = change_counts(citywide(presence)).select(F.struct("new_rows", "removed_rows").alias("c")).scalar()
     total = kpi_city(new).scalar()
-    local = change_counts(code_presence(old, new, by=["neighborhood"]), ["neighborhood"]).select(
+    local = change_counts(presence, ["neighborhood"]).select(
         "neighborhood",
         F.col("new_rows").alias("new_properties_since_last_report_neighborhood"),
         F.col("removed_rows").alias("removed_properties_since_last_report_neighborhood"),

@@ -28,7 +28,10 @@ def name_mapping(df: DataFrame, column: str, long_aliases: bool = True) -> DataF
     distinct = df.select(column).dropna().distinct().withColumn("alias", F.upper(F.col(column)))
     known = distinct.join(F.broadcast(dims.aliases(df.sparkSession, long_aliases)), "alias", "left")
     direct = known.filter(F.col("canonical").isNotNull()).select(column, F.col("canonical").alias("_mapped"))
-    fuzzy = known.filter(F.col("canonical").isNull()).select(column, closest_valid_name("alias").alias("_mapped"))
+    # Names are short, so merged shuffle partitions would hand them all to one Python worker.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    unknown = known.filter(F.col("canonical").isNull()).repartition(cores, column)
+    fuzzy = unknown.select(column, closest_valid_name("alias").alias("_mapped"))
     return direct.unionByName(fuzzy)
 
 

@@ -10,7 +10,7 @@ from barriometrics.operators.lookups import attach
 from barriometrics.operators.metrics import kpi_city, kpi_neighborhood_rooms, price_summary
 from barriometrics.operators.models import predict_ohe
 from barriometrics.operators.places import grouped_places, near_counts
-from barriometrics.operators.snapshots import change_counts, code_presence
+from barriometrics.operators.snapshots import change_counts, citywide, code_presence
 
 
 def area_bounds(requests: DataFrame) -> DataFrame:
@@ -43,8 +43,9 @@ def answer_requests(
 
     Requests carry request_id, neighborhood, rooms, bedrooms, antiquity, total_area and lat/lon.
     """
-    city = change_counts(code_presence(old, new)).select(F.struct("new_rows", "removed_rows")).scalar()
-    local = change_counts(code_presence(old, new, by=["neighborhood"]), ["neighborhood"]).select(
+    presence = code_presence(old, new, by=["neighborhood"])
+    city = change_counts(citywide(presence)).select(F.struct("new_rows", "removed_rows").alias("c")).scalar()
+    local = change_counts(presence, ["neighborhood"]).select(
         "neighborhood",
         F.col("new_rows").alias("new_properties_since_last_report_neighborhood"),
         F.col("removed_rows").alias("removed_properties_since_last_report_neighborhood"),

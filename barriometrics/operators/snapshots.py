@@ -40,6 +40,11 @@ def code_presence(old: DataFrame, new: DataFrame, code: str = "code", by: Sequen
     )
 
 
+def citywide(presence: DataFrame, code: str = "code") -> DataFrame:
+    """The presence per code whatever its neighbourhood, from the table per neighbourhood and code."""
+    return presence.groupBy(code).agg(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
+
+
 def change_counts(presence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows and distinct codes that are only in the new or only in the old snapshot."""
     added, gone = F.col("n_old") == 0, F.col("n_new") == 0

@@ -13,6 +13,7 @@ from barriometrics.operators.lookups import attach
 from barriometrics.operators.metrics import price_m2
 from barriometrics.operators.order_stats import order_statistics, quantiles
 from barriometrics.operators.snapshots import change_counts, code_presence
+from barriometrics.session import materialise
 
 KEY = "neighborhood"
 
@@ -113,7 +114,10 @@ def level(value: Column, high: float, middle: float, *names: str) -> Column:
 
 def price_per_m2(old: DataFrame, new: DataFrame) -> DataFrame:
     """Mean price per m² against the city's."""
-    parts = price_part(old, new)
+    return _against_city(price_part(old, new))
+
+
+def _against_city(parts: DataFrame) -> DataFrame:
     city = parts.agg(F.sum("m2_sum") / F.sum("m2_rows")).scalar()
     return parts.select(KEY, F.col("price_m2_new").alias("price_m2"), city.alias("price_m2_city")).withColumn(
         "m2_diff", (F.col("price_m2") - F.col("price_m2_city")) / F.col("price_m2_city") * 100
@@ -155,11 +159,12 @@ def price_segmentation(new: DataFrame) -> DataFrame:
 
 
 def competitive_position(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Mean price against the plain mean over the three largest other neighbourhoods.
+    """Mean price against the plain mean over the three largest other neighbourhoods."""
+    return _against_largest(price_part(old, new))
 
-    Those are among the four largest overall, a four-row scalar that every row filters for itself.
-    """
-    parts = price_part(old, new)
+
+def _against_largest(parts: DataFrame) -> DataFrame:
+    """The three are among the four largest overall, a four-row scalar that every row filters for itself."""
     largest = parts.orderBy(F.desc("n_new"), KEY).limit(4)
     entry = F.struct((-F.col("n_new")).alias("order"), F.col(KEY).alias("name"), F.col("avg_price_new").alias("price"))
     ranked = largest.agg(F.array_sort(F.collect_list(entry)))
@@ -284,15 +289,16 @@ def market_speed(old: DataFrame, new: DataFrame, code: str = "code") -> DataFram
 
 def trend_facts(old: DataFrame, new: DataFrame, code: str = "code") -> DataFrame:
     """All numbers behind the fifteen metrics, one row per neighbourhood."""
-    parts = price_part(old, new).select(
+    parts = materialise(price_part(old, new), "price-part")
+    facts = parts.select(
         "*",
         change_pct(F.col("avg_price_new"), F.col("avg_price_old")).alias("price_change"),
         change_pct(F.col("n_new").cast("double"), F.col("n_old")).alias("growth_rate"),
         change_pct(F.col("price_m2_new"), F.col("price_m2_old")).alias("m2_trend"),
     )
     return (
-        parts.join(price_per_m2(old, new).select(KEY, "price_m2_city", "m2_diff"), KEY)
-        .join(competitive_position(old, new).select(KEY, "avg_price_competitors", "competitive_position"), KEY)
+        facts.join(_against_city(parts).select(KEY, "price_m2_city", "m2_diff"), KEY)
+        .join(_against_largest(parts).select(KEY, "avg_price_competitors", "competitive_position"), KEY)
         .join(segment_part(new).drop("total"), KEY, "left")
         .join(change_part(old, new, code), KEY, "left")
         .join(cheapest_quarter(new), KEY, "left")

@@ -139,12 +139,12 @@ def listing_code_from_url(spark, sf):
 
 @query(
     "page_listing_ids",
-    "SELECT url AS page_url, string_agg(code, ',' ORDER BY code) AS ids, count(*) AS n FROM (SELECT DISTINCT url, CAST(pos + 100 AS VARCHAR) AS code FROM cards) GROUP BY url",
+    "SELECT p.url AS page_url, coalesce(string_agg(code, ',' ORDER BY code), '') AS ids, count(code) AS n FROM pages p LEFT JOIN (SELECT DISTINCT page_id, CAST(pos + 100 AS VARCHAR) AS code FROM cards) c USING (page_id) GROUP BY p.page_id, p.url",
     ("cards",),
 )
 def page_listing_ids(spark, sf):
-    ids = crawl.page_listing_ids(extract.extract_cards(dt.card_pages(spark, sf, "A"), "A"))
-    return ids.select("page_url", F.array_join("ids", ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
+    ids = extract.page_listing_ids(dt.card_pages(spark, sf, "A"))
+    return ids.select(F.col("url").alias("page_url"), F.array_join("ids", ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
 
 
 @query(

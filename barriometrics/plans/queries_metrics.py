@@ -123,9 +123,9 @@ def write_kpi_json(spark, sf):
     ("facts", "snaps"),
 )
 def snapshot_new(spark, sf):
-    old, new = dt.old_and_new(spark, sf)
-    local = snapshots.change_counts(snapshots.code_presence(old, new, by=["neighborhood"]), ["neighborhood"])
-    city = snapshots.change_counts(snapshots.code_presence(old, new)).withColumn("neighborhood", F.lit(None).cast("string"))
+    presence = snapshots.code_presence(*dt.old_and_new(spark, sf), by=["neighborhood"])
+    local = snapshots.change_counts(presence, ["neighborhood"])
+    city = snapshots.change_counts(snapshots.citywide(presence)).withColumn("neighborhood", F.lit(None).cast("string"))
     return local.filter(F.col("new_rows") > 0).unionByName(city).select("neighborhood", "new_rows")
 
 
@@ -136,9 +136,9 @@ def snapshot_new(spark, sf):
     ("facts", "snaps"),
 )
 def snapshot_removed(spark, sf):
-    old, new = dt.old_and_new(spark, sf)
-    local = snapshots.change_counts(snapshots.code_presence(old, new, by=["neighborhood"]), ["neighborhood"])
-    city = snapshots.change_counts(snapshots.code_presence(old, new)).withColumn("neighborhood", F.lit(None).cast("string"))
+    presence = snapshots.code_presence(*dt.old_and_new(spark, sf), by=["neighborhood"])
+    local = snapshots.change_counts(presence, ["neighborhood"])
+    city = snapshots.change_counts(snapshots.citywide(presence)).withColumn("neighborhood", F.lit(None).cast("string"))
     return local.filter(F.col("removed_rows") > 0).unionByName(city).select("neighborhood", "removed_rows")
 
 
