@@ -59,9 +59,9 @@ def expenses_a(text: Column) -> Column:
 def to_pesos(currency: Column, amount: Column, rate: Column) -> Column:
     """Dollar amounts become a number text in pesos, to the cent; others stay as written."""
     pesos = try_double(replace_literal(amount, ".")) * rate
-    whole = F.concat(pesos.cast("bigint").cast("string"), F.lit(".0"))
-    cents = F.regexp_replace(pesos.cast("decimal(24,2)").cast("string"), "0+$", "")
-    as_text = F.when(pesos == F.floor(pesos), whole).otherwise(cents)
+    whole = F.concat(pesos.try_cast("decimal(24,0)").cast("string"), F.lit(".0"))
+    cents = F.regexp_replace(pesos.try_cast("decimal(24,2)").cast("string"), "0+$", "")
+    as_text = F.coalesce(F.when(pesos % 1 == 0, whole).otherwise(cents), pesos.cast("string"))
     return F.when(currency == "USD", as_text).otherwise(amount)
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from barriometrics import schemas
 
@@ -185,7 +185,9 @@ def read_cards(html: str, portal: str, need_container: bool = True) -> list[dict
 
 
 def extract_cards(pages: DataFrame, portal: str, features_from_first_card: bool = False) -> DataFrame:
-    """One row per listing card of ``pages(url, html)``, typed as ``schemas.CARD``.
+    """One row per listing card of ``pages(url, html[, page])``, typed as ``schemas.CARD``.
+
+    ``page`` is the page's place in the crawl, NULL where the pages do not carry it.
 
     ``features_from_first_card`` gives every card of a page the first card's features, as the older
     portal A extracts did. For portal Z the features text is the single item of the list.
@@ -195,28 +197,34 @@ def extract_cards(pages: DataFrame, portal: str, features_from_first_card: bool
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for url, html in zip(batch["url"], batch["html"]):
+            for url, html, page in zip(batch["url"], batch["html"], batch["page"].astype(object)):
                 cards = read_cards(html, portal)
                 for pos, card in enumerate(cards):
                     if features_from_first_card:
                         card = {**card, "features": cards[0]["features"]}
-                    rows.append({**card, "page_url": url, "page_pos": pos})
+                    rows.append({**card, "page": None if pd.isna(page) else page, "page_url": url, "page_pos": pos})
                 if len(rows) >= ROWS_PER_BATCH:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("url", "html").mapInPandas(scan, schemas.CARD)
+    page = F.col("page").cast("bigint") if "page" in pages.columns else F.lit(None).cast("bigint")
+    return pages.select("url", "html", page.alias("page")).mapInPandas(scan, schemas.CARD)
 
 
 def page_listing_ids(pages: DataFrame, portal: str = "A") -> DataFrame:
-    """The sorted set of listing codes on each page, read page by page without a shuffle."""
+    """``ids``, the sorted set of listing codes on each page, in place of its ``html``.
+
+    Pages are read one by one, without a shuffle; the other columns pass through.
+    """
+    def codes(html: str) -> list[str]:
+        cards = read_cards(html, portal, need_container=False)
+        return sorted({card["code"] for card in cards if card["code"] is not None})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = [
-                sorted({card["code"] for card in read_cards(html, portal, need_container=False) if card["code"] is not None})
-                for html in batch["html"]
-            ]
-            yield pd.DataFrame({"url": batch["url"], "ids": ids})
+            yield batch.drop(columns="html").assign(ids=[codes(html) for html in batch["html"]])
 
-    return pages.select("url", "html").mapInPandas(scan, "url STRING, ids ARRAY<STRING>")
+    rest = [f for f in pages.schema.fields if f.name != "html"]
+    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.StringType()))])
+    return pages.mapInPandas(scan, schema)

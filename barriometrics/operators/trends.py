@@ -189,21 +189,72 @@ def inventory(new: DataFrame) -> DataFrame:
     )
 
 
-def cheapest_quarter(new: DataFrame) -> DataFrame:
-    """Mean price per m² over the cheapest quarter (rounded down) of each neighbourhood.
-
-    The quarter's last value is an exact order statistic; the mean then is a plain aggregate.
-    """
-    rows = new.select(KEY, price_m2().alias("m2"))
+def _quarter_edge(rows: DataFrame) -> DataFrame:
+    """Size of the cheapest quarter by price per m², rounded down, and its last value."""
     edge = order_statistics(rows, F.col("m2"), {"edge": lambda n: F.floor(n * 0.25)}, [KEY])
-    edge = edge.withColumn("k", F.floor(F.col("n") * 0.25)).drop("n")
+    return edge.withColumn("k", F.floor(F.col("n") * 0.25)).drop("n")
+
+
+def _quarter_sums() -> list[Column]:
     below = F.col("m2") < F.col("edge")
-    folded = attach(rows, edge, [KEY], "inner").groupBy(KEY).agg(
+    return [
         F.coalesce(F.sum(F.when(below, F.col("m2"))), F.lit(0.0)).alias("s"),
         F.count_if(below).alias("c"), F.max("edge").alias("edge"), F.max("k").alias("k"),
-    )
+    ]
+
+
+def _quarter_mean() -> Column:
     total = F.col("s") + (F.col("k") - F.col("c")) * F.col("edge")
-    return folded.select(KEY, F.when(F.col("k") > 0, total / F.col("k")).alias("best_value_avg"))
+    return F.when(F.col("k") > 0, total / F.col("k")).alias("best_value_avg")
+
+
+def _deal_edge(rows: DataFrame) -> DataFrame:
+    return quantiles(rows, F.col("price"), {"price_threshold": 0.25}, [KEY]).drop("n")
+
+
+def _deal_sums() -> list[Column]:
+    deal = F.col("price") <= F.col("price_threshold")
+    return [
+        F.max("price_threshold").alias("price_threshold"),
+        F.count_if(deal).alias("deals"),
+        F.coalesce(F.avg(F.when(deal, F.col("price"))), F.lit(0.0)).alias("deals_avg_price"),
+        F.coalesce(F.avg(F.when(deal, F.col("m2"))), F.lit(0.0)).alias("deals_avg_m2"),
+        F.avg("price").alias("avg_price"),
+    ]
+
+
+def _deal_columns() -> list[str | Column]:
+    saving = F.when(
+        F.col("deals_avg_price") > 0, (F.col("avg_price") - F.col("deals_avg_price")) / F.col("avg_price") * 100
+    ).otherwise(F.lit(0.0))
+    return ["price_threshold", "deals", "deals_avg_price", "deals_avg_m2", "avg_price", saving.alias("savings_pct")]
+
+
+def _prices(new: DataFrame) -> DataFrame:
+    return new.select(KEY, "price", price_m2().alias("m2"))
+
+
+def cheapest_quarter(new: DataFrame) -> DataFrame:
+    """Mean price per m² over the cheapest quarter (rounded down) of each neighbourhood.
+
+    The quarter's last value is an exact order statistic; the mean then is a plain aggregate.
+    """
+    rows = _prices(new)
+    return attach(rows, _quarter_edge(rows), [KEY], "inner").groupBy(KEY).agg(*_quarter_sums()).select(KEY, _quarter_mean())
+
+
+def best_deals(new: DataFrame) -> DataFrame:
+    """Listings up to the neighbourhood's first price quartile against its mean."""
+    rows = _prices(new)
+    return attach(rows, _deal_edge(rows), [KEY], "inner").groupBy(KEY).agg(*_deal_sums()).select(KEY, *_deal_columns())
+
+
+def bargain_part(new: DataFrame) -> DataFrame:
+    """``cheapest_quarter`` and ``best_deals`` in one pass over the listings."""
+    rows = _prices(new)
+    edges = _deal_edge(rows).join(_quarter_edge(rows), KEY, "left")
+    folded = attach(rows, edges, [KEY], "inner").groupBy(KEY).agg(*_deal_sums(), *_quarter_sums())
+    return folded.select(KEY, *_deal_columns(), _quarter_mean())
 
 
 def price_per_m2_trend(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -226,24 +277,6 @@ def availability(old: DataFrame, new: DataFrame, code: str = "code") -> DataFram
     )
 
 
-def best_deals(new: DataFrame) -> DataFrame:
-    """Listings up to the neighbourhood's first price quartile against its mean."""
-    quartile = quantiles(new, F.col("price"), {"price_threshold": 0.25}, [KEY]).drop("n")
-    rows = attach(new.select(KEY, "price", price_m2().alias("m2")), quartile, [KEY], "inner")
-    deal = F.col("price") <= F.col("price_threshold")
-    folded = rows.groupBy(KEY).agg(
-        F.max("price_threshold").alias("price_threshold"),
-        F.count_if(deal).alias("deals"),
-        F.coalesce(F.avg(F.when(deal, F.col("price"))), F.lit(0.0)).alias("deals_avg_price"),
-        F.coalesce(F.avg(F.when(deal, F.col("m2"))), F.lit(0.0)).alias("deals_avg_m2"),
-        F.avg("price").alias("avg_price"),
-    )
-    saving = F.when(
-        F.col("deals_avg_price") > 0, (F.col("avg_price") - F.col("deals_avg_price")) / F.col("avg_price") * 100
-    ).otherwise(F.lit(0.0))
-    return folded.withColumn("savings_pct", saving)
-
-
 def property_profile(new: DataFrame) -> DataFrame:
     """Size bands: the largest with its means, the number of bands in use, share of premium flats."""
     area = F.col("total_area")
@@ -301,7 +334,6 @@ def trend_facts(old: DataFrame, new: DataFrame, code: str = "code") -> DataFrame
         .join(_against_largest(parts).select(KEY, "avg_price_competitors", "competitive_position"), KEY)
         .join(segment_part(new).drop("total"), KEY, "left")
         .join(change_part(old, new, code), KEY, "left")
-        .join(cheapest_quarter(new), KEY, "left")
-        .join(best_deals(new).drop("avg_price"), KEY, "left")
+        .join(bargain_part(new).drop("avg_price"), KEY, "left")
         .join(property_profile(new).drop("total", "n0", "n1", "n2", "n3"), KEY, "left")
     )

@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barriometrics.operators import cleaning, crawl, neighborhoods, staging
-from barriometrics.operators.extract import extract_cards
+from barriometrics.operators import cleaning, crawl, extract, neighborhoods, staging
 from barriometrics.session import materialise
 
 LISTING_COLUMNS = ("price", "neighborhood", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")
 
 
+def finished_crawl(pages: DataFrame, portal: str = "A") -> DataFrame:
+    """Pages (barrio, page, final_url, html) up to where each neighbourhood's crawl ends, with their ids.
+
+    It ends at the first page that was redirected to an earlier one, repeats the page before a
+    second time in a row, or shows no listing at all.
+    """
+    flagged = materialise(crawl.repeated_pages(extract.page_listing_ids(pages, portal)))
+    empty = (F.col("page") > 1) & (F.size("ids") == 0)
+    ends = crawl.past_the_end(F.col("page"), F.col("final_url")) | F.col("stops") | empty
+    return crawl.keep_before_stop(flagged, ends).drop("repeated", "stops")
+
+
 def pages_to_raw(pages: DataFrame, portal: str) -> DataFrame:
-    """Crawled pages to RAW rows, one per listing code, first seen kept."""
+    """Crawled pages to RAW rows, one per listing code, first seen kept (by page, address, position)."""
     code = "zonaprop_code" if portal == "Z" else "argenprop_code"
-    cards = crawl.first_per_code(extract_cards(pages, portal), "code", ["page_url", "page_pos"])
-    raw = cards.withColumnRenamed("code", code).drop("page_url", "page_pos")
+    cards = crawl.first_per_code(extract.extract_cards(pages, portal), "code", ["page", "page_url", "page_pos"])
+    raw = cards.withColumnRenamed("code", code).drop("page", "page_url", "page_pos")
     if portal == "Z":
         raw = raw.withColumn("features", F.try_element_at("features", F.lit(1)))
     return raw

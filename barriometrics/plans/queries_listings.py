@@ -105,7 +105,7 @@ _CARD = "page_url STRING, page_pos INT, property_url STRING, code STRING, price
 
 
 def _flat_cards(cards):
-    return cards.withColumn("features", F.array_join("features", "|"))
+    return cards.drop("page").withColumn("features", F.array_join("features", "|"))
 
 
 @query(
@@ -143,7 +143,7 @@ def listing_code_from_url(spark, sf):
     ("cards",),
 )
 def page_listing_ids(spark, sf):
-    ids = extract.page_listing_ids(dt.card_pages(spark, sf, "A"))
+    ids = extract.page_listing_ids(dt.card_pages(spark, sf, "A").select("url", "html"))
     return ids.select(F.col("url").alias("page_url"), F.array_join("ids", ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
 
 
@@ -182,6 +182,27 @@ def dedup_by_code(spark, sf):
     return crawl.first_per_code(rows, "code", ["shipped"])
 
 
+@query(
+    "finished_crawl",
+    """, p AS (SELECT split_part(split_part(url, '/', 3), '.', 1) AS barrio, page_id AS page, length(html) AS shown, len(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS n FROM pages),
+    f AS (SELECT *, coalesce(n > 0 AND n = lag(n) OVER (PARTITION BY barrio ORDER BY page), false) AS repeated FROM p),
+    g AS (SELECT *, repeated AND coalesce(lag(repeated) OVER (PARTITION BY barrio ORDER BY page), false) AS stops FROM f),
+    c AS (SELECT barrio, min(page) AS cut FROM g WHERE stops OR (page > 1 AND (n = 0 OR shown < page)) GROUP BY 1)
+    SELECT g.barrio, g.page, n AS listings FROM g LEFT JOIN c USING (barrio) WHERE cut IS NULL OR page < cut""",
+    ("cards",),
+)
+def finished_crawl(spark, sf):
+    """The benchmark's pages as one crawl per host; the page's length plays the number in its final address."""
+    shown = dt.read(spark, sf, "pages").select("page_id", F.length("html").alias("shown"))
+    pages = dt.card_pages(spark, sf, "A").join(shown, "page_id").select(
+        F.substring_index(F.element_at(F.split("url", "/"), 3), ".", 1).alias("barrio"),
+        F.col("page_id").alias("page"),
+        F.concat(F.lit("https://host/x?pagina-"), F.col("shown").cast("string")).alias("final_url"),
+        "html",
+    )
+    return flows.finished_crawl(pages).select("barrio", "page", F.size("ids").cast("bigint").alias("listings"))
+
+
 @query("rename_code_column", "SELECT zonaprop_code AS argenprop_code, price FROM raw_z", ("raw_z",))
 def rename_code_column(spark, sf):
     return crawl.fix_code_column(dt.raw_z(spark, sf).select("zonaprop_code", "price"))

@@ -18,6 +18,7 @@ RAW_A = T.StructType(
 )
 CARD = T.StructType(
     [
+        T.StructField("page", T.LongType()),
         T.StructField("page_url", T.StringType()),
         T.StructField("page_pos", T.IntegerType()),
         T.StructField("property_url", T.StringType()),

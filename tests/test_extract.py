@@ -54,6 +54,25 @@ def test_pages_to_raw_keeps_the_first(spark):
     assert raw[0]["features"] == "45 m² tot. 2 amb."
 
 
+def test_crawl_order_beats_address_order(spark):
+    pages = spark.createDataFrame([("a", 2, PAGE_Z.replace("650", "999")), ("b", 1, PAGE_Z)], "url string, page int, html string")
+    raw = flows.pages_to_raw(pages, "Z").collect()
+    assert {r["price"] for r in raw} == {"USD 650x"}
+
+
+def test_crawl_ends(spark):
+    page = lambda *codes: '<div class="listing-container">' + "".join(CARD_A.format(code=c, price="", features="") for c in codes) + "</div>"
+    rows = [
+        ("dup", 1, "h", page(1, 2)), ("dup", 2, "h?pagina-2", page(2, 1)), ("dup", 3, "h?pagina-3", page(1, 2)), ("dup", 4, "h?pagina-4", page(9)),
+        ("back", 1, "h", page(1)), ("back", 2, "h?pagina-1", page(2)), ("none", 1, "h", page(1)), ("none", 2, "h?pagina-2", page()), ("none", 3, "h?pagina-3", page(3)),
+    ]
+    pages = spark.createDataFrame(rows, "barrio string, page int, final_url string, html string")
+    kept = flows.finished_crawl(pages).collect()
+    assert sorted((r["barrio"], r["page"], r["ids"]) for r in kept) == [
+        ("back", 1, ["1"]), ("dup", 1, ["1", "2"]), ("dup", 2, ["1", "2"]), ("none", 1, ["1"]),
+    ]
+
+
 def test_stream_appends_each_page_once(spark, tmp_path):
     from barriometrics.streaming.ingest import page_stream, write_cards
 
