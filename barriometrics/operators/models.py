@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barriometrics import dims
 from barriometrics.operators.cleaning import neighborhood_flag, one_hot_neighborhood
-from barriometrics.session import scratch_path
+from barriometrics.session import scratch_path, shared_dir
 
 FEATURES = ("total_area", "rooms", "bedrooms", "antiquity")
 FLAGS = tuple(neighborhood_flag(n) for n in dims.VALID_NEIGHBORHOODS)
@@ -37,6 +39,7 @@ def train_test_split(df: DataFrame, key: str, train_share: float = TRAIN_SHARE,
 
 
 def _fit(df: DataFrame, features: Sequence[str], label: str, params: Mapping[str, object] | None) -> PipelineModel:
+    shared_dir(df.sparkSession)  # where boosting checkpoints its rounds
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     learner = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="prediction", **{**GBT_PARAMS, **(params or {})})
     return Pipeline(stages=[assembler, learner]).fit(df)
@@ -52,23 +55,25 @@ def train_ohe(df: DataFrame, label: str = "price", params: Mapping[str, object]
 
 
 def train_per_neighborhood(
-    df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None
+    df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None, parallelism: int = 4
 ) -> dict[str, PipelineModel]:
     """One model for each reported neighbourhood that has rows.
 
     The rows are written once, partitioned by neighbourhood, so that each fit scans its own folder.
+    ``parallelism`` fits are submitted at a time; small ones then do not wait for the largest.
     """
     parts = _by_neighborhood(df.select("neighborhood", *FEATURES, label))
-    models = {}
-    for name, part in parts.items():
-        models[name] = _fit(part, FEATURES, label, params)
-    return models
+    fit = inheritable_thread_target(df.sparkSession)(lambda name: (name, _fit(parts[name], FEATURES, label, params)))
+    with ThreadPool(parallelism) as pool:
+        return dict(pool.map(fit, parts, chunksize=1))
 
 
 def _by_neighborhood(df: DataFrame) -> dict[str, DataFrame]:
     spark = df.sparkSession
     path = scratch_path(spark, "by-neighborhood")
-    df.filter(F.col("neighborhood").isin(*dims.VALID_NEIGHBORHOODS)).write.partitionBy("neighborhood").parquet(path)
+    rows = df.filter(F.col("neighborhood").isin(*dims.VALID_NEIGHBORHOODS))
+    # Rebalancing keeps the folders free of tiny files and still splits a neighbourhood that is hot.
+    rows.hint("rebalance", "neighborhood").write.partitionBy("neighborhood").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     present = {row[0] for row in table.select("neighborhood").distinct().collect()}  # at most the 19 names
     return {n: table.filter(F.col("neighborhood") == n) for n in dims.VALID_NEIGHBORHOODS if n in present}
@@ -105,8 +110,9 @@ def predict_by_neighborhood(
     spark = df.sparkSession
     path = scratch_path(spark, "to-score")
     # Each model then reads its own folder: together one scan, not one per model.
-    rows.withColumn("_model", F.when(known, F.upper("neighborhood")).otherwise(F.lit(""))).write.partitionBy("_model").parquet(path)
-    staged = spark.read.schema(rows.withColumn("_model", F.lit("")).schema).parquet(path)
+    keyed = rows.withColumn("_model", F.when(known, F.upper("neighborhood")).otherwise(F.lit("")))
+    keyed.hint("rebalance", "_model").write.partitionBy("_model").parquet(path)
+    staged = spark.read.schema(keyed.schema).parquet(path)
     result = staged.filter(F.col("_model").isNull() | ~F.col("_model").isin(*models)).drop("_model").withColumn(into, F.lit(None).cast("double"))
     for name, model in models.items():
         result = result.unionByName(_score(staged.filter(F.col("_model") == name).drop("_model"), model, into))

@@ -107,4 +107,4 @@ def near_counts(requests: DataFrame, places: DataFrame, kind: str, radius_m: flo
         .groupBy("lat", "lon", kind)
         .agg(F.sum("copies").alias("places"), F.min("distance_m").alias("nearest_m"))
     )
-    return requests.join(found, ["lat", "lon"]).select("request_id", kind, "places", "nearest_m")
+    return attach(requests, found, ["lat", "lon"], "inner").select("request_id", kind, "places", "nearest_m")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from barriometrics.operators import cleaning, crawl, extract, neighborhoods, staging
+from barriometrics.operators import cleaning, crawl, evaluation, extract, models, neighborhoods, staging
 from barriometrics.session import materialise
 
 LISTING_COLUMNS = ("price", "neighborhood", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")
@@ -102,3 +105,13 @@ def stock_listings(stock: DataFrame, usd_rate: float = 1225.0) -> DataFrame:
         "neighborhood",
     )
     return cleaning.stock_defaults(df)
+
+
+def scored_stock(
+    listings: DataFrame, simple: PipelineModel, ohe: PipelineModel, by_neighborhood: Mapping[str, PipelineModel],
+    below: float = 5_000_000,
+) -> DataFrame:
+    """Stock listings with the three predictions, their deviations and deviation classes."""
+    scored = models.predict_ohe(models.predict_simple(listings, simple), ohe)
+    scored = models.predict_by_neighborhood(scored, by_neighborhood)
+    return evaluation.with_categories(evaluation.with_deviations(evaluation.price_band(scored, below)))

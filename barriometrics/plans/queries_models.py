@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barriometrics import dims
 from barriometrics.operators import evaluation, models, reports, selection
-from barriometrics.plans import driver_tables as dt
+from barriometrics.plans import driver_tables as dt, flows
 from barriometrics.plans.queries_metrics import report_requests
 from barriometrics.plans.registry import RUN_DATE, query, rounded
 from barriometrics.session import materialise, scratch_path
@@ -127,6 +127,15 @@ def predict_by_neighborhood(spark, sf):
     return models.predict_by_neighborhood(rows, fitted).select("code", "neighborhood", "price", "neighborhood_prediction")
 
 
+@query("scored_stock")
+def scored_stock(spark, sf):
+    """The accuracy study: three models trained on the listings score the portal's stock."""
+    rows = materialise(training_rows(spark, sf))
+    fitted = models.train_per_neighborhood(rows, params={"maxIter": 1, "maxDepth": 2})
+    stock = flows.stock_listings(dt.stock(spark, sf))
+    return flows.scored_stock(stock, models.train_simple(rows, params=QUICK), models.train_ohe(rows, params=QUICK), fitted)
+
+
 # ---- accuracy -------------------------------------------------------------------------------
 
 

@@ -174,3 +174,31 @@ def test_one_hot(spark):
     rows = one_hot_neighborhood(df).collect()
     assert [sum(v for k, v in r.asDict().items() if k != "neighborhood") for r in rows] == [1, 0, 0]
     assert rows[0]["neighborhood_PALERMO"] == 1
+
+
+def test_requests_are_answered(spark, snapshots_):
+    from barriometrics.operators import models, reports
+
+    old, new, df_old, df_new = snapshots_
+    requests = spark.createDataFrame(
+        [(1, "FLORES", 2, 1, 5, "30-60", -34.6, -58.4), (2, "FLORES", 9, 1, 5, "30-60", -34.6, -58.4), (3, "DEVOTO", 2, 1, 5, "x", 0.0, 0.0)],
+        "request_id int, neighborhood string, rooms int, bedrooms int, antiquity int, total_area string, lat double, lon double",
+    )
+    around = spark.createDataFrame(
+        [({"amenity": "cafe"}, -34.6, -58.4), ({"amenity": "cafe"}, -34.6, -58.4), ({"amenity": "clinic"}, -34.601, -58.4), ({"amenity": "bar"}, -34.7, -58.4)],
+        "tags map<string,string>, lat double, lon double",
+    )
+    rows = df_new.withColumns({"bedrooms": F.col("rooms"), "antiquity": F.lit(5.0)})
+    model = models.train_ohe(rows, params={"maxIter": 2, "maxDepth": 2})
+    out = {r["request_id"]: r for r in reports.answer_requests(requests, df_old, df_new, around, model).collect()}
+    flores = [r for r in new if r[1] == "FLORES"]
+    two = [r[2] for r in flores if r[4] == 2]
+    assert out[1]["total_properties_neighborhood"] == len(flores) and out[1]["total_properties"] == len(new)
+    assert out[1]["total_properties_amb_neighborhood"] == len(two)
+    assert out[1]["average_price_amb_neighborhood"] == pytest.approx(mean(two))
+    assert out[2]["total_properties_amb_neighborhood"] == 0 and out[3]["total_properties_neighborhood"] == 0
+    assert (out[1]["nearby_restaurantes"], out[1]["nearby_centros_salud"], out[3]["nearby_restaurantes"]) == (2, 1, 0)
+    assert out[1]["rent_result_min"] > 0 and out[3]["rent_result_min"] is None
+    old_codes, new_codes = {r[0] for r in old}, {r[0] for r in new}
+    assert out[1]["removed_properties_since_last_report"] == sum(r[0] not in new_codes for r in old)
+    assert out[1]["new_properties_since_last_report"] == sum(r[0] not in old_codes for r in new)
