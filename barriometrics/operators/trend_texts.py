@@ -13,7 +13,9 @@ def money(value: Column) -> Column:
 
 
 def pct(value: Column, signed: bool = False) -> Column:
-    return F.format_string("%+.1f%%" if signed else "%.1f%%", F.bround(value, 1))
+    text = F.format_string("%.1f%%", F.abs(F.bround(value, 1)))
+    # The sign is the value's own: a small fall prints as -0.0%.
+    return F.concat(F.when(value < 0, "-").otherwise("+" if signed else ""), text)
 
 
 def _text(*parts) -> Column:
