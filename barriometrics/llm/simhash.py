@@ -66,23 +66,34 @@ def _shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1) -> list[int]:
+def fingerprint(text: bytes, shingle: int = SHINGLE, lanes: int = 1, lowest: np.ndarray | None = None) -> list[int]:
     """SimHash of one text's bytes, 64 bits for each lane: A-Z lower-cased, words between ASCII white space,
-    shingles with repeats. The first lane votes with XXH64, the others with a mix of it."""
+    shingles with repeats. The first lane votes with XXH64, the others with a mix of it. ``lowest`` gets
+    the lowest hash of each of its equal parts of the hash range."""
     votes, shingles = np.zeros((lanes, 64), np.int64), 0
     for hashes in _shingle_hashes(text, shingle):
         shingles += len(hashes)
         for lane in range(lanes):
             mixed = hashes if not lane else arrow_text._mixed(hashes ^ np.uint64(_MIX[lane]))
             votes[lane] += _bit_counts(mixed)
+        if lowest is not None:
+            np.minimum.at(lowest, (hashes >> np.uint64(56)).astype(np.intp), hashes)
     bits = np.packbits(2 * votes > max(1, shingles), axis=1, bitorder="little")
     return bits.view(np.int64).ravel().tolist()
 
 
+def _sketched(text: bytes, shingle: int, lanes: int) -> tuple[list[int], bytes]:
+    """A fingerprint and 256 numbers of 16 bits: the end of the lowest hash of each part, 0 where there is none."""
+    lowest = np.full(256, 2**64 - 1, np.uint64)
+    found = fingerprint(text, shingle, lanes, lowest)
+    sketch = np.where(lowest == np.uint64(2**64 - 1), 0, np.maximum(1, lowest & np.uint64(0xFFFF)))
+    return found, sketch.astype("<u2").tobytes()
+
+
 def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None, lanes: int = 1) -> DataFrame:
     """Every given row: ``row`` (a struct of the ``carry`` columns, all by default), ``fingerprint``, ``rid``.
 
-    The fingerprint is a signed long, or with several lanes an array of them.
+    The fingerprint is a signed long, or with several lanes an array of them beside a ``sketch``.
 
     ``rid`` numbers the rows of this run; write the table before using it twice. NULL, empty and
     white-space texts have fingerprint 0; repeated rows each have theirs.
@@ -90,7 +101,8 @@ def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGL
     row = F.struct(*carry) if carry else F.struct("*")
     out = documents.select(row.alias("row"), F.col(text).cast("string").alias("text"))
     kind = T.LongType() if lanes == 1 else T.ArrayType(T.LongType())
-    schema = T.StructType([out.schema["row"], T.StructField("fingerprint", kind), T.StructField("rid", T.LongType())])
+    fields = [out.schema["row"], T.StructField("fingerprint", kind), T.StructField("rid", T.LongType())]
+    schema = T.StructType(fields + [T.StructField("sketch", T.BinaryType())] * (lanes > 1))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
@@ -98,9 +110,14 @@ def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGL
             for piece in arrow_text.pieces(batch, "text"):
                 data, offsets = arrow_text.buffers(piece.column("text"))
                 raw, n = memoryview(data), piece.num_rows
-                prints = [fingerprint(raw[a:b].tobytes(), shingle, lanes) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                prints = pa.array([p[0] for p in prints], pa.int64()) if lanes == 1 else pa.array(prints, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), prints, pa.array(np.arange(rid, rid + n))], schema.names)
+                texts = (raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                rids = pa.array(np.arange(rid, rid + n))
+                if lanes == 1:
+                    columns = [pa.array([fingerprint(t, shingle)[0] for t in texts], pa.int64()), rids]
+                else:
+                    prints, sketches = zip(*(_sketched(t, shingle, lanes) for t in texts), strict=True)
+                    columns = [pa.array(prints, pa.list_(pa.int64())), rids, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([piece.column("row"), *columns], schema.names)
                 rid += n
 
     return out.mapInArrow(mark, schema)
@@ -278,20 +295,20 @@ def similar_bits(similarity: float, lanes: int = LANES) -> int:
 
 
 def wide_links(prints: DataFrame, bits: int, lanes: int = LANES) -> DataFrame:
-    """Links (a, b) between ids of fingerprints of several lanes at most ``bits`` apart.
+    """Pairs (a, b) of ids of fingerprints of several lanes at most ``bits`` apart.
 
-    ``prints`` has distinct ``fingerprint`` arrays with a long ``id``. Every fingerprint is posted under each
-    pair of neighbouring positional bytes; pairs met in a list are verified by all their bits. Texts far
-    nearer than ``bits`` share a pair almost surely; the README has measured recall. Lists are compared in
-    blocks of rows inside the task, and a spanning forest stands for the pairs.
+    ``prints`` has distinct ``fingerprint`` arrays with a long ``id``. Every fingerprint is posted under pairs
+    of positional bytes (each byte with the next one, every other byte with the seventh after it); pairs met
+    in a list are verified by all their bits. No number of shared bytes is guaranteed at this distance: the
+    README has the measured recall. In a list of up to 64 rows all verified pairs come out, in a longer one
+    a tree of them that reaches all that can be reached.
     """
+    size = 8 * lanes
     words = [F.element_at("fingerprint", k + 1) for k in range(lanes)]
-    keys = []
-    for p in range(8 * lanes):
-        q = (p + 1) % (8 * lanes)
-        one, two = (F.shiftrightunsigned(words[x // 8], 8 * (x % 8)).bitwiseAND(F.lit(255)) for x in (p, q))
-        keys.append((one * 256 + two) * (8 * lanes) + p)
-    posted = prints.select("id", *[w.alias(f"w{k}") for k, w in enumerate(words)], F.explode(F.array(*keys)).alias("key"))
+    byte = [F.shiftrightunsigned(words[x // 8], 8 * (x % 8)).bitwiseAND(F.lit(255)) for x in range(size)]
+    pairs = [(p, (p + 1) % size) for p in range(size)] + [(p, (p + 7) % size) for p in range(0, size, 2)]
+    keys = F.array(*[(byte[p] * 256 + byte[q]) * len(pairs) + k for k, (p, q) in enumerate(pairs)])
+    posted = prints.select("id", *[w.alias(f"w{k}") for k, w in enumerate(words)], F.explode(keys).alias("key"))
     posted = posted.repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,59 +319,76 @@ def wide_links(prints: DataFrame, bits: int, lanes: int = LANES) -> DataFrame:
             cut = np.searchsorted(rows[:, 0], rows[-1, 0], "left") if len(rows) else 0
             held = rows[cut:]
             if cut:
-                yield _forest(*_wide_pairs(rows[:cut], bits))
+                yield _wide_pairs(rows[:cut], bits)
         if len(held):
-            yield _forest(*_wide_pairs(held, bits))
+            yield _wide_pairs(held, bits)
 
     return posted.mapInArrow(search, "a long, b long").distinct()
 
 
-def _wide_pairs(rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links of a sorted run of lists: of each row with those behind it in its list, in blocks."""
+def _wide_pairs(rows: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Verified pairs of a sorted run of lists, the smaller id first."""
     key, number, words = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
+    short = np.repeat(sizes <= 64, sizes)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for step in range(1, min(int(sizes.max()), 64)):
-        a = np.flatnonzero(key[step:] == key[:-step])
-        if not len(a):
-            break
+        a = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
         near = np.bitwise_count(words[a] ^ words[a + step]).sum(1, dtype=np.int64) <= bits
         found.append((number[a[near]], number[a[near] + step]))
     for i in np.flatnonzero(sizes > 64):
-        found += [_forest_arrays(*p) for p in _wide_blocks(number[starts[i] : starts[i] + sizes[i]], words[starts[i] : starts[i] + sizes[i]], bits)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        found += _reached(number[starts[i] : starts[i] + sizes[i]], words[starts[i] : starts[i] + sizes[i]], bits)
+    pairs = np.concatenate([np.stack(f, 1) for f in found]) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs, 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _wide_blocks(number: np.ndarray, words: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside one list: from each leader all rows reachable, breadth first; a row once reached is not met again."""
-    left = np.arange(len(number))
+def _reached(number: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, breadth first from each leader: a row once reached is not met again."""
+    left, out = np.arange(len(number)), []
     while len(left):
-        lead, left = left[0], left[1:]
-        frontier = np.array([lead])
-        while len(frontier) and len(left):  # everything reachable from the leader, breadth first
-            near = np.zeros(len(left), bool)
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            new = []
             for one in frontier:
-                open_ = np.flatnonzero(~near)
-                near[open_] = np.bitwise_count(words[left[open_]] ^ words[one]).sum(1, dtype=np.int64) <= bits
-            if not near.any():
-                break
-            yield np.broadcast_to(number[lead], near.sum()).copy(), number[left[near]]
-            frontier, left = left[near], left[~near]
+                near = np.bitwise_count(words[left] ^ words[one]).sum(1, dtype=np.int64) <= bits
+                if near.any():
+                    new.append(left[near])
+                    out.append((np.full(len(new[-1]), number[one]), number[new[-1]]))
+                    left = left[~near]
+            frontier = np.concatenate(new) if new else np.zeros(0, np.int64)
+    return out
+
+
+def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (id, sketch) agree in the given share of the parts that either has."""
+    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 256) for c in ("x", "y"))
+            alike = ((x == y) & (x > 0)).sum(1) >= similarity * ((x > 0) | (y > 0)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike)) for c in ("a", "b")], ["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
     """As ``groups``, linking texts of the given shingle similarity: ``row``, ``component_id``, ``kept``.
 
-    Equal fingerprints fold to one before indexing; the links are those of ``wide_links``.
+    Equal fingerprints fold to one before indexing. Pairs within ``similar_bits`` are held against sketches
+    of their shingle sets, which tell the similarity to a few hundredths (almost exactly for short texts).
     """
     prints = materialise(fingerprints(documents, text, shingle, carry, LANES), "fingerprints")
     own = F.struct(F.col("row")[doc_id].isNull().alias("none"), F.col("row")[doc_id].alias("id"), "rid")
     distinct = prints.groupBy("fingerprint").agg(F.min(own).alias("low")).withColumn("id", F.col("low.rid"))
     distinct = materialise(distinct, "distinct-fingerprints")
-    joined = components(materialise(wide_links(distinct.select("id", "fingerprint"), similar_bits(similarity)), "links"))
+    pairs = materialise(wide_links(distinct.select("id", "fingerprint"), similar_bits(similarity)), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sketches = materialise(prints.select(F.col("rid").alias("id"), "sketch").join(ends, "id", "left_semi"), "sketches")
+    joined = components(_similar(pairs, sketches, similarity - 0.01))
     known = distinct.join(joined, distinct["id"] == joined["node"], "left").select("fingerprint", "low", F.coalesce("root", "id").alias("root"))
     lowest = known.groupBy("root").agg(F.min("low").alias("lowest"))
     table = known.join(lowest, "root").select("fingerprint", F.col("lowest.id").alias("component_id"), F.col("lowest.rid").alias("keeper"))

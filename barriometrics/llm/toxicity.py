@@ -1,10 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A text is the set of its terms, hashed to ``BUCKETS``. The score is the logistic function of a bias, a
+A text is the set of its terms, and of those it repeats, hashed to ``BUCKETS``. The score is the logistic function of a bias, a
 weight for each present term and the inner products of the factors of each pair of present terms, so that
 pairs count beyond the sum of their weights. The machine is fitted on at most ``CLASS_ROWS`` labelled rows
 of either class (those with the smallest hash of the id), with each class weighted to its share of all
-labelled rows; the fit sees the ``TERMS`` buckets that best tell the classes apart. Scoring is one pass
+labelled rows; the fit sees at most ``TERMS`` buckets, those that tell the classes apart. Scoring is one pass
 over the texts without a shuffle.
 """
 
@@ -22,9 +22,12 @@ from barriometrics.llm import arrow_text
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 CLASS_ROWS = 10_000
-TERMS = 1024
-FACTORS = 6
+TERMS = 256
+FACTORS = 4
 PASSES = 60
+ROUNDS = 12
+#: Standard deviations that a term must stand out by.
+STANDS_OUT = 6.0
 THRESHOLD = 0.7
 _SEED = 7
 
@@ -35,10 +38,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct (row, bucket) pairs of a piece, sorted, and its rows."""
+    """Distinct (row, bucket) pairs of a piece, sorted, and its rows. A term that a text repeats has a second bucket."""
     found = arrow_text.words(column, arrow_text.ALNUM)
     bucket = (found.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    pairs = np.unique(found.row.astype(np.int64) << BUCKET_BITS | bucket)
+    pairs, count = np.unique(found.row.astype(np.int64) << BUCKET_BITS | bucket, return_counts=True)
+    again = pairs[count > 1]
+    again = again ^ (again & (BUCKETS - 1)) | (again * 0x9E3B5 + 1) & (BUCKETS - 1)
+    pairs = np.unique(np.concatenate((pairs, again)))
     return pairs >> BUCKET_BITS, pairs & (BUCKETS - 1), found.rows
 
 
@@ -63,7 +69,11 @@ class Machine:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, terms: int = TERMS, factors: int = FACTORS, passes: int = PASSES) -> Machine:
-    """Fit on rows of buckets with 0/1 labels; ``share`` is that of label 1 among all labelled rows."""
+    """Fit on rows of buckets with 0/1 labels; ``share`` is that of label 1 among all labelled rows.
+
+    Terms enter in rounds: those that what is left unexplained stands out for most, so that a term which
+    only keeps company with telling ones stays out.
+    """
     place = np.full(BUCKETS, -1, np.int32)
     share = min(0.999, max(0.001, share))
     start = float(np.log(share / (1 - share)))
@@ -72,50 +82,59 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, terms: int = T
         return Machine(place, start, np.zeros(0), np.zeros((0, factors)))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    with_one = np.bincount(flat, labels[owner], BUCKETS)
-    with_any = np.bincount(flat, minlength=BUCKETS)
     rate = ones / len(labels)
-    z = (with_one - with_any * rate) / np.sqrt(with_any * rate * (1 - rate) + 1.0)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:terms]
-    chosen = np.sort(chosen[with_any[chosen] >= 3])
-    if not len(chosen):
-        return Machine(place, start, np.zeros(0), np.zeros((0, factors)))
-    place[chosen] = np.arange(len(chosen))
-    term = place[flat]
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    x[owner[term >= 0], term[term >= 0]] = 1.0
-    y = labels.astype(np.float32)
-    weight = np.where(labels == 1, share / rate, (1 - share) / (1 - rate)).astype(np.float32)
+    weight = np.where(labels == 1, share / rate, (1 - share) / (1 - rate))
+    chosen = np.zeros(0, np.int64)
+    expected, bar = np.full(len(rows), rate), None
+    bias, w, v = start, np.zeros(0), np.zeros((0, factors))
+    with_any = np.bincount(flat, minlength=BUCKETS)
+    for _ in range(ROUNDS):
+        odds = expected * (rate / (1 - rate)) / (share / (1 - share)) if len(chosen) else None
+        p = expected if odds is None else odds / (1 - expected + odds)  # as the sample's classes are mixed
+        z = np.bincount(flat, (labels - p)[owner], BUCKETS) / np.sqrt(np.bincount(flat, (p * (1 - p))[owner], BUCKETS) + 1.0)
+        z[chosen] = 0
+        z[with_any < 3] = 0
+        bar = max(STANDS_OUT, 0.25 * np.abs(z).max()) if bar is None else bar
+        best = np.argsort(-np.abs(z), kind="stable")[: terms - len(chosen)]
+        best = best[np.abs(z[best]) >= max(bar, 0.5 * np.abs(z).max())]
+        if not len(best):
+            break
+        place[best] = len(chosen) + np.arange(len(best))
+        chosen = np.concatenate((chosen, best))
+        term = place[flat]
+        x = np.zeros((len(rows), len(chosen)), np.float32)
+        x[owner[term >= 0], term[term >= 0]] = 1.0
+        bias, w, v = _descend(x, labels.astype(np.float32), weight.astype(np.float32), start, factors, passes)
+        s = x @ v
+        total = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+        expected = 1 / (1 + np.exp(-np.clip(total.astype(np.float64), -30, 30)))
+    return Machine(place, float(bias), w.astype(np.float64), v.astype(np.float64))
+
+
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float, factors: int, passes: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam over shuffled batches, with a little decay; the same for the same rows."""
     rng = np.random.default_rng(_SEED)
-    bias, w = np.float32(start), np.zeros(len(chosen), np.float32)
-    v = (0.01 * rng.standard_normal((len(chosen), factors))).astype(np.float32)
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), w, v)]
-    step, batch = 0, 512
-    decay = 2.0 / max(200, len(rows))
-    for _ in range(passes):
-        order = rng.permutation(len(rows))
+    values = [np.array([start], np.float32), np.zeros(x.shape[1], np.float32), (0.01 * rng.standard_normal((x.shape[1], factors))).astype(np.float32)]
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in values]
+    step, batch = 0, 256
+    decay = 0.2 / max(200, len(x))
+    total_steps = max(1500, passes * len(x) // batch)
+    while step < total_steps:
+        order = rng.permutation(len(x))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
-            xb = x[part]
+            xb, (bias, w, v) = x[part], values
             s = xb @ v
-            total = bias + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
+            total = bias[0] + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
             error = weight[part] * (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y[part]) / len(part)
-            grads = [np.array([error.sum()]), xb.T @ error + decay * w, xb.T @ (error[:, None] * s) - (xb.T @ error)[:, None] * v + 5 * decay * v]
+            slopes = [np.array([error.sum()]), xb.T @ error + decay * w, xb.T @ (error[:, None] * s) - (xb.T @ error)[:, None] * v + 10 * decay * v]
             step += 1
-            for k, g in enumerate(grads):
-                first, second = moments[k]
-                first *= 0.9
-                first += 0.1 * g
-                second *= 0.999
-                second += 0.001 * g * g
-                change = 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-                if k == 0:
-                    bias -= change[0]
-                elif k == 1:
-                    w -= change
-                else:
-                    v -= change
-    return Machine(place, float(bias), w.astype(np.float64), v.astype(np.float64))
+            rate = 0.05 * max(0.02, 1 - step / total_steps)
+            for value, slope, (first, second) in zip(values, slopes, moments, strict=True):
+                first += 0.1 * (slope - first)
+                second += 0.001 * (slope * slope - second)
+                value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return float(values[0][0]), values[1], values[2]
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", class_rows: int = CLASS_ROWS) -> Machine:
