@@ -201,12 +201,12 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
             for piece in arrow_text.pieces(batch, "text", 4 << 20):
                 data, offsets = arrow_text.buffers(piece.column("text"))
                 raw = memoryview(data)
-                texts = (raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-                for key, body in zip(piece.column("id").to_pylist(), texts, strict=True):
+                texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                for key, ids in zip(piece.column("id").to_pylist(), encoder(path).encode(texts), strict=True):
                     if writer is None:
                         name = f"{folder}/tokens-{partition:05d}-{number:05d}-{uuid.uuid4().hex}.pfor"
                         writer = FileWriter(name)
-                    writer.add(key, np.concatenate((np.frombuffer(encoder(path).encode([body])[0], "<u4"), end)))
+                    writer.add(key, np.concatenate((np.frombuffer(ids, "<u4"), end)))
                     if writer.ids >= FILE_IDS:
                         yield done()
                         writer, number = None, number + 1
@@ -228,7 +228,7 @@ def read_digests(manifest: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     order = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    files = files.select("path", "before").repartition(F.col("path"))
+    files = files.select("path", "before").repartition(max(1, manifest.count()))  # a task for each file
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
