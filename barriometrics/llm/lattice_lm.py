@@ -13,7 +13,7 @@ discounts together are the weight of the subword arcs. So the marginal of a word
 probabilities of all words sum to one. Pieces alone forget which words are frequent.
 
 Beside the marginal there is the add-one unigram base over words, whose counts are joined to the texts.
-The ``HEAD_WORDS`` most frequent words go to every task; the others, rare by construction, meet their
+The most frequent words, at most ``HEAD_WORDS``, go to every task; the others, rare by construction, meet their
 counts in a shuffle, so a word that fills a third of the corpus is never a join key.
 """
 
@@ -239,6 +239,22 @@ def fit(counts: DataFrame, model: ModelFile, rounds: int = ROUNDS) -> Pieces:
     return pieces
 
 
+def _size_class(count: str) -> Column:
+    return F.floor(F.log2(count) * 8)
+
+
+def _head_class(counts: DataFrame, head: int) -> int:
+    """The smallest class of counts from which on there are at most ``head`` words. Classes are few hundred at most."""
+    sizes = {r["k"]: r["n"] for r in counts.groupBy(_size_class("c").alias("k")).agg(F.count("*").alias("n")).collect()}
+    total, lowest = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > head:
+            break
+        lowest = k
+    return lowest
+
+
 def scores(documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text: str = "text", head: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row's whole text.
 
@@ -258,8 +274,7 @@ def scores(documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text:
     share = discount * distinct / n if distinct else 0.5  # of the subword arcs
     end_share = ends / n if distinct else 0.5
     pieces = fit(counts, model, rounds)
-    top = counts.select("h", "word", "c").orderBy(F.desc("c"), "h").limit(head).toArrow()
-    top = top.combine_chunks()
+    top = counts.where(_size_class("c") >= _head_class(counts, head)).select("h", "word", "c").toArrow().combine_chunks()
     data, offsets = arrow_text.buffers(top.column("word").combine_chunks().cast(pa.large_binary()).view(pa.large_string()) if top.num_rows else pa.array([], pa.string()))
     marginal = log_marginals(pieces, data, offsets[:-1], offsets[1:])
     marginal = np.log10((top.column("c").to_numpy() - discount) / max(1, n) + share * np.exp(marginal))
