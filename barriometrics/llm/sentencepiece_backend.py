@@ -13,9 +13,11 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 import tokenizers
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Regex, models, normalizers, pre_tokenizers
@@ -59,8 +61,6 @@ class Backend:
     def __init__(self, path: str, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
         self.model = ModelFile.read(path)
         self.tokenizer = build(self.model)
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -82,26 +82,36 @@ class Backend:
             return " ⁇ ".encode()
         return b"" if kind == CONTROL else piece.replace(MARKER, " ").encode()
 
-    def encode(self, text: bytes) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.by_word or MARKER.encode() in text:
-            return np.frombuffer(whole(self.tokenizer, text.decode()), "<u4")
-        words = text.split(b" ")
-        if b"" in words:  # runs of spaces stay with the word behind them
-            words = _spaced(words)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            plain = [w for w in new if w and b" " not in w]
-            cache.update(zip(plain, joined(self.split, [w.decode() for w in plain]), strict=True))
-            cache.update((w, whole(self.tokenizer, w.decode())) for w in new if b" " in w)
-            cache[b""] = np.array([self.model.pieces.index(MARKER)], "<u4").tobytes()
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        split: list[list[bytes] | None] = []
+        for text in texts:
+            words = text.split(b" ") if text and self.by_word and MARKER.encode() not in text else None
+            split.append(_spaced(words) if words and b"" in words else words)  # runs of spaces stay with the word behind them
+        words = list(chain.from_iterable(w for w in split if w))
+        found = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = self._new(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                found[i] = new[words[i]]
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()
+            self.cache.update(new)
+        out, at = [], 0
+        for text, own in zip(texts, split, strict=True):
+            if own is None:
+                out.append(np.frombuffer(whole(self.tokenizer, text.decode()) if text else b"", "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(found[at : at + len(own)]), "<u4"))
+                at += len(own)
+        return out
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if w and b" " not in w]
+        new = dict(zip(plain, joined(self.split, [w.decode() for w in plain]), strict=True))
+        new.update((w, whole(self.tokenizer, w.decode())) for w in words if b" " in w)
+        new[b""] = np.array([self.model.pieces.index(MARKER)], "<u4").tobytes()
+        return new
 
     def decode(self, ids: np.ndarray) -> bytes:
         text = b"".join([self.bytes_of[i] for i in ids.tolist()])
@@ -148,9 +158,9 @@ def encode(documents: DataFrame, path: str, text: str = "text", carry: list[str]
                 raw = memoryview(data)
                 found: list[np.ndarray] = []
                 parity, trips = [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    body = raw[a:b].tobytes()
-                    got, wanted = tools.encode(body), np.array(tools.original.encode(body.decode()), np.uint32)
+                texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                for body, got in zip(texts, tools.encode(texts), strict=True):
+                    wanted = np.array(tools.original.encode(body.decode()), np.uint32)
                     parity.append(np.array_equal(got, wanted))
                     found.append(got if parity[-1] else wanted)
                     trips.append(tools.decode(found[-1]) == body)
