@@ -13,15 +13,16 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import tokenizers
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+CACHE_STEMS = 700_000
 _JOINED = 512
-#: Latin letters, then ASCII marks other than the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Latin letters in UTF-8 (A-Z, a-z, À-ÿ without × and ÷), then ASCII marks other than the apostrophe.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def whole(tokenizer: tokenizers.Tokenizer, text: str) -> bytes:
@@ -61,7 +62,7 @@ class WordEncoder:
         self.by_word = drops_white_space(settings)
         self.apart = self.by_word and splits_marks(settings)
         self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
@@ -74,9 +75,7 @@ class WordEncoder:
             new = self._new(list(dict.fromkeys([words[i] for i in missing])))
             for i in missing:
                 found[i] = new[words[i]]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update(new)
+            remember(self.cache, new, CACHE_WORDS)
         ends = [0, *accumulate(map(len, split))]
         return [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
@@ -88,17 +87,23 @@ class WordEncoder:
         """
         parts = {}
         for word in words:
-            text = word.decode()
-            match = PLAIN(text) if self.apart else None
-            parts[word] = (match[1].lower(), match[2]) if match else (text,)
+            match = PLAIN(word) if self.apart else None
+            parts[word] = (match[1].lower(), match[2]) if match else (word, b"")
         stems = self.stems
         new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p and p not in stems]
-        if len(stems) + len(new) > CACHE_WORDS:
-            stems.clear()
-            new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p]
-        stems.update(zip(new, joined(self.tokenizer, new), strict=True))
-        stems[""] = b""
-        return {word: b"".join([stems[p] for p in part]) for word, part in parts.items()}
+        met = dict(zip(new, joined(self.tokenizer, [p.decode() for p in new]), strict=True))
+        met[b""] = b""
+        out = {w: (met[a] if a in met else stems[a]) + (met[b] if b in met else stems[b]) for w, (a, b) in parts.items()}
+        remember(stems, met, CACHE_STEMS)
+        return out
+
+
+def remember(cache: dict, new: dict, most: int) -> None:
+    """Add entries; a full cache first forgets its older half."""
+    if len(cache) + len(new) > most:
+        for key in list(islice(cache, len(cache) // 2)):
+            del cache[key]
+    cache.update(new)
 
 
 def drops_white_space(settings: dict) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Regex, models, normalizers, pre_tokenizers
 
 from barriometrics.llm import arrow_text
-from barriometrics.llm.encoders import CACHE_WORDS, joined, whole
+from barriometrics.llm.encoders import CACHE_WORDS, joined, remember, whole
 from barriometrics.llm.model_file import BPE, BYTE, CONTROL, UNKNOWN, ModelFile
 
 MARKER = "▁"
@@ -94,9 +94,7 @@ class Backend:
             new = self._new(list(dict.fromkeys([words[i] for i in missing])))
             for i in missing:
                 found[i] = new[words[i]]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update(new)
+            remember(self.cache, new, 2 * CACHE_WORDS)
         out, at = [], 0
         for text, own in zip(texts, split, strict=True):
             if own is None:
