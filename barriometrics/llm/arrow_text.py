@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -194,7 +194,7 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """(h, word, c): how often each word occurs in all given texts. Words fold inside tasks before the shuffle."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in arrow_text.pieces(batch, "text"):
+            for piece in arrow_text.pieces(batch, "text", 8 << 20):
                 found = arrow_text.words(piece.column("text"), arrow_text.SPACED)
                 hashes, first, counts = np.unique(found.hash, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(

@@ -20,12 +20,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs, parquet
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barriometrics.llm import arrow_text
 from barriometrics.llm.graph import components
-from barriometrics.session import materialise
+from barriometrics.session import materialise, scratch_path
 
 SHINGLE = 4
 BITS = 4
@@ -300,8 +301,8 @@ def wide_links(prints: DataFrame, bits: int, lanes: int = LANES) -> DataFrame:
     ``prints`` has distinct ``fingerprint`` arrays with a long ``id``. Every fingerprint is posted under pairs
     of positional bytes (each byte with the next one, every other byte with the seventh after it); pairs met
     in a list are verified by all their bits. No number of shared bytes is guaranteed at this distance: the
-    README has the measured recall. In a list of up to 64 rows all verified pairs come out, in a longer one
-    a tree of them that reaches all that can be reached.
+    README has the measured recall. Of a list with more verified pairs than rows only a tree of them comes
+    out, which reaches all that can be reached.
     """
     size = 8 * lanes
     words = [F.element_at("fingerprint", k + 1) for k in range(lanes)]
@@ -327,23 +328,44 @@ def wide_links(prints: DataFrame, bits: int, lanes: int = LANES) -> DataFrame:
 
 
 def _wide_pairs(rows: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Verified pairs of a sorted run of lists, the smaller id first."""
+    """Verified pairs of a sorted run of lists, the smaller id first; of a list with more pairs than rows a tree of them."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     key, number, words = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
-    short = np.repeat(sizes <= 64, sizes)
+    of_list = np.repeat(np.arange(len(starts)), sizes)
+    short = (sizes <= 64)[of_list]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for step in range(1, min(int(sizes.max()), 64)):
         a = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
-        near = np.bitwise_count(words[a] ^ words[a + step]).sum(1, dtype=np.int64) <= bits
-        found.append((number[a[near]], number[a[near] + step]))
-    for i in np.flatnonzero(sizes > 64):
-        found += _reached(number[starts[i] : starts[i] + sizes[i]], words[starts[i] : starts[i] + sizes[i]], bits)
+        near = a[np.bitwise_count(words[a] ^ words[a + step]).sum(1, dtype=np.int64) <= bits]
+        found.append((near, near + step))
     pairs = np.concatenate([np.stack(f, 1) for f in found]) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, 1), axis=0)
+    dense = np.bincount(of_list[pairs[:, 0]], minlength=len(starts)) > np.maximum(8, sizes)
+    pairs = pairs[~dense[of_list[pairs[:, 0]]]]
+    out = [np.stack((number[pairs[:, 0]], number[pairs[:, 1]]), 1)]
+    for i in np.flatnonzero(dense | (sizes > 64)):
+        part = slice(starts[i], starts[i] + sizes[i])
+        out += [np.stack(p, 1) for p in _long_list(number[part], words[part], bits, bool(dense[i]))]
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _long_list(number: np.ndarray, words: np.ndarray, bits: int, dense: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one list where there are few, else a tree of them."""
+    out, many = [], 0
+    for a in range(0, 0 if dense else len(number), 128):
+        near = np.bitwise_count(words[a : a + 128, None, :] ^ words[None, a:, :]).sum(2, dtype=np.int64) <= bits
+        x, y = np.nonzero(near)
+        x, y = x[x < y], y[x < y]
+        out.append((number[a + x], number[a + y]))
+        many += len(x)
+        if many > len(number):
+            dense = True
+            break
+    return _reached(number, words, bits) if dense else out
+
+
 def _reached(number: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one list, breadth first from each leader: a row once reached is not met again."""
     left, out = np.arange(len(number)), []
@@ -355,7 +377,8 @@ def _reached(number: np.ndarray, words: np.ndarray, bits: int) -> list[tuple[np.
                 near = np.bitwise_count(words[left] ^ words[one]).sum(1, dtype=np.int64) <= bits
                 if near.any():
                     new.append(left[near])
-                    out.append((np.full(len(new[-1]), number[one]), number[new[-1]]))
+                    ends = np.full(len(new[-1]), number[one]), number[new[-1]]
+                    out.append((np.minimum(*ends), np.maximum(*ends)))
                     left = left[~near]
             frontier = np.concatenate(new) if new else np.zeros(0, np.int64)
     return out
@@ -375,8 +398,8 @@ def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
-    """As ``groups``, linking texts of the given shingle similarity: ``row``, ``component_id``, ``kept``.
+def _similar_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The written fingerprints, and (fingerprint, component_id, keeper) of their groups of similar texts.
 
     Equal fingerprints fold to one before indexing. Pairs within ``similar_bits`` are held against sketches
     of their shingle sets, which tell the similarity to a few hundredths (almost exactly for short texts).
@@ -393,9 +416,50 @@ def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     lowest = known.groupBy("root").agg(F.min("low").alias("lowest"))
     table = known.join(lowest, "root").select("fingerprint", F.col("lowest.id").alias("component_id"), F.col("lowest.rid").alias("keeper"))
     table = materialise(table, "components")
-    return prints.join(table, "fingerprint").select("row", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
+    return prints, table
+
+
+def similar_groups(documents: DataFrame, doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
+    """As ``groups``, linking texts of the given shingle similarity: ``row``, ``component_id``, ``kept``."""
+    prints, table = _similar_table(documents, doc_id, "text", shingle, similarity, carry)
+    return prints.drop("sketch").join(table, "fingerprint").select("row", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose ``rid`` is among those of ``kept``, without moving the rows.
+
+    A rid holds the number of the task that wrote the row. The kept numbers are written in a folder for
+    each such task, and whoever reads a task's rows reads its folder: a few bytes for each row, no shuffle
+    of the texts.
+    """
+    folder = scratch_path(rows.sparkSession, "kept")
+    numbers = kept.select(F.shiftright("rid", 33).alias("task"), F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)).alias("number"))
+    numbers.repartition("task").sortWithinPartitions("task").write.partitionBy("task").parquet(folder)
+    fields = rows.schema
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = fs.FileSystem.from_uri(folder)
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(rid), bool)
+            for task in np.unique(rid >> 33).tolist():
+                if task not in known:
+                    known = {task: _numbers(system, f"{place}/task={task}")}
+                mine = rid >> 33 == task
+                keep[mine] = np.isin(rid[mine] & ((1 << 33) - 1), known[task])
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(choose, fields)
+
+
+def _numbers(system: fs.FileSystem, place: str) -> np.ndarray:
+    files = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    tables = [parquet.read_table(f.path, filesystem=system, columns=["number"], partitioning=None) for f in files if f.path.endswith(".parquet")]
+    return np.concatenate([t.column("number").to_numpy() for t in tables]) if tables else np.zeros(0, np.int64)
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of similar texts, the one with the smallest doc_id, with the columns it came with."""
-    return similar_groups(documents, doc_id, shingle=shingle, similarity=similarity).where("kept").select("row.*")
+    prints, table = _similar_table(documents, doc_id, "text", shingle, similarity)
+    return _only(prints.select("row", "rid"), table.select(F.col("keeper").alias("rid")).distinct()).select("row.*")

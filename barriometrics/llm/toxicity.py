@@ -21,7 +21,7 @@ from barriometrics.llm import arrow_text
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-CLASS_ROWS = 10_000
+CLASS_ROWS = 6_000
 TERMS = 256
 FACTORS = 4
 PASSES = 60
@@ -87,13 +87,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, terms: int = T
     chosen = np.zeros(0, np.int64)
     expected, bar = np.full(len(rows), rate), None
     bias, w, v = start, np.zeros(0), np.zeros((0, factors))
-    with_any = np.bincount(flat, minlength=BUCKETS)
     for _ in range(ROUNDS):
         odds = expected * (rate / (1 - rate)) / (share / (1 - share)) if len(chosen) else None
         p = expected if odds is None else odds / (1 - expected + odds)  # as the sample's classes are mixed
         z = np.bincount(flat, (labels - p)[owner], BUCKETS) / np.sqrt(np.bincount(flat, (p * (1 - p))[owner], BUCKETS) + 1.0)
         z[chosen] = 0
-        z[with_any < 3] = 0
         bar = max(STANDS_OUT, 0.25 * np.abs(z).max()) if bar is None else bar
         best = np.argsort(-np.abs(z), kind="stable")[: terms - len(chosen)]
         best = best[np.abs(z[best]) >= max(bar, 0.5 * np.abs(z).max())]
@@ -170,7 +168,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         votes.setdefault(key, []).append(y)
     keys = sorted(kept)
     y = np.array([int(2 * sum(votes[k]) > len(votes[k])) for k in keys], np.int64)
-    return fit([kept[k].astype(np.int64) for k in keys], y, sizes.get(1, 0) / total)
+    return fit([kept[k] for k in keys], y, sizes.get(1, 0) / total)
 
 
 def score(documents: DataFrame, machine: Machine, text: str = "text", carry: list[str] | None = None) -> DataFrame:
