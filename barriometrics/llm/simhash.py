@@ -310,7 +310,8 @@ def wide_links(prints: DataFrame, bits: int, lanes: int = LANES) -> DataFrame:
     pairs = [(p, (p + 1) % size) for p in range(size)] + [(p, (p + 7) % size) for p in range(0, size, 2)]
     keys = F.array(*[(byte[p] * 256 + byte[q]) * len(pairs) + k for k, (p, q) in enumerate(pairs)])
     posted = prints.select("id", *[w.alias(f"w{k}") for k, w in enumerate(words)], F.explode(keys).alias("key"))
-    posted = posted.repartition("key").sortWithinPartitions("key")
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * len(pairs))  # few lists of one text meet in a task
+    posted = posted.repartition(parts, "key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, lanes + 2), np.int64)
