@@ -50,6 +50,13 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         first = end
 
 
+def with_text(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """The batch with a column ``text``: its own, or that of its ``row`` structs, which isn't sent twice."""
+    if "text" in batch.schema.names:
+        return batch
+    return pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field(name)], [*batch.schema.names, "text"])
+
+
 @cache
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random byte values, powers of an odd multiplier and of its inverse, modulo 2**64."""

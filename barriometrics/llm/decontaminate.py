@@ -218,18 +218,18 @@ def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", item
     tests = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("body")).distinct()
     size = tests.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-size // TEST_BLOCK_BYTES))
-    out = documents.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    out = documents.select(F.struct("*").alias("row"))
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).orderBy("item", "body").collect()
         shared = spark.sparkContext.broadcast(Tests.of([(r["item"], r["body"]) for r in rows], window))
-        schema = T.StructType([*out.schema.fields[:2], T.StructField("found", _FOUND)])
+        schema = T.StructType([out.schema["row"], T.StructField("found", _FOUND)])
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in arrow_text.pieces(batch, "text"):
+                for piece in arrow_text.pieces(arrow_text.with_text(batch, text), "text"):
                     earlier = piece.column("found").to_pylist() if "found" in piece.schema.names else None
                     found = _shard_rows(piece, shared.value, earlier)
-                    yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array(found, _ARROW)], ["row", "text", "found"])
+                    yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(found, _ARROW)], ["row", "found"])
 
         out = out.mapInArrow(search, schema)
     return out.select("row", "found")

@@ -18,8 +18,8 @@ from itertools import accumulate, chain, islice
 import numpy as np
 import tokenizers
 
-CACHE_WORDS = 300_000
-CACHE_STEMS = 700_000
+CACHE_WORDS = 600_000
+CACHE_STEMS = 600_000
 _JOINED = 512
 #: Latin letters in UTF-8 (A-Z, a-z, À-ÿ without × and ÷), then ASCII marks other than the apostrophe.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)").fullmatch

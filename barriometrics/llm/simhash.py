@@ -99,8 +99,10 @@ def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGL
     ``rid`` numbers the rows of this run; write the table before using it twice. NULL, empty and
     white-space texts have fingerprint 0; repeated rows each have theirs.
     """
-    row = F.struct(*carry) if carry else F.struct("*")
-    out = documents.select(row.alias("row"), F.col(text).cast("string").alias("text"))
+    if carry:
+        out = documents.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
+    else:
+        out = documents.select(F.struct("*").alias("row"))
     kind = T.LongType() if lanes == 1 else T.ArrayType(T.LongType())
     fields = [out.schema["row"], T.StructField("fingerprint", kind), T.StructField("rid", T.LongType())]
     schema = T.StructType(fields + [T.StructField("sketch", T.BinaryType())] * (lanes > 1))
@@ -108,7 +110,7 @@ def fingerprints(documents: DataFrame, text: str = "text", shingle: int = SHINGL
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for piece in arrow_text.pieces(batch, "text"):
+            for piece in arrow_text.pieces(arrow_text.with_text(batch, text), "text"):
                 data, offsets = arrow_text.buffers(piece.column("text"))
                 raw, n = memoryview(data), piece.num_rows
                 texts = (raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))

@@ -177,12 +177,14 @@ def score(documents: DataFrame, machine: Machine, text: str = "text", carry: lis
     NULL and empty texts have the score of no terms. The text is the only input.
     """
     shared = documents.sparkSession.sparkContext.broadcast(machine)
-    row = F.struct(*carry) if carry else F.struct("*")
-    out = documents.select(row.alias("row"), F.col(text).cast("string").alias("text"))
+    if carry:
+        out = documents.select(F.struct(*carry).alias("row"), F.col(text).cast("string").alias("text"))
+    else:
+        out = documents.select(F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in arrow_text.pieces(batch, "text"):
+            for piece in arrow_text.pieces(arrow_text.with_text(batch, text), "text"):
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(shared.value.scores(piece.column("text")))], ["row", "score"])
 
     return out.mapInArrow(run, T.StructType([out.schema["row"], T.StructField("score", T.DoubleType())]))
