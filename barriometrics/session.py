@@ -28,13 +28,15 @@ def build_session(app: str = "barriometrics", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or in local mode a temporary one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="barriometrics-")
         context.setCheckpointDir(current)
     return current
