@@ -84,44 +84,50 @@ LAYOUTS = {
 
 
 class CardReader(HTMLParser):
-    """Collects one dict per card; ``amount`` is the text right behind the currency mark."""
+    """Collects one dict per card, in the order in which cards open; ``amount`` is the text right behind the currency mark.
+
+    A card inside a matching element is a card of its own, and its text also belongs to the outer one. A
+    page cut off in mid-card keeps what it has.
+    """
 
     def __init__(self, layout: Layout):
         super().__init__(convert_charrefs=True)
         self.layout = layout
         self.has_container = False
         self.cards: list[dict] = []
-        self._open: list[tuple[str, set[str]]] = []
-        self._card: dict | None = None
-        self._after_currency = False
+        self._live: list[dict] = []
+        self._open: list[tuple[str, list[tuple[dict, str]]]] = []
+        self._after_currency: list[dict] = []
 
-    def _inside(self, role: str) -> bool:
-        return any(role in roles for _, roles in self._open)
+    def _inside(self, card: dict, role: str) -> bool:
+        return any(c is card and r == role for _, roles in self._open for c, r in roles)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         values = dict(attrs)
-        roles: set[str] = set()
+        roles: list[tuple[dict, str]] = []
         if self.layout.container.holds(tag, values):
             self.has_container = True
-        if self._card is None and self.layout.card.holds(tag, values):
-            self._card = {"items": None}
-            roles.add("card")
-        self._after_currency = False
-        if self._card is not None:
+        if self.layout.card.holds(tag, values):
+            card = {"items": None}
+            self.cards.append(card)
+            self._live.append(card)
+            roles.append((card, "card"))
+        self._after_currency = []
+        for card in self._live:
             if self.layout.link_parent and self.layout.link_parent.holds(tag, values):
-                roles.add("link_parent")
-            in_parent = self.layout.link_parent is None or self._inside("link_parent")
-            if "href" not in self._card and in_parent and self.layout.link.holds(tag, values):
-                self._card["href"] = values.get("href")
+                roles.append((card, "link_parent"))
+            in_parent = self.layout.link_parent is None or self._inside(card, "link_parent")
+            if "href" not in card and in_parent and self.layout.link.holds(tag, values):
+                card["href"] = values.get("href")
             for name, rule in self.layout.fields.items():
-                if name not in self._card and rule.holds(tag, values):
-                    self._card[name] = ""
-                    roles.add(name)
+                if name not in card and rule.holds(tag, values):
+                    card[name] = ""
+                    roles.append((card, name))
                     if name == "features" and self.layout.item:
-                        self._card["items"] = []
-            if self.layout.item and tag == self.layout.item.tag and self._inside("features"):
-                self._card["items"].append("")
-                roles.add("item")
+                        card["items"] = []
+            if self.layout.item and tag == self.layout.item.tag and self._inside(card, "features"):
+                card["items"].append("")
+                roles.append((card, "item"))
         if tag not in VOID_TAGS:
             self._open.append((tag, roles))
 
@@ -130,28 +136,23 @@ class CardReader(HTMLParser):
             return
         while self._open:
             name, roles = self._open.pop()
-            if "currency" in roles:
-                self._after_currency = True
-            elif self._after_currency:
-                self._after_currency = False
-            if "card" in roles:
-                self.cards.append(self._card)
-                self._card = None
+            self._after_currency = [card for card, role in roles if role == "currency"]
+            for closed, role in roles:
+                if role == "card":
+                    self._live = [card for card in self._live if card is not closed]
             if name == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        if self._card is None:
-            return
-        if self._after_currency:
-            self._card.setdefault("amount", data.strip())
-            self._after_currency = False
+        for card in self._after_currency:
+            card.setdefault("amount", data.strip())
+        self._after_currency = []
         for _, roles in self._open:
-            for role in roles:
+            for card, role in roles:
                 if role == "item":
-                    self._card["items"][-1] += data
+                    card["items"][-1] += data
                 elif role in self.layout.fields:
-                    self._card[role] += data
+                    card[role] += data
 
 
 def _text(card: dict, name: str) -> str | None:

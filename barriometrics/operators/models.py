@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -88,8 +90,12 @@ def integer_features(df: DataFrame) -> DataFrame:
 
 
 def _score(df: DataFrame, model: PipelineModel, into: str) -> DataFrame:
-    scored = model.transform(df)
-    return scored.select(*[c for c in df.columns if c != into], F.col("prediction").alias(into))
+    """Every row comes back; one that lacks a feature has a NULL prediction."""
+    assembler, *learners = model.stages
+    keeping = assembler.copy({assembler.handleInvalid: "keep"})
+    scored = PipelineModel([keeping, *learners]).transform(df)
+    complete = reduce(and_, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in assembler.getInputCols()))
+    return scored.select(*[c for c in df.columns if c != into], F.when(complete, F.col("prediction")).alias(into))
 
 
 def predict_simple(df: DataFrame, model: PipelineModel, into: str = "simple_prediction") -> DataFrame:

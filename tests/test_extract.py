@@ -82,3 +82,19 @@ def test_stream_appends_each_page_once(spark, tmp_path):
         write_cards(page_stream(spark, folder), "Z", out, state).awaitTermination()
     counts = spark.read.parquet(out).groupBy("page_url").agg(F.count("*").alias("n")).collect()
     assert sorted((r["page_url"], r["n"]) for r in counts) == [("a", 2), ("b", 2)]
+
+
+def _card(code, price):
+    return f'<div class="listing__item"><a class="card" href="/depto--{code}"><p class="card__price"><span class="card__currency">USD</span> {price}</p></a>'
+
+
+def test_wrapped_nested_and_cut_off_cards_are_kept():
+    from barriometrics.operators.extract import read_cards
+
+    three = "".join(_card(c, 100 + c) + "</div>" for c in (1, 2, 3))
+    wrapped = read_cards(f'<div class="listing-container"><div class="listing__items">{three}</div></div>', "A")
+    assert [c["code"] for c in wrapped] == ["1", "1", "2", "3"] and [c["price"] for c in wrapped[1:]] == ["USD 101", "USD 102", "USD 103"]
+    cut = read_cards(f'<div class="listing-container">{_card(1, 5)}</div>{_card(2, 6)}', "A")
+    assert [(c["code"], c["price"]) for c in cut] == [("1", "USD 5"), ("2", "USD 6")]
+    nested = read_cards(f'<div class="listing-container">{_card(1, 5)}{_card(2, 6)}</div></div>', "A")
+    assert [c["code"] for c in nested] == ["1", "2"]

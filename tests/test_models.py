@@ -84,3 +84,15 @@ def test_feature_studies(rows):
     flat = rows.withColumn("flat", F.lit(1.0))
     assert selection.low_variance_filter(flat, [*FEATURES, "flat"]) == FEATURES
     assert selection.select_features(rows, FEATURES, share=0.25) == ["total_area"]
+
+
+def test_rows_without_a_feature_come_back_unscored(spark, rows):
+    gaps = rows.withColumn("antiquity", F.when(F.col("code") % 7 > 0, F.col("antiquity")))
+    wanted = gaps.filter("antiquity IS NULL").count()
+    simple, one_hot = models.train_simple(gaps, params=QUICK), models.train_ohe(gaps, params=QUICK)
+    scored = [
+        models.predict_simple(gaps, simple, "p"), models.predict_ohe(gaps, one_hot, "p"),
+        models.predict_by_neighborhood(gaps, {"PALERMO": simple, "RETIRO": simple, "ELSEWHERE": simple}, "p"),
+    ]
+    for df in scored:
+        assert df.count() == 400 and df.filter("p IS NULL").count() == wanted == df.filter("p IS NULL AND antiquity IS NULL").count()
