@@ -66,14 +66,22 @@ def derive_bathrooms(df: DataFrame) -> DataFrame:
     return df.withColumn("bathrooms", F.coalesce("bathrooms", text.bathrooms_from_rooms(F.col("rooms"))))
 
 
+def group_means(df: DataFrame, column: str, by: str) -> DataFrame:
+    """``by`` and ``_mean``, one row per group; NULL groups are left out."""
+    return df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.avg(column).alias("_mean"))
+
+
+def fill_from_mean(df: DataFrame, column: str) -> DataFrame:
+    """Unknown values take ``_mean``, which goes; then every value is rounded up."""
+    return df.withColumn(column, F.ceil(F.coalesce(column, "_mean")).cast("double")).drop("_mean")
+
+
 def impute_group_mean(df: DataFrame, column: str, by: str) -> DataFrame:
     """Unknown values take the group's mean; then every value is rounded up.
 
     The mean is a partial aggregate joined back, not a window, so a hot group is never gathered.
     """
-    means = df.groupBy(by).agg(F.avg(column).alias("_mean")).dropna()
-    joined = attach(df, means, [by])
-    return joined.withColumn(column, F.ceil(F.coalesce(column, "_mean")).cast("double")).drop("_mean")
+    return fill_from_mean(attach(df, group_means(df, column, by), [by]), column)
 
 
 def impute_lookup(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -102,6 +110,17 @@ def iqr_outlier_filter(df: DataFrame, column: str) -> DataFrame:
     return df.filter((F.col(column) >= fence["lower"]) & (F.col(column) <= fence["upper"]))
 
 
+def iqr_fence(df: DataFrame, column: str) -> tuple[float | None, float | None]:
+    """The fences as two numbers, for rows that are written and filtered again; none where there are no rows."""
+    return tuple(iqr_bounds(df, column).select("lower", "upper").first())
+
+
+def within(df: DataFrame, column: str, fence: tuple[float | None, float | None]) -> DataFrame:
+    """Rows inside two known fences; as plain numbers they reach the scan of a written table."""
+    lower, upper = (F.lit(x).cast("double") for x in fence)
+    return df.filter((F.col(column) >= lower) & (F.col(column) <= upper))
+
+
 def outlier_report(df: DataFrame, column: str) -> DataFrame:
     """Rows before and after the fences, the fences and the number of outliers."""
     fence = iqr_bounds(df, column).select(F.struct("lower", "upper").alias("b")).scalar()

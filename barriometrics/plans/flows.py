@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from barriometrics.operators import cleaning, crawl, evaluation, extract, models, neighborhoods, staging
+from barriometrics.operators.lookups import attach
 from barriometrics.session import materialise
 
 LISTING_COLUMNS = ("price", "neighborhood", "total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity")
@@ -36,7 +37,7 @@ def pages_to_raw(pages: DataFrame, portal: str) -> DataFrame:
 
 
 def clean_stg(stg: DataFrame, literal_prices: bool = False) -> DataFrame:
-    """STG rows to complete listings, names still as written. ``literal_prices`` reads price texts
+    """STG rows to listings that lack nothing but antiquity, names still as written. ``literal_prices`` reads price texts
     the older way, dollar prices included (they come out as missing)."""
     df = cleaning.parse_price_text(stg, literal_prices)
     df = cleaning.coerce_numeric(df)
@@ -49,25 +50,36 @@ def clean_stg(stg: DataFrame, literal_prices: bool = False) -> DataFrame:
     df = cleaning.derive_bedrooms(df)
     df = cleaning.derive_bathrooms(df)
     keep = [c for c in ("zonaprop_code", "argenprop_code", "snapshot_date") if c in df.columns]
-    # Narrow rows are written once here; the group means, the quartiles and the outlier filters
-    # after this point all read them again.
-    df = materialise(df.select(*keep, *LISTING_COLUMNS))
-    df = cleaning.impute_group_mean(df, "antiquity", "neighborhood")
-    return cleaning.impute_lookup(df, "antiquity", "neighborhood")
+    return df.select(*keep, *LISTING_COLUMNS)
+
+
+def fill_and_map(cleaned: DataFrame, long_aliases: bool = True) -> DataFrame:
+    """Antiquity filled and names mapped by one lookup with a row per name as written.
+
+    The narrow rows are written first: the lookup is folded from them and then joined to them.
+    """
+    rows = materialise(cleaned, "cleaned")
+    names = materialise(cleaning.group_means(rows, "antiquity", "neighborhood"), "names")
+    mapping = neighborhoods.name_mapping(names, "neighborhood", long_aliases)
+    df = attach(rows, names.join(mapping, "neighborhood", "left"), ["neighborhood"])
+    df = cleaning.impute_lookup(cleaning.fill_from_mean(df, "antiquity"), "antiquity", "neighborhood")
+    return df.withColumn("neighborhood", F.col("_mapped")).drop("_mapped")
 
 
 def without_outliers(df: DataFrame) -> DataFrame:
-    """Minimum values, then price fences, then area fences over what is left."""
-    df = cleaning.min_value_filter(df)
-    df = cleaning.iqr_outlier_filter(df, "price")
-    return cleaning.iqr_outlier_filter(df, "total_area")
+    """Minimum values, then price fences, then area fences over what is left.
+
+    The rows are written once; each fence is worked out once from them, and both are plain numbers.
+    """
+    rows = materialise(cleaning.min_value_filter(df), "listings")
+    priced = cleaning.within(rows, "price", cleaning.iqr_fence(rows, "price"))
+    return cleaning.within(priced, "total_area", cleaning.iqr_fence(priced, "total_area"))
 
 
 def training_table(stg_z: DataFrame, stg_a: DataFrame) -> DataFrame:
     """Both portals' newest STG to the model table (names mapped before the outlier rules)."""
     cleaned = clean_stg(cleaning.union_portals(stg_z, stg_a))
-    mapped = neighborhoods.drop_unmapped(neighborhoods.map_neighborhood(cleaned))
-    return without_outliers(mapped)
+    return without_outliers(neighborhoods.drop_unmapped(fill_and_map(cleaned)))
 
 
 def report_listings(
@@ -76,16 +88,16 @@ def report_listings(
     """One portal Z RAW snapshot to report listings: outliers out, names mapped by the short table.
 
     ``map_first`` drops unmapped names before the outlier rules instead of after them.
-    ``literal_prices`` loses dollar prices, as the older reports did. The result is written once,
-    since every report figure reads it again.
+    ``literal_prices`` loses dollar prices, as the older reports did. The result is a filter on a
+    written table, so every report figure can read it again.
     """
     if literal_prices:
         raw = raw.filter(~F.startswith("price", F.lit("USD ")))
     cleaned = clean_stg(staging.stage_z(raw, usd_rate), literal_prices)
-    mapped = neighborhoods.map_neighborhood(cleaned, long_aliases=False)
+    mapped = fill_and_map(cleaned, long_aliases=False)
     if map_first:
-        return materialise(without_outliers(neighborhoods.drop_unmapped(mapped)))
-    return materialise(neighborhoods.drop_unmapped(without_outliers(mapped)))
+        return without_outliers(neighborhoods.drop_unmapped(mapped))
+    return neighborhoods.drop_unmapped(without_outliers(mapped))
 
 
 def stock_listings(stock: DataFrame, usd_rate: float = 1225.0) -> DataFrame:
