@@ -8,9 +8,15 @@ end; no piece spans a marker, so the forward recursion over a text is a product
 distinct word's marginal is computed once where it is met.
 
 A word seen in training is one more arc over its whole length: it has its count less a discount, and the
-discounts together are the weight of the subword arcs. So the marginal of a word is
-(c - d) / N + (d V / N) * sum over segmentations of the products of piece weights; with the end's share the
-probabilities of all words sum to one. Pieces alone forget which words are frequent.
+discounts together are the weight of the subword arcs. Pieces alone forget which words are frequent.
+
+A text is of one of a few kinds, which are the values of a column such as the language among the training
+rows (the ``KINDS`` - 1 most frequent, all others together). Each kind k has its own word counts, and its discounts go to
+words of any kind and to the subword arcs, in the shares in which words met once in k are known elsewhere or new:
+P(w | k) = (c_k - d_k) / N_k + (d_k V_k / N_k) * ((1 - g_k) c / C + g_k * sum over segmentations of the products of
+piece weights), where the first term is for words of k only. With the end's share the probabilities of all words sum
+to one. The kind of the text to be scored is not read: its probability is the sum over all kinds of the kind's share of
+the training rows times the product over its words.
 
 Beside the marginal there is the add-one unigram base over words, whose counts are joined to the texts.
 The most frequent words, at most ``HEAD_WORDS``, go to every task; the others, rare by construction, meet their
@@ -33,11 +39,11 @@ from barriometrics.session import materialise
 
 HEAD_WORDS = 300_000
 ROUNDS = 2
+#: Kinds of texts at most; texts of all further values are one kind.
+KINDS = 16
 #: Added to the expected count of each piece, so that none has probability zero.
 FLOOR = 0.01
 MARKER = "▁".encode()
-#: log10 probability of an end where none was seen; such a model has learnt nothing.
-NEVER = -300.0
 _BLOCK = 400_000  # bytes of words worked on at once
 
 
@@ -190,19 +196,30 @@ def expected_counts(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np
     return total
 
 
-def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(h, word, c): how often each word occurs in all given texts. Words fold inside tasks before the shuffle."""
+def word_counts(documents: DataFrame, kinds: int = 1, text: str = "text", kind: str = "kind") -> DataFrame:
+    """(h, word, c, c0, c1, ...): how often each word occurs in all given texts, and in those of each kind.
+
+    ``kind`` numbers them from 0. Words fold inside tasks before the shuffle.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in arrow_text.pieces(batch, "text", 8 << 20):
                 found = arrow_text.words(piece.column("text"), arrow_text.SPACED)
-                hashes, first, counts = np.unique(found.hash, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), _strings(found.data, found.start[first], found.end[first]), pa.array(counts)], ["h", "word", "c"]
-                )
-
-    found = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "h long, word binary, c long")
-    return found.groupBy("h", "word").agg(F.sum("c").alias("c"))
+                of_row = piece.column("kind").to_numpy(zero_copy_only=False)
+                of_word = of_row[found.row]
+                for k in np.unique(of_row):
+                    mine = np.flatnonzero(of_word == k)
+                    hashes, first, counts = np.unique(found.hash[mine], return_index=True, return_counts=True)
+                    first = mine[first]
+                    words = _strings(found.data, found.start[first], found.end[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), k, np.int32)), pa.array(hashes.view(np.int64)), words, pa.array(counts)], ["kind", "h", "word", "c"]
+                    )
+
+    rows = documents.select(F.col(text).cast("string").alias("text"), F.col(kind).cast("int").alias("kind"))
+    found = rows.mapInArrow(count, "kind int, h long, word binary, c long")
+    of_kind = [F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
+    return found.groupBy("h", "word").agg(F.sum("c").alias("c"), *of_kind)
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -255,36 +272,91 @@ def _head_class(counts: DataFrame, head: int) -> int:
     return lowest
 
 
-def scores(documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text: str = "text", head: int = HEAD_WORDS, rounds: int = ROUNDS) -> DataFrame:
+@dataclass
+class Kind:
+    """One kind's share of the training rows and of its own tokens; logarithms are to base 10."""
+
+    log_prior: float
+    discount: float
+    tokens: int
+    share: float  # of the discounts
+    new: float  # part of them for the subword arcs
+    log_end: float
+
+    @staticmethod
+    def of(rows: int, of_rows: int, words: int, distinct: int, once: int, twice: int, new: int, alone: bool) -> Kind:
+        """``new`` of the ``once`` words that this kind has once occur nowhere else."""
+        tokens = words + rows
+        discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+        share = discount * distinct / tokens if distinct else 0.5
+        part = 1.0 if alone else min(0.98, max(0.05, new / max(1, once)))
+        prior = float(np.log10(rows / of_rows)) if rows else 0.0
+        return Kind(prior, discount, max(1, tokens), share, part, float(np.log10(rows / tokens if distinct else 0.5)))
+
+    def log_words(self, own: np.ndarray, all_: np.ndarray, words: int, subword: np.ndarray) -> np.ndarray:
+        """Of known words, by their counts in this kind and in all, and the natural log of their subword marginals."""
+        first = np.where(own > 0, own - self.discount, 0.0) / self.tokens
+        return np.log10(first + self.share * ((1 - self.new) * all_ / max(1, words) + self.new * np.exp(subword)))
+
+    def log_word(self, own: Column, all_: Column, words: int, subword: Column) -> Column:
+        """The same for columns, ``subword`` to base 10; a NULL count is a new word."""
+        first = F.when(own > 0, (own - self.discount) / float(self.tokens)).otherwise(0.0)
+        known = F.log10(first + self.share * (all_ * ((1 - self.new) / max(1, words)) + F.pow(F.lit(10.0), subword) * self.new))
+        return F.when(all_.isNull(), subword + float(np.log10(self.share * self.new))).otherwise(known)
+
+
+def _log_sum(parts: list[Column]) -> Column:
+    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    return top + F.log10(sum((F.pow(F.lit(10.0), p - top) for p in parts[1:]), F.pow(F.lit(10.0), parts[0] - top)))
+
+
+def scores(
+    documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text: str = "text", head: int = HEAD_WORDS, rounds: int = ROUNDS, kind: str | None = "lang"
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row's whole text.
 
     Learns from rows whose crc32(doc_id) mod 7 is not 2; a row without id is learnt from and not held out.
-    A NULL or empty text is its end alone. Repeated rows each count and each have a row. With nothing to
+    A NULL or empty text is its end alone. Repeated rows each count and each have a row. ``kind`` names the column
+    that tells training texts apart (None: one kind); a NULL there is a value like others. With nothing to
     learn from, counts are 0, the piece weights are the file's order, and words and the end have half each. Scores are log10 probabilities.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), training(F.col(doc_id)).alias("learn"))
-    counts = materialise(word_counts(rows.where("learn")), "words")
-    once, twice = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    words, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), once, twice).first()
-    ends = rows.where("learn").count()
+    value = F.lit("") if kind is None else F.coalesce(F.col(kind).cast("string"), F.lit(""))
+    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), training(F.col(doc_id)).alias("learn"), value.alias("value"))
+    learnt = rows.where("learn")
+    ends = learnt.count()
+    largest = learnt.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(KINDS - 1).collect()
+    sizes = [r["n"] for r in largest]
+    if sum(sizes) < ends or not sizes:
+        sizes.append(ends - sum(sizes))
+    number = F.lit(len(sizes) - 1)
+    for k, r in enumerate(largest):
+        number = F.when(F.col("value") == r["value"], k).otherwise(number)
+    own = [f"c{k}" for k in range(len(sizes))]
+    counts = materialise(word_counts(learnt.select("text", number.alias("kind")), len(sizes)), "words")
+    once = lambda c: F.col(c) == 1
+    facts = [
+        x for c in own
+        for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(F.col(c) > 0), F.count_if(once(c)), F.count_if(F.col(c) == 2), F.count_if(once(c) & once("c")))
+    ]
+    words, distinct, *found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *facts).first()
     n, v = words + ends, distinct + (ends > 0)
     log_floor = -float(np.log10(n + v + 1))
-    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-    share = discount * distinct / n if distinct else 0.5  # of the subword arcs
-    end_share = ends / n if distinct else 0.5
+    kinds = [Kind.of(size, ends, *found[5 * k : 5 * k + 5], alone=len(sizes) == 1) for k, size in enumerate(sizes)]
     pieces = fit(counts, model, rounds)
-    top = counts.where(_size_class("c") >= _head_class(counts, head)).select("h", "word", "c").toArrow().combine_chunks()
+    top = counts.where(_size_class("c") >= _head_class(counts, head)).select("h", "word", "c", *own).toArrow().combine_chunks()
     data, offsets = arrow_text.buffers(top.column("word").combine_chunks().cast(pa.large_binary()).view(pa.large_string()) if top.num_rows else pa.array([], pa.string()))
-    marginal = log_marginals(pieces, data, offsets[:-1], offsets[1:])
-    marginal = np.log10((top.column("c").to_numpy() - discount) / max(1, n) + share * np.exp(marginal))
+    subword = log_marginals(pieces, data, offsets[:-1], offsets[1:])
     head_hash = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(head_hash)
-    shared = spark.sparkContext.broadcast((pieces, head_hash[order], top.column("c").to_numpy()[order], marginal[order]))
-    end_score, end_base = float(np.log10(end_share)) if end_share else NEVER, float(np.log10(ends + 1) + log_floor)
+    counted = {c: top.column(c).to_numpy()[order] for c in ("c", *own)}
+    head_scores = [kinds[k].log_words(counted[c], counted["c"], words, subword[order]) for k, c in enumerate(own)]
+    shared = spark.sparkContext.broadcast((pieces, head_hash[order], counted["c"], head_scores))
+    end_base = float(np.log10(ends + 1) + log_floor)
+    names = [f"s{k}" for k in range(len(kinds))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, head_hash, head_count, head_score = shared.value
+        pieces, head_hash, head_count, head_scores = shared.value
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in arrow_text.pieces(batch, "text"):
@@ -292,15 +364,17 @@ def scores(documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text:
                 hashes, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
                 near = np.minimum(np.searchsorted(head_hash, hashes), max(0, len(head_hash) - 1))
                 in_head = head_hash[near] == hashes if len(head_hash) else np.zeros(len(hashes), bool)
-                own = np.empty(len(hashes))
-                own[in_head] = head_score[near[in_head]]
                 rare = np.flatnonzero(~in_head)
-                own[rare] = 0.0
                 subword = np.zeros(len(hashes))
                 subword[rare] = log_marginals(pieces, found.data, found.start[first[rare]], found.end[first[rare]]) / np.log(10)
                 base = np.zeros(len(hashes))
                 base[in_head] = np.log10(head_count[near[in_head]] + 1.0) + log_floor
                 size, row = found.rows, found.row
+                sums = []
+                for kind, of_head in zip(kinds, head_scores):
+                    known = np.zeros(len(hashes))
+                    known[in_head] = of_head[near[in_head]]
+                    sums.append(pa.array(np.bincount(row, known[which], size) + (kind.log_end + kind.log_prior)))
                 tail = np.flatnonzero(~in_head[which])
                 tail_rows, tail_h = row[tail], hashes[which[tail]].view(np.int64)
                 offsets = np.searchsorted(tail_rows, np.arange(size + 1)).astype(np.int32)
@@ -308,29 +382,33 @@ def scores(documents: DataFrame, model: ModelFile, doc_id: str = "doc_id", text:
                     [
                         pa.array(np.arange(rid, rid + size)), part.column("id"), part.column("learn"),
                         pa.array(found.counts() + 1), pa.array(np.bincount(row, in_head[which], size).astype(np.int64) + (ends > 0)),
-                        pa.array(np.bincount(row, base[which], size) + end_base), pa.array(np.bincount(row, own[which], size) + end_score),
+                        pa.array(np.bincount(row, base[which], size) + end_base),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(tail_h), pa.array(subword[which[tail]])], ["h", "f"])),
+                        *sums,
                     ],
-                    ["rid", "id", "learn", "n_tokens", "n_known", "base", "score", "tail"],
+                    ["rid", "id", "learn", "n_tokens", "n_known", "base", "tail", *names],
                 )
                 rid += size
 
     schema = T.StructType(
         [
             T.StructField("rid", T.LongType()), rows.schema["id"], rows.schema["learn"], T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
+            T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
             T.StructField("tail", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.DoubleType())]))),
+            *[T.StructField(c, T.DoubleType()) for c in names],
         ]
     )
-    scored = materialise(rows.mapInArrow(score, schema), "lattice-scores")
-    tail = scored.select("rid", F.inline("tail")).join(counts.select("h", "c"), "h", "left")
+    scored = materialise(rows.drop("value").mapInArrow(score, schema), "lattice-scores")
+    tail = scored.select("rid", F.inline("tail")).join(counts.select("h", "c", *own), "h", "left")
     base = F.log10(F.coalesce("c", F.lit(0)) + 1.0) + F.lit(log_floor)
-    seen = F.log10((F.col("c") - discount) / float(max(1, n)) + F.pow(F.lit(10.0), "f") * share)
-    own = F.when(F.col("c").isNull(), F.col("f") + float(np.log10(share))).otherwise(seen)
-    tail = tail.groupBy("rid").agg(F.sum(base).alias("tail_base"), F.sum(own).alias("tail_score"), F.count("c").alias("tail_known"))
+    tail = tail.groupBy("rid").agg(
+        F.sum(base).alias("tail_base"), F.count("c").alias("tail_known"),
+        *[F.sum(kinds[k].log_word(F.col(c), F.col("c"), words, F.col("f"))).alias(f"tail_{names[k]}") for k, c in enumerate(own)],
+    )
+    total = [F.col(c) + F.coalesce(f"tail_{c}", F.lit(0.0)) for c in names]
     return scored.drop("tail").join(tail, "rid", "left").select(
         F.col("id").alias(doc_id), (~F.col("learn")).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
+        _log_sum(total).alias("score"),
     )

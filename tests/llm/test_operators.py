@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -94,6 +95,45 @@ def test_lattice_base_matches_brute_force(docs, nothing):
     assert lattice_lm.scores(nothing, ModelFile.read(PIECES)).count() == 0
 
 
+def test_lattice_score_sums_over_kinds_and_segmentations(spark):
+    rng = np.random.default_rng(5)
+    stock = {"en": ["the", "and", "story", "hill"], "fr": ["le", "et", "mont", "the"], None: ["xx", "yy"]}
+    rows = [(i, " ".join(rng.choice(stock[g], 6)) + f" own{i}", g) for i, g in enumerate(["en", "fr", None, "fr", "en", "en"] * 9)] + [(900, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = ModelFile.read(PIECES)
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    by_kind = {g: Counter(w for _, t, k in learnt if k == g for w in t.split()) for g in stock}
+    every = sum(by_kind.values(), Counter())
+    pieces = lattice_lm.fit(spark.createDataFrame([(w.encode(),) for w in every], "word binary"), model)
+
+    def spelled(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return np.exp(lattice_lm.log_marginals(pieces, data, np.array([0]), np.array([len(data)]))[0])
+
+    def probability(text):
+        total = 0.0
+        for g, c in by_kind.items():
+            ends = sum(k == g for *_, k in learnt)
+            n, once = sum(c.values()) + ends, [w for w in c if c[w] == 1]
+            d = min(0.95, max(0.05, len(once) / max(1, len(once) + 2 * sum(x == 2 for x in c.values()))))
+            new = min(0.98, max(0.05, sum(every[w] == 1 for w in once) / max(1, len(once))))
+            p = ends / len(learnt) * ends / n
+            for w in text.split():
+                back = (1 - new) * every[w] / every.total() + new * spelled(w)
+                p *= (c[w] - d if w in c else 0) / n + d * len(c) / n * back
+            total += p
+        return np.log10(total)
+
+    for head in (2, 1000):
+        got = {r["doc_id"]: r["score"] for r in lattice_lm.scores(docs, model, head=head).collect()}
+        assert len(got) == len(rows)
+        for i, t, _ in rows:
+            assert np.isclose(got[i], probability(t), rtol=1e-9), i
+    one = {r["doc_id"]: r["score"] for r in lattice_lm.scores(docs, model, kind=None).collect()}
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(got[i] for i in held) > sum(one[i] for i in held)
+
+
 def test_token_counts_and_cache(spark, docs, nothing, tmp_path):
     library = Tokenizer.from_file(WORDS)
     cache = f"file://{tmp_path}/cache"
