@@ -3,7 +3,8 @@
 The built-in exact ``percentile`` keeps every distinct value of a group in one buffer. Here values
 are first counted, which folds repeats before the shuffle. A coarse monotone bucket of the value
 (a bounded number per group, whatever the row count) then tells which bucket holds each wanted
-rank, and only the values of those buckets are ordered.
+rank. A bucket that holds one is cut again into equal steps between its own least and greatest value,
+so a nearly constant column spreads as well, and only the values of the steps with a wanted rank are ordered.
 """
 
 from __future__ import annotations
@@ -14,11 +15,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RankOf = Callable[[Column], Column]
 BUCKETS_PER_DECADE = 2048
+#: Decades below 1 that a double reaches.
+SMALLEST_DECADE = 330
+STEPS = 4096
 
 
 def _bucket(value: Column) -> Column:
-    magnitude = F.floor(F.log10(F.abs(value) + 1) * BUCKETS_PER_DECADE)
-    return F.when(value < 0, -magnitude - 1).otherwise(magnitude)
+    magnitude = F.floor((F.log10(F.abs(value)) + SMALLEST_DECADE) * BUCKETS_PER_DECADE)
+    return F.when(value < 0, -magnitude).when(value > 0, magnitude).otherwise(F.lit(0).cast("long"))
+
+
+def _step(value: Column, low: Column, high: Column) -> Column:
+    width = high - low
+    even = (high > low) & (width < F.lit(float("inf")))
+    return F.when(even, F.floor((value - low) / width * STEPS)).otherwise(F.lit(0).cast("long"))
 
 
 def _held(wanted: Column, upto: Column, weight: Column) -> Column:
@@ -36,7 +46,7 @@ def order_statistics(
     """One row per group: ``by``, ``n`` and for each name the value at that 1-based rank.
 
     ``ranks`` maps an output name to a function of the group's row count. A rank outside 1..n
-    gives NULL. NULL values and NULL groups are left out.
+    gives NULL. NULL and NaN values and NULL groups are left out.
     """
     keys = list(by)
     group = keys or [F.lit(0)]
@@ -54,21 +64,36 @@ def order_statistics(
     running = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     buckets = (
         counted.groupBy(*keys, "bucket")
-        .agg(F.sum("w").alias("w"))
+        .agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
         .select(
-            *keys, "bucket", "w",
+            *keys, "bucket", "w", "low", "high",
             F.sum("w").over(running).alias("upto"),
             F.sum("w").over(Window.partitionBy(*group)).alias("n"),
         )
-        .select(*keys, "bucket", "n", _held(wanted, F.col("upto"), F.col("w")).alias("wanted"))
+        .select(*keys, "bucket", "n", "low", "high", _held(wanted, F.col("upto"), F.col("w")).alias("wanted"))
     )
-    # The first bucket always stays, so that n is reported even where no rank lies inside 1..n.
+    # The first bucket always stays, by one row, so that n is reported even where no rank lies inside 1..n.
     first = F.col("bucket") == F.min("bucket").over(Window.partitionBy(*group))
     buckets = buckets.withColumn("_first", first).filter((F.size("wanted") > 0) | F.col("_first")).drop("_first")
-
-    within = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    part = [*keys, "bucket", "step"]
     values = (
         counted.join(buckets, [*keys, "bucket"])
+        .filter((F.size("wanted") > 0) | (F.col("v") == F.col("low")))
+        .withColumn("step", _step(F.col("v"), F.col("low"), F.col("high")))
+    )
+    running = Window.partitionBy(*keys, "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = (
+        values.groupBy(*part)
+        .agg(F.sum("w").alias("w"), F.first("wanted").alias("wanted"))
+        .withColumn("upto", F.sum("w").over(running))
+        .select(*part, (F.size("wanted") == 0).alias("_first"), _held(F.col("wanted"), F.col("upto"), F.col("w")).alias("wanted"))
+        .filter((F.size("wanted") > 0) | F.col("_first"))
+        .drop("_first")
+    )
+    within = Window.partitionBy(*part).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = (
+        values.select(*part, "n", "v", "w")
+        .join(steps, part)
         .withColumn("upto", F.sum("w").over(within))
         .withColumn("held", _held(F.col("wanted"), F.col("upto"), F.col("w")))
     )

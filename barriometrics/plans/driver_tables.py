@@ -253,11 +253,6 @@ def historic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENT_AMENITIES = (
-    ("view", "library"), ("signup", "courthouse"), ("click", "cafe"), ("error", None), ("purchase", "bank"),
-)
-
-
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map elements with tags; failed events carry no amenity, few of them a transit name."""
     events = read(spark, sf_dir, "events")

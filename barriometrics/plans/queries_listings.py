@@ -384,9 +384,18 @@ def fill_garages_zero(spark, sf):
     return cleaning.fill_garages_zero(_stg_z(spark, sf)).select("zonaprop_code", "garages")
 
 
-@query("drop_missing_price_area", "SELECT code, price, antiquity FROM facts WHERE antiquity IS NOT NULL AND bedrooms IS NOT NULL", ("facts",))
+@query(
+    "drop_missing_price_area",
+    """, gaps AS (SELECT code, CASE WHEN rooms <> 3 THEN price END AS price, CASE WHEN rooms <> 5 THEN total_area END AS total_area FROM facts)
+    SELECT code, price, total_area FROM gaps WHERE price IS NOT NULL AND total_area IS NOT NULL""",
+    ("facts",),
+)
 def drop_missing_price_area(spark, sf):
-    return cleaning.drop_missing(dt.facts(spark, sf), "antiquity", "bedrooms").select("code", "price", "antiquity")
+    """The listings have neither gap, so prices and areas are blanked for two room numbers first."""
+    gaps = dt.facts(spark, sf).withColumns(
+        {"price": F.when(F.col("rooms") != 3, F.col("price")), "total_area": F.when(F.col("rooms") != 5, F.col("total_area"))}
+    )
+    return cleaning.drop_missing(gaps, "price", "total_area").select("code", "price", "total_area")
 
 
 @query("lowercase_description", "SELECT zonaprop_code, lower(description) AS description FROM stg_z", ("stg_z",))

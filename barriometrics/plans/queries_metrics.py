@@ -104,12 +104,22 @@ def kpi_report_from_raw(spark, sf):
 
 @query(
     "write_kpi_json",
-    _KPI.format(news="news") + f"SELECT neighborhood, '{MONTH}' AS month, total_properties_neighborhood, CAST(average_price_neighborhood AS VARCHAR) AS average_price_neighborhood FROM full_kpi",
+    _KPI.format(news="news")
+    + _REPORT.format(news="news", olds="olds")
+    .replace("SELECT k.neighborhood,", f"SELECT k.neighborhood, '{MONTH}' AS month,")
+    .replace(
+        "average_price_neighborhood, min_price_neighborhood, max_price_neighborhood,",
+        ", ".join(f"CAST({m}_price_neighborhood AS VARCHAR) AS {m}_price_neighborhood" for m in ("average", "min", "max")) + ",",
+    ),
     ("facts", "snaps"),
 )
 def write_kpi_json(spark, sf):
-    path = writers.write_kpi_json(metrics.kpi_neighborhood(_new(spark, sf)), scratch_path(spark, "kpi"), MONTH)
-    schema = "total_properties_neighborhood BIGINT, average_price_neighborhood STRING, month STRING, neighborhood STRING"
+    """The whole document of figures, stored and read back."""
+    figures = metrics.kpi_report(*dt.old_and_new(spark, sf))
+    path = writers.write_kpi_json(figures, scratch_path(spark, "kpi"), MONTH)
+    counts = [c for c in figures.columns if c != "neighborhood" and "_price_" not in c]
+    money = [c for c in figures.columns if "_price_" in c]
+    schema = ", ".join([*(f"{c} BIGINT" for c in counts), *(f"{c} STRING" for c in money), "month STRING", "neighborhood STRING"])
     return spark.read.schema(schema).json(path)
 
 
@@ -340,9 +350,7 @@ def report_requests(spark, sf):
     )
 
 
-@query(
-    "report_request",
-    """, req AS (SELECT o_orderkey AS request_id, neighborhood, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 3 END::DOUBLE AS rooms,
+_ANSWERS = """, req AS (SELECT o_orderkey AS request_id, neighborhood, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 3 END::DOUBLE AS rooms,
       CAST(floor(o_totalprice / 10000) AS INT) + 15 AS area_min FROM orders JOIN customer ON o_custkey = c_custkey JOIN names ON c_nationkey = nk),
     k AS (SELECT neighborhood, count(*) AS n, round(avg(price), 1) AS a, min(price) AS lo, max(price) AS hi FROM news GROUP BY 1),
     kr AS (SELECT neighborhood, rooms, count(*) AS n, round(avg(price), 1) AS a FROM news GROUP BY 1, 2),
@@ -350,9 +358,10 @@ def report_requests(spark, sf):
     SELECT request_id, req.neighborhood, area_min, area_min + 10 AS area_max, (SELECT count(*) FROM news) AS total_properties, coalesce(k.n, 0) AS total_properties_neighborhood,
     k.a AS average_price_neighborhood, k.lo AS min_price_neighborhood, k.hi AS max_price_neighborhood, coalesce(kr.n, 0) AS total_properties_amb_neighborhood, kr.a AS average_price_amb_neighborhood,
     coalesce(nn.c, CASE WHEN k.n > 0 THEN 0 END) AS new_properties_since_last_report_neighborhood
-    FROM req LEFT JOIN k USING (neighborhood) LEFT JOIN kr ON kr.neighborhood = req.neighborhood AND kr.rooms = req.rooms LEFT JOIN nn ON nn.neighborhood = req.neighborhood""",
-    ("facts", "snaps"),
-)
+    FROM req LEFT JOIN k USING (neighborhood) LEFT JOIN kr ON kr.neighborhood = req.neighborhood AND kr.rooms = req.rooms LEFT JOIN nn ON nn.neighborhood = req.neighborhood"""
+
+
+@query("report_request", _ANSWERS, ("facts", "snaps"))
 def report_request(spark, sf):
     requests = report_requests(spark, sf)
     answers = reports.area_bounds(reports.answer_requests(requests, *dt.old_and_new(spark, sf)))
@@ -363,15 +372,19 @@ def report_request(spark, sf):
     )
 
 
-@query("write_report", "SELECT o_orderkey AS request_id, count(*) OVER () AS reports FROM orders")
+@query("write_report", _ANSWERS.replace("SELECT request_id, req.neighborhood", "SELECT count(*) OVER () AS reports, request_id, req.neighborhood"), ("facts", "snaps"))
 def write_report(spark, sf):
-    requests = report_requests(spark, sf)
-    answers = reports.answer_requests(requests, *dt.old_and_new(spark, sf)).select("request_id", "total_properties_neighborhood")
+    """Every answer as it is stored, with the number of report ids."""
+    answers = report_request(spark, sf)
     path = scratch_path(spark, "reports")
-    writers.write_report(requests, answers, path)
-    stored = spark.read.schema("report_id STRING, request_id BIGINT").json(f"{path}/output_data")
+    writers.write_report(report_requests(spark, sf), answers, path)
+    stored = spark.read.schema(f"report_id STRING, {_columns(answers)}").json(f"{path}/output_data")
     count = stored.agg(F.count_distinct("report_id")).scalar()
-    return stored.select("request_id", count.alias("reports"))
+    return stored.select(*answers.columns, count.alias("reports"))
+
+
+def _columns(df):
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
 
 # ---- market trends --------------------------------------------------------------------------

@@ -271,14 +271,34 @@ def low_variance_filter(spark, sf):
     return _feature_table(spark, selection.low_variance_filter(training_rows(spark, sf), STUDY_FEATURES)).select("feature")
 
 
-@query("feature_selection")
+_STUDY = """, t AS (SELECT * REPLACE (coalesce(bedrooms, rooms - 1) AS bedrooms, coalesce(antiquity, 50) AS antiquity) FROM facts WHERE neighborhood <> 'OTRO')"""
+_STRENGTHS = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature, abs(corr({c}, price)) AS r FROM t" for i, c in enumerate(STUDY_FEATURES))
+
+
+# The F-test of one feature grows with its squared correlation, so the order is that of |r|.
+@query("feature_selection", f"{_STUDY}, s AS ({_STRENGTHS}) SELECT feature FROM s ORDER BY r DESC, position LIMIT 3", ("facts",))
 def feature_selection(spark, sf):
-    return _feature_table(spark, selection.select_features(training_rows(spark, sf), STUDY_FEATURES, share=0.5))
+    return _feature_table(spark, selection.select_features(training_rows(spark, sf), STUDY_FEATURES, share=0.5)).select("feature")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(STUDY_FEATURES) for b in STUDY_FEATURES[i + 1 :]]
+
+
+def _collinear_sql() -> str:
+    """The pairs one after the other, each step with the features gone so far."""
+    sums = ", ".join([f"corr({a}, {b}) AS {a}_{b}" for a, b in _PAIRS] + [f"abs(corr({c}, price)) AS with_{c}" for c in STUDY_FEATURES])
+    steps = [f"{_STUDY}, r AS (SELECT {sums} FROM t), g0 AS (SELECT CAST([] AS VARCHAR[]) AS gone)"]
+    for i, (a, b) in enumerate(_PAIRS):
+        settled = f"list_contains(gone, '{a}') OR list_contains(gone, '{b}') OR abs(coalesce({a}_{b}, 0)) <= 0.3"
+        weaker = f"CASE WHEN coalesce(with_{a}, 0) < coalesce(with_{b}, 0) THEN '{a}' ELSE '{b}' END"
+        steps.append(f"g{i + 1} AS (SELECT CASE WHEN {settled} THEN gone ELSE list_append(gone, {weaker}) END AS gone FROM g{i}, r)")
+    names = ", ".join(f"('{c}')" for c in STUDY_FEATURES)
+    return ", ".join(steps) + f" SELECT feature FROM (VALUES {names}) f(feature), g{len(_PAIRS)} WHERE NOT list_contains(gone, feature)"
 
 
-@query("multicollinearity_filter")
+@query("multicollinearity_filter", _collinear_sql(), ("facts",))
 def multicollinearity_filter(spark, sf):
-    return _feature_table(spark, selection.drop_collinear(training_rows(spark, sf), STUDY_FEATURES))
+    return _feature_table(spark, selection.drop_collinear(training_rows(spark, sf), STUDY_FEATURES)).select("feature")
 
 
 @query("rfe")

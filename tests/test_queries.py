@@ -17,6 +17,7 @@ CHECKED = (
     "dedup_by_code", "features_regex_z", "parse_price_text", "impute_group_mean", "map_neighborhood", "iqr_price_then_area",
     "stock_listings", "kpi_report_from_raw", "snapshot_set_diff", "area_distribution", "price_box_stats", "historic_price_m2_series",
     "places_within_radius", "report_request", "trend_values", "deviation_bins", "sample_n", "training_table",
+    "write_kpi_json", "write_report", "drop_missing_price_area", "feature_selection", "multicollinearity_filter", "outlier_count",
 )
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="benchmark tables are not here")

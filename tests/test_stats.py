@@ -13,10 +13,16 @@ def sample(kind, n, rng):
         return [7.0 if rng.random() < 0.6 else rng.uniform(-50, 50) for _ in range(n)]
     if kind == "wide":
         return [rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 9) for _ in range(n)]
+    if kind == "tiny":
+        return [rng.choice([-1, 0, 1]) * 10 ** rng.uniform(-300, -3) for _ in range(n)]
+    if kind == "near":
+        return [5.0 + rng.random() * 1e-9 for _ in range(n)]
+    if kind == "negative":
+        return [-1000.0 - rng.random() for _ in range(n)]
     return [round(rng.uniform(0, 10), 1) for _ in range(n)]
 
 
-@pytest.mark.parametrize("kind", ["hot", "wide", "ties"])
+@pytest.mark.parametrize("kind", ["hot", "wide", "ties", "tiny", "near", "negative"])
 def test_quantiles_match_numpy(spark, kind):
     rng = random.Random(3)
     groups = {"a": sample(kind, 501, rng), "b": sample(kind, 8, rng), "c": [1.5]}
@@ -39,6 +45,14 @@ def test_rank_outside_the_group_is_null(spark):
     assert out == {"a": (2, 2.0, None), "b": (1, None, None)}
 
 
+def test_infinite_values_are_ordered_and_undefined_ones_left_out(spark):
+    values = [float("nan"), float("inf"), 3.0, float("-inf"), 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in range(1, 6)}
+    row = order_statistics(df, F.col("v"), ranks).first()
+    assert [row[f"r{i}"] for i in range(1, 6)] == [float("-inf"), 1.0, 3.0, float("inf"), None] and row["n"] == 4
+
+
 def test_no_full_percentile_buffer_in_the_plan(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("v"))
     plan = quantiles(df, F.col("v"), {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
