@@ -307,6 +307,15 @@ def test_star_of_edited_copies_keeps_its_original_as_the_link(spark):
     assert kept_of(spark, rows) == expected
 
 
+def test_sets_decide_where_repeats_decide_all_bits(spark):
+    rng = np.random.default_rng(12)
+    line = "one line of seven words goes here".split()
+    fill = [[f"f{w}" for w in rng.integers(0, 1 << 30, 150)] for _ in range(6)]
+    rows = [(i, line * 300 + f) for i, f in enumerate(fill)]
+    rows += [(100 + i, f) for i, f in enumerate(fill[:3])] + [(200 + i, f[:140] + f[130:140] * 300 + f[140:]) for i, f in enumerate(fill[:3])]
+    assert kept_of(spark, rows) == kept_by_brute_force(rows) == [*range(6)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
