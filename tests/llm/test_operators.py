@@ -316,6 +316,19 @@ def test_sets_decide_where_repeats_decide_all_bits(spark):
     assert kept_of(spark, rows) == kept_by_brute_force(rows) == [*range(6)]
 
 
+def test_lone_pairs_about_the_similarity_are_decided_exactly(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(120):
+        base = [f"p{w}" for w in rng.integers(0, 1 << 30, int(rng.integers(12, 500)))]
+        cut = int(len(base) * (0.80 + 0.04 * rng.random()))
+        other = base[:cut] if k % 2 else edited(rng, base, max(1, len(base) // int(rng.integers(40, 52))))
+        rows += [(2 * k, base), (2 * k + 1, other)]
+    expected = kept_by_brute_force(rows)
+    assert 125 < len(expected) < 235
+    assert kept_of(spark, rows) == expected
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
