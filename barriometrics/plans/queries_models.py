@@ -1,7 +1,6 @@
 """Registered queries: price models, scoring, accuracy, feature studies.
 
-The fits use fewer and shallower trees than ``models.GBT_PARAMS`` (minutes against seconds); the
-operators take the parameters, so a full training run only leaves them out.
+The fits use the operators' own parameters (``models.GBT_PARAMS`` for the price models), so they take long.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from barriometrics.plans.queries_metrics import report_requests
 from barriometrics.plans.registry import RUN_DATE, query, rounded
 from barriometrics.session import materialise, scratch_path
 
-QUICK = {"maxIter": 3, "maxDepth": 3}
 STUDY_FEATURES = ["total_area", "rooms", "bedrooms", "bathrooms", "garages", "antiquity"]
 
 
@@ -37,14 +35,14 @@ def _halves(spark, sf):
 @query("train_simple")
 def train_simple(spark, sf):
     train, test = _halves(spark, sf)
-    model = models.train_simple(train, params=QUICK)
+    model = models.train_simple(train)
     return evaluation.evaluate(models.predict_simple(test, model), prediction="simple_prediction")
 
 
 @query("train_ohe")
 def train_ohe(spark, sf):
     train, test = _halves(spark, sf)
-    model = models.train_ohe(train, params=QUICK)
+    model = models.train_ohe(train)
     return evaluation.evaluate(models.predict_ohe(test, model), prediction="ohe_prediction")
 
 
@@ -52,7 +50,7 @@ def train_ohe(spark, sf):
 def train_per_neighborhood(spark, sf):
     """Hold-out errors of the model of each neighbourhood."""
     train, test = _halves(spark, sf)
-    fitted = models.train_per_neighborhood(train, params={"maxIter": 1, "maxDepth": 3})
+    fitted = models.train_per_neighborhood(train)
     scored = models.predict_by_neighborhood(test, fitted)
     error = F.col("price") - F.col("neighborhood_prediction")
     return scored.groupBy("neighborhood").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"))
@@ -83,8 +81,8 @@ def save_load_latest_model(spark, sf):
     """Two stored models; the newer one is found by its date and scores every listing."""
     train, test = _halves(spark, sf)
     root = scratch_path(spark, "models")
-    models.save_model(models.train_simple(test, params=QUICK), root, "wo_ohe", "2001-07-01")
-    models.save_model(models.train_simple(train, params=QUICK), root, "wo_ohe", RUN_DATE)
+    models.save_model(models.train_simple(test), root, "wo_ohe", "2001-07-01")
+    models.save_model(models.train_simple(train), root, "wo_ohe", RUN_DATE)
     latest = models.load_latest_model(spark, root, "wo_ohe")
     return models.predict_simple(training_rows(spark, sf), latest).select("code", "simple_prediction")
 
@@ -109,13 +107,13 @@ def validate_input(spark, sf):
 @query("predict_simple")
 def predict_simple(spark, sf):
     rows = training_rows(spark, sf)
-    return models.predict_simple(rows, models.train_simple(rows, params=QUICK)).select("code", "price", "simple_prediction")
+    return models.predict_simple(rows, models.train_simple(rows)).select("code", "price", "simple_prediction")
 
 
 @query("predict_ohe")
 def predict_ohe(spark, sf):
     """Scores all listings, the unmapped ones with no flag set."""
-    model = models.train_ohe(training_rows(spark, sf), params=QUICK)
+    model = models.train_ohe(training_rows(spark, sf))
     everything = dt.facts(spark, sf).withColumns({c: F.coalesce(F.col(c), F.lit(1.0)) for c in ("bedrooms", "antiquity")})
     return models.predict_ohe(everything, model).select("code", "neighborhood", "price", "ohe_prediction")
 
@@ -123,7 +121,7 @@ def predict_ohe(spark, sf):
 @query("predict_by_neighborhood")
 def predict_by_neighborhood(spark, sf):
     rows = materialise(training_rows(spark, sf))
-    fitted = models.train_per_neighborhood(rows, params={"maxIter": 1, "maxDepth": 2})
+    fitted = models.train_per_neighborhood(rows)
     return models.predict_by_neighborhood(rows, fitted).select("code", "neighborhood", "price", "neighborhood_prediction")
 
 
@@ -131,9 +129,9 @@ def predict_by_neighborhood(spark, sf):
 def scored_stock(spark, sf):
     """The accuracy study: three models trained on the listings score the portal's stock."""
     rows = materialise(training_rows(spark, sf))
-    fitted = models.train_per_neighborhood(rows, params={"maxIter": 1, "maxDepth": 2})
+    fitted = models.train_per_neighborhood(rows)
     stock = flows.stock_listings(dt.stock(spark, sf))
-    return flows.scored_stock(stock, models.train_simple(rows, params=QUICK), models.train_ohe(rows, params=QUICK), fitted)
+    return flows.scored_stock(stock, models.train_simple(rows), models.train_ohe(rows), fitted)
 
 
 # ---- accuracy -------------------------------------------------------------------------------
@@ -232,7 +230,7 @@ def sample_n(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    return selection.feature_importance(training_rows(spark, sf), STUDY_FEATURES, numTrees=10, maxDepth=4)
+    return selection.feature_importance(training_rows(spark, sf), STUDY_FEATURES)
 
 
 @query("pca_explained")
@@ -308,11 +306,11 @@ def rfe(spark, sf):
 
 @query("compare_models")
 def compare_models(spark, sf):
-    return selection.compare_models(training_rows(spark, sf), STUDY_FEATURES, folds=2, trees=3)
+    return selection.compare_models(training_rows(spark, sf), STUDY_FEATURES)
 
 
 @query("rent_range")
 def rent_range(spark, sf):
     """Predicted rent at both ends of the area each request names."""
-    model = models.train_ohe(training_rows(spark, sf), params=QUICK)
+    model = models.train_ohe(training_rows(spark, sf))
     return reports.rent_range(report_requests(spark, sf), model)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barriometrics.operators import models, reports, selection
+from barriometrics.plans import queries_models
 
 QUICK = {"maxIter": 4, "maxDepth": 3}
 FEATURES = ["total_area", "rooms", "bedrooms", "antiquity"]
@@ -96,3 +97,25 @@ def test_rows_without_a_feature_come_back_unscored(spark, rows):
     ]
     for df in scored:
         assert df.count() == 400 and df.filter("p IS NULL").count() == wanted == df.filter("p IS NULL AND antiquity IS NULL").count()
+
+
+@pytest.mark.parametrize("name", ["train_simple", "train_ohe", "train_per_neighborhood", "save_load_latest_model", "predict_simple", "predict_ohe", "predict_by_neighborhood", "scored_stock", "rent_range", "feature_importance", "compare_models"])
+def test_registered_fits_use_the_operators_own_parameters(name, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        seen.append(kwargs)
+        raise Stop
+
+    for owner, fit in [(models, "train_simple"), (models, "train_ohe"), (models, "train_per_neighborhood"), (selection, "feature_importance"), (selection, "compare_models")]:
+        monkeypatch.setattr(owner, fit, stop)
+    for part, value in {"training_rows": None, "_halves": (None, None), "materialise": None, "scratch_path": ""}.items():
+        monkeypatch.setattr(queries_models, part, lambda *args, value=value: value)
+    monkeypatch.setattr(queries_models.flows, "stock_listings", lambda *args: None)
+    monkeypatch.setattr(queries_models.dt, "stock", lambda *args: None)
+    with pytest.raises(Stop):
+        getattr(queries_models, name)(None, "")
+    assert seen == [{}]
