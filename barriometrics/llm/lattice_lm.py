@@ -132,32 +132,58 @@ def _block(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate((np.broadcast_to(np.frombuffer(MARKER, np.uint8), (len(start), 3)), body), 1)
 
 
+def _long_arcs(pieces: Pieces, data: np.ndarray, a: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends of one stretch of a long word, and by end and start (the nearest last) piece numbers, -1 for none, and log weights."""
+    values, powers, back = arrow_text._powers()
+    low = max(0, a - pieces.longest)
+    part = data[low : a + step]
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(values[part] * powers[: len(part)], out=sums[1:])
+    ends = np.arange(a + 1, min(a + step, len(data)) + 1)
+    numbers = np.full((len(ends), pieces.longest), -1)
+    for size in range(1, pieces.longest + 1):
+        fits = ends - size >= 0
+        e = ends[fits] - low
+        numbers[fits, pieces.longest - size] = pieces.find(arrow_text._mixed((sums[e] - sums[e - size]) * back[e - size]))
+    return ends, numbers, np.where(numbers >= 0, pieces.log_p[numbers], -np.inf)
+
+
 def _long_word(pieces: Pieces, word: bytes) -> float:
     """Forward recursion over one very long word, keeping only as many values as the longest piece."""
-    text = MARKER + word
-    recent, step = np.full(pieces.longest, -np.inf), 65_536
-    values, powers, back = arrow_text._powers()
+    data = np.frombuffer(MARKER + word, np.uint8)
+    recent = np.full(pieces.longest, -np.inf)
     recent[-1] = 0.0
-    data = np.frombuffer(text, np.uint8)
-    for a in range(0, len(data), step):
-        low = max(0, a - pieces.longest)
-        part = data[low : a + step]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * powers[: len(part)], out=sums[1:])
-        ends = np.arange(a + 1, min(a + step, len(data)) + 1)
-        logs = np.full((len(ends), pieces.longest), -np.inf)
-        for size in range(1, pieces.longest + 1):
-            fits = ends - size >= 0
-            e = ends[fits] - low
-            number = pieces.find(arrow_text._mixed((sums[e] - sums[e - size]) * back[e - size]))
-            logs[fits, pieces.longest - size] = np.where(number >= 0, pieces.log_p[number], -np.inf)
-        for row in logs:
+    for a in range(0, len(data), _STRETCH):
+        for row in _long_arcs(pieces, data, a, _STRETCH)[2]:
             total = np.logaddexp.reduce(recent + row)
             recent[:-1] = recent[1:]
             recent[-1] = total
     return float(recent[-1])
 
 
+def _long_counts(pieces: Pieces, word: bytes) -> np.ndarray:
+    """Expected piece counts of one very long word: forward and backward values of all positions, arcs by stretches."""
+    data, wide = np.frombuffer(MARKER + word, np.uint8), pieces.longest
+    alpha = np.full(wide + len(data), -np.inf)  # position p is at wide - 1 + p, so that no start lies before the array
+    alpha[wide - 1] = 0.0
+    for a in range(0, len(data), _STRETCH):
+        for k, row in enumerate(_long_arcs(pieces, data, a, _STRETCH)[2], a):
+            alpha[wide + k] = np.logaddexp.reduce(alpha[k : wide + k] + row)
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0.0
+    total = np.zeros(len(pieces.log_p))
+    for a in reversed(range(0, len(data), _STRETCH)):
+        ends, numbers, logs = _long_arcs(pieces, data, a, _STRETCH)
+        for k in range(len(ends) - 1, -1, -1):
+            before = slice(a + k, a + k + wide)
+            beta[before] = np.logaddexp(beta[before], logs[k] + beta[wide + a + k])
+        row, column = np.nonzero(numbers >= 0)
+        share = np.exp(alpha[a + row + column] + logs[row, column] + beta[wide + a + row] - alpha[-1])
+        total += np.bincount(numbers[row, column], share, len(total))
+    return total
+
+
+_STRETCH = 65_536
 _LONG = 512
 
 
@@ -175,13 +201,11 @@ def log_marginals(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.n
 
 
 def expected_counts(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words with their counts; words beyond ``_LONG`` bytes fall to single bytes."""
+    """Expected piece counts of words with their counts, over all segmentations of words of any length."""
     total = np.zeros(len(pieces.log_p))
     lengths = end - start
     for i in np.flatnonzero(lengths > _LONG):
-        single = pieces.find(np.array([arrow_text.bytes_hash(bytes([b])) for b in range(256)], np.uint64))
-        seen = np.bincount(data[start[i] : end[i]], minlength=256)
-        total[single[single >= 0]] += count[i] * seen[single >= 0]
+        total += count[i] * _long_counts(pieces, data[start[i] : end[i]].tobytes())
     short = np.flatnonzero(lengths <= _LONG)
     for same in _by_length(short, lengths[short]):
         rows = short[same]

@@ -392,3 +392,15 @@ def test_stages_return_the_columns_of_documents(spark, docs):
     kept = {r["doc_id"] for r in given.select("doc_id").collect()}
     assert 1 in kept and not kept & {2, 3, 11, 5, 6} and {8, 9, 10, None} <= kept
     assert corpus_pipeline.STAGES[-1][1](spark, given, folder).where("NOT parity OR NOT round_trip").count() == 0
+
+
+def test_expected_counts_of_long_words_are_those_of_the_lattice(monkeypatch):
+    pieces = lattice_lm.Pieces.of(ModelFile.read(PIECES))
+    words = [b"internationalisation" * 3, b"a", "日本語のテキスト".encode() * 4]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start, count = end - [len(w) for w in words], np.array([1.0, 2.0, 3.0])
+    expected = lattice_lm.expected_counts(pieces, data, start, end, count)
+    monkeypatch.setattr(lattice_lm, "_LONG", 0)
+    monkeypatch.setattr(lattice_lm, "_STRETCH", 7)
+    np.testing.assert_allclose(lattice_lm.expected_counts(pieces, data, start, end, count), expected, atol=1e-9)
