@@ -101,10 +101,10 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def words(column: pa.Array, kept: np.ndarray) -> Words:
-    """Lower-case A-Z, then take the runs of bytes marked in ``kept``; words never span rows."""
+def words(column: pa.Array, kept: np.ndarray, lower: bool = True) -> Words:
+    """Lower-case A-Z (unless not ``lower``), then take the runs of bytes marked in ``kept``; words never span rows."""
     data, offsets = buffers(column)
-    data = LOWER[data]
+    data = LOWER[data] if lower else data
     values, powers, back = _powers()
     inside = kept[data]
     edge = np.zeros(len(data) + 1, bool)
