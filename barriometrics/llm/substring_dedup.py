@@ -125,6 +125,26 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _grams(words: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of ``GRAM`` neighbouring words, fewer in a smaller window."""
+    width = min(GRAM, window)
+    grams = np.zeros(len(words) - width + 1, np.uint64)
+    for j in range(width):
+        grams = _mixed((grams + words[j : j + len(grams)]) * _STEP)
+    return grams
+
+
+def _hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, the same wherever a run stands."""
+    n = len(words)
+    power, back = np.full(n + 1, _STEP), np.full(n + 1, pow(int(_STEP), -1, 2**64), np.uint64)
+    power[:1] = back[:1] = 1
+    power, back = np.cumprod(power), np.cumprod(back)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * power[:n], out=total[1:])
+    return _mixed((total[first + length] - total[first]) * back[first])
+
+
 class Stretches:
     """The stretches of a piece, in text order: first word, number of windows, key, document, hash of the words."""
 
@@ -134,10 +154,7 @@ class Stretches:
         if count < 1:
             self.first, self.windows, self.key, self.document = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        grams = np.zeros(len(self.words) - min(GRAM, window) + 1, np.uint64)
-        for j in range(min(GRAM, window)):
-            grams = _mixed((grams + self.words[j : j + len(grams)]) * _STEP)
-        keys = _least(grams, window - min(GRAM, window) + 1)
+        keys = _least(_grams(self.words, window), window - min(GRAM, window) + 1)
         start = np.flatnonzero(found.row[:count] == found.row[window - 1 :])
         key, row = keys[start], found.row[start]
         at = np.flatnonzero(_changes(key, row))
@@ -159,13 +176,7 @@ class Stretches:
         self.first, self.windows, self.key, self.document = (x[chosen] for x in (self.first, self.windows, self.key, self.document))
 
     def hash(self) -> np.ndarray:
-        n = len(self.words)
-        power, back = np.full(n + 1, _STEP), np.full(n + 1, pow(int(_STEP), -1, 2**64), np.uint64)
-        power[:1] = back[:1] = 1
-        power, back = np.cumprod(power), np.cumprod(back)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.words * power[:n], out=total[1:])
-        return _mixed((total[self.first + self.windows + self.window - 1] - total[self.first]) * back[self.first])
+        return _hashes(self.words, self.first, self.windows + self.window - 1)
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -247,10 +258,7 @@ def _joined(table: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.nda
 
 
 _ASK = T.StructType([T.StructField("path", T.StringType()), T.StructField("shard", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("low", "high", "seen"))])
-_FIELDS = ("key", "hash", "document", "size", "vocabulary", "words")
-_SEND = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("places", T.StringType()), T.StructField("shard", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in _FIELDS)]
-)
+_SEND = T.StructType([T.StructField("path", T.StringType()), T.StructField("shard", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("documents", "sizes", "text"))])
 
 
 def _cut(folder: str, text: str, shards: int, window: int):
@@ -292,7 +300,19 @@ def _answer(window: int, hot_words: int):
     return run
 
 
-def _send(folder: str, shards: int, window: int):
+def _asking(piece: pa.RecordBatch, codes: np.ndarray, found: arrow_text.Words, shards: int, window: int) -> tuple[Stretches, np.ndarray, np.ndarray]:
+    """The piece's stretches whose keys others have too, sorted by shard; their shards, and where a different one begins."""
+    own = Stretches(found, _ids(piece), window)
+    code = codes[_keys(own, shards)[4]]
+    own.keep(code > 0)
+    own.split(code[code > 0] - 1)
+    value, shard = own.hash(), _shard(own.key, shards)
+    order = np.lexsort((own.document, own.windows, value, own.key, shard))
+    own.keep(order)
+    return own, shard[order], _changes(own.key, value[order], own.windows)
+
+
+def _send(shards: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by(batches, "path"):
             codes = _joined(table, "codes", np.uint8)[0].astype(np.int64)
@@ -300,66 +320,60 @@ def _send(folder: str, shards: int, window: int):
                 continue
             path = table.column("path")[0].as_py()
             piece = _load(path)
-            own = Stretches(arrow_text.words(piece.column("text"), arrow_text.SPACED, lower=False), _ids(piece), window)
-            code = codes[_keys(own, shards)[4]]
-            own.keep(code > 0)
-            own.split(code[code > 0] - 1)
-            value, shard = own.hash(), _shard(own.key, shards)
-            order = np.lexsort((own.document, own.windows, value, own.key, shard))
-            new = _changes(own.key[order], value[order], own.windows[order])
-            number = np.cumsum(new) - 1
-            places = _store(folder, pa.RecordBatch.from_arrays([pa.array(number.astype(np.uint32)), pa.array(own.first[order].astype(np.uint32))], ["number", "first"]))
-            one = order[new]
-            length = own.windows[one] + window - 1
-            start, size = _groups(shard[one])
+            found = arrow_text.words(piece.column("text"), arrow_text.SPACED, lower=False)
+            own, shard, new = _asking(piece, codes, found, shards, window)
+            own.keep(new)
+            length = own.windows + window - 1
             rows = []
-            for a, b in zip(start.tolist(), (start + size).tolist(), strict=True):
-                mine = one[a:b]
-                words = own.words[_spread(own.first[mine], length[a:b])]
-                vocabulary, at = np.unique(words, return_inverse=True)
-                narrow = at.astype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
-                arrays = (own.key[mine], value[mine], own.document[mine], length[a:b].astype("<u4"), vocabulary, narrow)
-                rows.append({"path": path, "places": places, "shard": int(shard[mine[0]])} | {c: x.tobytes() for c, x in zip(_FIELDS, arrays, strict=True)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("places", pa.string()), ("shard", pa.int64()), *((c, pa.binary()) for c in _FIELDS)]))
+            for a, n in zip(*(x.tolist() for x in _groups(shard[new])), strict=True):
+                part = slice(a, a + n)
+                at = _spread(own.first[part], length[part])
+                text = _spaced(found.data, found.start[at], found.end[at])
+                arrays = (own.document[part].tobytes(), length[part].astype("<u4").tobytes(), pa.compress(text, "zstd", asbytes=True), len(text))
+                rows.append((path, int(shard[new][a]), *arrays[:2], arrays[3].to_bytes(8, "little") + arrays[2]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), *[pa.binary()] * 3), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, _SEND.names)
 
     return run
 
 
+def _spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The byte ranges, a space behind each."""
+    size = end - start
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    out[_spread(np.cumsum(size + 1) - size - 1, size)] = data[_spread(start, size)]
+    return out.tobytes()
+
+
 def _match(window: int, run_words: int):
     """The first document of each window of the stretches sent to a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by(batches, "shard"):
-            key, sizes = _joined(table, "key", np.uint64)
-            value, document, length = _joined(table, "hash", np.uint64)[0], _joined(table, "document", np.int64)[0], _joined(table, "size", "<u4")[0].astype(np.int64)
-            words = np.concatenate([_decoded(v.as_py(), w.as_py()) for v, w in zip(table.column("vocabulary"), table.column("words"), strict=True)])
-            firsts = _first_documents(key, value, document, length, np.unique(words, return_inverse=True)[1], window, run_words)
-            ends = np.concatenate(([0], np.cumsum(length - window + 1)))[np.concatenate(([0], np.cumsum(sizes)))]
+            document, sizes = _joined(table, "documents", np.int64)
+            length = _joined(table, "sizes", "<u4")[0].astype(np.int64)
+            texts = [pa.decompress(t[8:], int.from_bytes(t[:8], "little"), "zstd", asbytes=True).decode() for t in table.column("text").to_pylist()]
+            words = np.concatenate([arrow_text.words(pa.array([t]), arrow_text.SPACED, lower=False).hash for t in texts])
+            firsts = _first_documents(words, document, length, window, run_words)
+            ends = np.concatenate(([0], np.cumsum(length - window + 1)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
             replies = [firsts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [table.column(c).combine_chunks() for c in ("path", "places", "shard")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((length - window + 1).astype("<u4")[a:b].tobytes() for a, b in _cuts(sizes)), pa.array(replies, pa.binary())], ["path", "places", "shard", "windows", "firsts"])
+            yield pa.RecordBatch.from_arrays([table.column("path").combine_chunks(), table.column("shard").combine_chunks(), pa.array(replies, pa.binary())], ["path", "shard", "firsts"])
 
     return run
 
 
-def _cuts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    ends = np.concatenate(([0], np.cumsum(sizes))).tolist()
-    return zip(ends[:-1], ends[1:], strict=True)
-
-
-def _decoded(vocabulary: bytes, words: bytes) -> np.ndarray:
-    hashes = np.frombuffer(vocabulary, np.uint64)
-    return hashes[np.frombuffer(words, "<u2" if len(hashes) <= 1 << 16 else "<u4")]
-
-
-def _first_documents(key: np.ndarray, value: np.ndarray, document: np.ndarray, length: np.ndarray, words: np.ndarray, window: int, run_words: int) -> np.ndarray:
+def _first_documents(words: np.ndarray, document: np.ndarray, length: np.ndarray, window: int, run_words: int) -> np.ndarray:
+    """For each window of each stretch (``length`` of the words, of a document) the first document with it."""
+    start = np.cumsum(length) - length
+    key = _least(_grams(words, window), window - min(GRAM, window) + 1)[start]  # that of all the stretch's windows
+    value = _hashes(words, start, length)
     order = np.lexsort((document, length, value, key))
     new = _changes(key[order], value[order], length[order])
     copy_of = np.empty(len(order), np.int64)
     copy_of[order] = np.cumsum(new) - 1  # copies of one stretch fold to the first
+    words = np.unique(words, return_inverse=True)[1]
     one = order[new]
     by_document = np.lexsort((document[one], key[one]))
-    start = np.cumsum(length) - length
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(one)
     automaton, held = Automaton(), 0
     ordered = one[by_document]
@@ -376,23 +390,22 @@ def _first_documents(key: np.ndarray, value: np.ndarray, document: np.ndarray, l
     return np.concatenate([found[i] for i in copy_of.tolist()]) if len(one) else np.zeros(0, np.int64)
 
 
-def _remove(window: int, names: list[str], text: str):
+def _remove(shards: int, window: int, names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by(batches, "path"):
             piece = _load(table.column("path")[0].as_py())
-            data, offsets = arrow_text.buffers(piece.column("text"))
+            data = arrow_text.buffers(piece.column("text"))[0]
             found = arrow_text.words(piece.column("text"), arrow_text.SPACED, lower=False)
             marks = np.zeros(len(found.hash) + 1, np.int64)
-            places = [x for x in table.column("places").to_pylist() if x]
-            if places:
-                at = _load(places[0])
-                number, first = at.column("number").to_numpy().astype(np.int64), at.column("first").to_numpy().astype(np.int64)
-                windows, firsts = _joined(table, "windows", "<u4")[0].astype(np.int64), _joined(table, "firsts", np.int64)[0]
-                begin = np.cumsum(windows) - windows
-                start = _spread(first, windows[number])
-                earlier = firsts[_spread(begin[number], windows[number])] < _ids(piece)[found.row[start]]
-                marks[: len(found.hash)] += np.bincount(start[earlier], minlength=len(found.hash))
-                marks -= np.bincount(start[earlier] + window, minlength=len(marks))
+            codes = _joined(table, "codes", np.uint8)[0].astype(np.int64)
+            if codes.any():
+                own, _, new = _asking(piece, codes, found, shards, window)
+                firsts, windows = _joined(table, "firsts", np.int64)[0], own.windows[new]
+                begin = (np.cumsum(windows) - windows)[np.cumsum(new) - 1]
+                start = _spread(own.first, own.windows)
+                earlier = start[firsts[_spread(begin, own.windows)] < np.repeat(own.document, own.windows)]
+                marks[:-1] += np.bincount(earlier, minlength=len(found.hash))
+                marks -= np.bincount(earlier + window, minlength=len(marks))
             gone = np.cumsum(marks[:-1]) > 0
             texts = _kept(data, found, gone)
             lengths = found.counts()
@@ -407,10 +420,9 @@ def _remove(window: int, names: list[str], text: str):
 
 def _kept(data: np.ndarray, found: arrow_text.Words, gone: np.ndarray) -> pa.Array:
     """Each row's words that stay, joined by one space."""
-    start, size, row = found.start[~gone], (found.end - found.start)[~gone], found.row[~gone]
-    wide = size + 1
-    bytes_ = np.full(wide.sum(), 32, np.uint8)
-    bytes_[_spread(np.cumsum(wide) - wide, size)] = data[_spread(start, size)]
+    start, end, row = found.start[~gone], found.end[~gone], found.row[~gone]
+    wide = end - start + 1
+    bytes_ = np.frombuffer(_spaced(data, start, end), np.uint8)
     ends = np.concatenate(([0], np.cumsum(np.bincount(row, wide, minlength=found.rows)))).astype(np.int64)
     keep = np.ones(len(bytes_), bool)
     keep[ends[1:][np.diff(ends) > 0] - 1] = False  # no space after a row's last word
@@ -458,11 +470,14 @@ def remove_repeats(
     asked = materialise(rows.mapInArrow(_cut(folder, text, shards, window), _ASK), "asked")
     dealt = lambda df, *by: df.repartition(max(parts, shards), by[0]).sortWithinPartitions(*by)
     codes = dealt(asked.where("shard >= 0"), "shard", "path").mapInArrow(_answer(window, hot_words), "path string, shard long, codes binary")
-    sent = materialise(dealt(codes, "path", "shard").mapInArrow(_send(folder, shards, window), _SEND), "sent")
-    firsts = dealt(sent, "shard", "path").mapInArrow(_match(window, run_words), "path string, places string, shard long, windows binary, firsts binary")
-    pieces = asked.where("shard < 0").select("path", F.lit(None).cast("string").alias("places"), "shard", *[F.lit(None).cast("binary").alias(c) for c in ("windows", "firsts")])
+    codes = materialise(codes, "codes")
+    sent = dealt(codes, "path", "shard").mapInArrow(_send(shards, window), _SEND)
+    firsts = dealt(sent, "shard", "path").mapInArrow(_match(window, run_words), "path string, shard long, firsts binary")
+    none = F.lit(None).cast("binary")
+    each = asked.where("shard < 0").select("path", "shard", none.alias("codes"), none.alias("firsts"))
+    each = each.unionByName(codes.withColumn("firsts", none)).unionByName(firsts.withColumn("codes", none))
     schema = T.StructType([rows.schema["row"], T.StructField("found", _FOUND)])
-    return dealt(firsts.unionByName(pieces), "path", "shard").mapInArrow(_remove(window, documents.columns, text), schema)
+    return dealt(each, "path", "shard").mapInArrow(_remove(shards, window, documents.columns, text), schema)
 
 
 def removed_words(spans: Column) -> Column:
