@@ -36,7 +36,9 @@ RUN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\xBF])+").findall
 HELD_WORDS = 200_000
 #: A shard's list is cut into parts of about so many words; each of its words is then a query to every part.
 PART_WORDS = 100_000
-QUERIES = 2048
+QUERIES = 4096
+#: Words of several shards are scanned together.
+RUN_WORDS = 10_000
 
 
 def _damaged(run: bytes, crc: int) -> bytes:
@@ -81,32 +83,30 @@ def word_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-class SortedList:
-    """Distinct words in code-point order, with what a scan needs to know of their common prefixes."""
+class SortedLists:
+    """Lists of distinct words in code-point order, one behind the other, with what a scan needs to know of common prefixes."""
 
-    def __init__(self, characters: np.ndarray, length: np.ndarray):
-        """``characters``: a row of code points for each word, 0 behind its end."""
+    def __init__(self, characters: np.ndarray, length: np.ndarray, begins: np.ndarray):
+        """``characters``: a row of code points for each word, 0 behind its end; ``begins``: whether a word opens a list."""
         self.characters, self.length = characters, length
         k, width = characters.shape
-        same = np.cumprod(characters[1:] == characters[:-1], axis=1, dtype=np.int8)
-        self.lcp = np.concatenate(([0], same.sum(1, dtype=np.int64))) if k else np.zeros(0, np.int64)
+        self.lcp = np.full(k, -1)  # nothing is shared across lists
+        self.lcp[1:] = np.where(begins[1:], -1, np.cumprod(characters[1:] == characters[:-1], axis=1, dtype=np.int8).sum(1, dtype=np.int64))
         self.starts: list[np.ndarray] = []  # by depth: where a range of words with the same depth + 1 characters begins
         self.looked: list[np.ndarray] = []  # by depth: (range of depth characters, next character) of each word, ascending
         for depth in range(width):
-            begin = np.flatnonzero((self.lcp <= depth) | (np.arange(k) == 0))
-            parent = np.flatnonzero((self.lcp < depth) | (np.arange(k) == 0))
+            begin, parent = np.flatnonzero(self.lcp <= depth), np.flatnonzero(self.lcp < depth)
             self.starts.append(begin)
             of = np.repeat(parent, np.diff(np.append(parent, k)))
             self.looked.append(of[begin] << 21 | characters[begin, depth])
 
-    def near(self, queries: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, word) for all words exactly one edit from a query, given as rows of code points."""
-        k = len(self.length)
+    def near(self, queries: np.ndarray, length: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, word) for all words from ``low`` up to ``high``, a list of its own for each query, that are exactly one edit from it."""
         width = self.characters.shape[1]
         padded = np.zeros((len(queries), max(width, queries.shape[1]) + 3), np.int64)
         padded[:, 1 : queries.shape[1] + 1] = queries  # character j of a query at j + 1
-        q = np.arange(len(queries) if k else 0)
-        low, high = np.zeros(len(q), np.int64), np.full(len(q), k)
+        q = np.flatnonzero(low < high)
+        low, high = low[q], high[q]
         #: Cells (depth, depth - 1), (depth, depth), (depth, depth + 1) of the edit matrix, at most 2.
         left, mid, right = np.full(len(q), 2, np.int8), np.zeros(len(q), np.int8), np.ones(len(q), np.int8)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -194,43 +194,57 @@ def shards_of(vocabulary: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     return rows.select("word", "n", "size", "front", "half", "part", (F.col("own") == F.col("part")).alias("listed"))
 
 
+def _changes(table: pa.Table | pa.RecordBatch, by: list[str]) -> np.ndarray:
+    """Where a sorted table's values of ``by`` differ from the row before; the first row always does."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in by:
+        values = table.column(name).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return new
+
+
 def _near_of(table: pa.Table) -> pa.RecordBatch:
-    """For each word of one part of a shard: how many near words its list has, and the most frequent of them."""
+    """For each word of some shards' parts: how many near words its list has, and the most frequent of them."""
     words = table.column("word").to_pylist()
-    size, front = table.column("size")[0].as_py(), table.column("front")[0].as_py()
-    n = table.column("n").to_numpy()
+    n, size = table.column("n").to_numpy(), table.column("size").to_numpy()
+    front, listed = table.column("front").to_numpy(), np.flatnonzero(table.column("listed").to_numpy())
+    shard = np.cumsum(_changes(table, _SHARD)) - 1
     characters, length = code_points(words)
-    listed = np.flatnonzero(table.column("listed").to_numpy(zero_copy_only=False))
-    sorted_ = SortedList(characters[listed], length[listed])
-    half = size // 2
+    lists = SortedLists(characters[listed], length[listed], np.append(True, shard[listed][1:] != shard[listed][:-1])[: len(listed)])
+    low, high = np.searchsorted(shard[listed], shard, "left"), np.searchsorted(shard[listed], shard, "right")
     counts, best = np.zeros(len(words), np.int64), np.full(len(words), -1)
     for a in range(0, len(words), QUERIES):
-        q, e = sorted_.near(characters[a : a + QUERIES], length[a : a + QUERIES])
+        block = slice(a, a + QUERIES)
+        q, e = lists.near(characters[block], length[block], low[block], high[block])
         q, e = q + a, listed[e]
-        here = np.minimum(length[q], length[e]) == size  # two longer ones meet in the shard of the next size
-        if not front:
-            here &= (characters[q, :half] != characters[e, :half]).any(1)  # else they meet by their first half
+        here = np.minimum(length[q], length[e]) == size[q]  # two longer ones meet in the shard of the next size
+        q, e = q[here], e[here]
+        common = np.cumprod(characters[q] == characters[e], axis=1, dtype=np.int8).sum(1, dtype=np.int64)
+        here = front[q] | (common < size[q] // 2)  # else they meet by their first half
         q, e = q[here], e[here]
         counts += np.bincount(q, minlength=len(words))
         order = np.lexsort((e, -n[e], q))
         q, e = q[order], e[order]
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool))
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
         best[q[first]] = e[first]
     some = np.flatnonzero(counts)
     columns = [pa.array([words[i] for i in some], pa.string()), pa.array(counts[some]), pa.array(n[best[some]]), pa.array([words[i] for i in best[some]], pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "form_n", "form"])
 
 
+_SHARD = ["size", "front", "half", "part"]
+
+
 def near_words(vocabulary: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """word, n_near, form_n, form: of each word (word, n) with near words, their number and the most frequent.
 
     Ties go to the first in code-point order. Words are distinct; of a hot shard each part answers apart.
     """
-    by = ["size", "front", "half", "part"]
-    rows = shards_of(vocabulary, part_words).repartition(*by).sortWithinPartitions(*by, "word")
+    rows = shards_of(vocabulary, part_words).repartition(*_SHARD).sortWithinPartitions(*_SHARD, "word")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, by):
+        for table in _runs(batches, _SHARD, RUN_WORDS):
             yield _near_of(table)
 
     found = rows.mapInArrow(scan, "word string, n_near long, form_n long, form string")
@@ -239,22 +253,19 @@ def near_words(vocabulary: DataFrame, part_words: int = PART_WORDS) -> DataFrame
     return found.select("word", "n_near", (-F.col("best.less")).alias("form_n"), F.col("best.form").alias("form"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of all rows with the same values, from sorted batches."""
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows or more, from sorted batches, that never part rows with the same values."""
     held: list[pa.RecordBatch] = []
-    key = None
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        start = np.append(np.flatnonzero(new), batch.num_rows).tolist()
-        for a, b in zip(start[:-1], start[1:], strict=True):
-            mine = tuple(c[a] for c in columns)
-            if held and mine != key:
-                yield pa.Table.from_batches(held)
-                held = []
-            key = mine
-            held.append(batch.slice(a, b - a))
+        new = _changes(batch, by)
+        if held:
+            new[0] = any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in by)
+        last = np.flatnonzero(new)[-1:].tolist()
+        if held and last and sum(map(len, held)) + last[0] >= rows:
+            yield pa.Table.from_batches([*held, batch.slice(0, last[0])])
+            held, batch = [], batch.slice(last[0])
+        if len(batch):
+            held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from barriometrics.llm import spelling_groups
 
 
@@ -70,7 +72,8 @@ def test_variants_match_brute_force_also_in_parts(spark):
 def test_sorted_list_finds_every_near_word_of_any_alphabet():
     words = sorted({*vocabulary(9, 250, "ab"), *vocabulary(2, 150, "a日😀z"), "x" * 300, "x" * 299, "x" * 298})
     characters, length = spelling_groups.code_points(words)
-    q, e = spelling_groups.SortedList(characters, length).near(characters, length)
+    begins, k = np.arange(len(words)) == 0, np.full(len(words), len(words))
+    q, e = spelling_groups.SortedLists(characters, length, begins).near(characters, length, 0 * k, k)
     got = list(zip(q.tolist(), e.tolist(), strict=True))
     expected = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if one_edit(a, b)}
     assert len(got) == len(set(got)) and set(got) == expected
