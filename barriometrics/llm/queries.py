@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barriometrics.llm import (
-    decontaminate, host_reputation, html_extract, lattice_lm, sentencepiece_backend, simhash, spelling_groups, substring_dedup, token_counts,
+    conversation_repair, decontaminate, host_reputation, html_extract, lattice_lm, sentencepiece_backend, simhash, spelling_groups, substring_dedup, token_counts,
     token_files, topk_search, toxicity,
 )
 from barriometrics.llm.model_file import ModelFile
@@ -78,11 +78,16 @@ def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups.report(table(spark, folder, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.report(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_lattice_lm, op3_token_counts, op4_toxicity, op5_host_reputation, op6_token_files, op7_sentencepiece, op8_simhash,
         op9_html_extract, op10_decontaminate, op11_substring_dedup, op12_spelling_groups,
+        op13_conversation_repair,
     )
 }
 
