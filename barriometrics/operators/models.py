@@ -1,22 +1,16 @@
-"""Rent-price models: training, storage, input checks and batch scoring on Spark ML."""
+"""Rent-price models: training, storage, input checks and batch scoring."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
-from operator import and_
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark import inheritable_thread_target
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barriometrics import dims
+from barriometrics.operators import boosting
+from barriometrics.operators.boosting import BoostedTrees
 from barriometrics.operators.cleaning import neighborhood_flag, one_hot_neighborhood
-from barriometrics.session import scratch_path, shared_dir
 
 FEATURES = ("total_area", "rooms", "bedrooms", "antiquity")
 FLAGS = tuple(neighborhood_flag(n) for n in dims.VALID_NEIGHBORHOODS)
@@ -25,7 +19,7 @@ TRAIN_SHARE = 0.7
 # The tuned boosting parameters.
 GBT_PARAMS = {
     "maxIter": 1000, "stepSize": 0.01, "maxDepth": 9, "subsamplingRate": 0.5,
-    "featureSubsetStrategy": "log2", "minInstancesPerNode": 2, "seed": 5,
+    "featureSubsetStrategy": "log2", "minInstancesPerNode": 2, "minInstancesToSplit": 5, "seed": 5, "maxBins": boosting.MAX_BINS,
 }
 
 
@@ -40,45 +34,26 @@ def train_test_split(df: DataFrame, key: str, train_share: float = TRAIN_SHARE,
     return df.withColumn("split", split_side(F.col(key), train_share, seed))
 
 
-def _fit(df: DataFrame, features: Sequence[str], label: str, params: Mapping[str, object] | None) -> PipelineModel:
-    shared_dir(df.sparkSession)  # where boosting checkpoints its rounds
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    learner = GBTRegressor(labelCol=label, featuresCol="features", predictionCol="prediction", **{**GBT_PARAMS, **(params or {})})
-    return Pipeline(stages=[assembler, learner]).fit(df)
+def _params(params: Mapping[str, object] | None) -> dict[str, object]:
+    unknown = set(params or {}) - set(GBT_PARAMS)
+    if unknown:
+        raise ValueError(f"unknown boosting parameters: {sorted(unknown)}")
+    return {**GBT_PARAMS, **(params or {})}
 
 
-def train_simple(df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None) -> PipelineModel:
-    return _fit(df, FEATURES, label, params)
+def train_simple(df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None) -> BoostedTrees:
+    return boosting.fit(df, FEATURES, label, _params(params))["all"]
 
 
-def train_ohe(df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None) -> PipelineModel:
+def train_ohe(df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None) -> BoostedTrees:
     """As ``train_simple`` with one 0/1 flag per reported neighbourhood."""
-    return _fit(one_hot_neighborhood(df), (*FEATURES, *FLAGS), label, params)
-
-
-def train_per_neighborhood(
-    df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None, parallelism: int = 4
-) -> dict[str, PipelineModel]:
-    """One model for each reported neighbourhood that has rows.
-
-    The rows are written once, partitioned by neighbourhood, so that each fit scans its own folder.
-    ``parallelism`` fits are submitted at a time; small ones then do not wait for the largest.
-    """
-    parts = _by_neighborhood(df.select("neighborhood", *FEATURES, label))
-    fit = inheritable_thread_target(df.sparkSession)(lambda name: (name, _fit(parts[name], FEATURES, label, params)))
-    with ThreadPool(parallelism) as pool:
-        return dict(pool.map(fit, parts, chunksize=1))
+    return boosting.fit(one_hot_neighborhood(df), (*FEATURES, *FLAGS), label, _params(params))["all"]
 
 
-def _by_neighborhood(df: DataFrame) -> dict[str, DataFrame]:
-    spark = df.sparkSession
-    path = scratch_path(spark, "by-neighborhood")
-    rows = df.filter(F.col("neighborhood").isin(*dims.VALID_NEIGHBORHOODS))
-    # Rebalancing keeps the folders free of tiny files and still splits a neighbourhood that is hot.
-    rows.hint("rebalance", "neighborhood").write.partitionBy("neighborhood").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    present = {row[0] for row in table.select("neighborhood").distinct().collect()}  # at most the 19 names
-    return {n: table.filter(F.col("neighborhood") == n) for n in dims.VALID_NEIGHBORHOODS if n in present}
+def train_per_neighborhood(df: DataFrame, label: str = "price", params: Mapping[str, object] | None = None) -> dict[str, BoostedTrees]:
+    """One model for each reported neighbourhood that has rows, all fitted side by side from one fold."""
+    known = F.when(F.col("neighborhood").isin(*dims.VALID_NEIGHBORHOODS), F.col("neighborhood"))
+    return boosting.fit(df, FEATURES, label, _params(params), known)
 
 
 def integer_features(df: DataFrame) -> DataFrame:
@@ -89,58 +64,39 @@ def integer_features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint").cast("double") for c in FEATURES})
 
 
-def _score(df: DataFrame, model: PipelineModel, into: str) -> DataFrame:
+def predict_simple(df: DataFrame, model: BoostedTrees, into: str = "simple_prediction") -> DataFrame:
     """Every row comes back; one that lacks a feature has a NULL prediction."""
-    assembler, *learners = model.stages
-    keeping = assembler.copy({assembler.handleInvalid: "keep"})
-    scored = PipelineModel([keeping, *learners]).transform(df)
-    complete = reduce(and_, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in assembler.getInputCols()))
-    return scored.select(*[c for c in df.columns if c != into], F.when(complete, F.col("prediction")).alias(into))
+    return boosting.score(integer_features(df), {"all": model}, into)
 
 
-def predict_simple(df: DataFrame, model: PipelineModel, into: str = "simple_prediction") -> DataFrame:
-    return _score(integer_features(df), model, into)
-
-
-def predict_ohe(df: DataFrame, model: PipelineModel, into: str = "ohe_prediction") -> DataFrame:
+def predict_ohe(df: DataFrame, model: BoostedTrees, into: str = "ohe_prediction") -> DataFrame:
     """Scores with the fixed flags; an unknown neighbourhood has none set."""
-    return _score(one_hot_neighborhood(integer_features(df)), model, into).drop(*FLAGS)
+    return boosting.score(one_hot_neighborhood(integer_features(df)), {"all": model}, into).drop(*FLAGS)
 
 
 def predict_by_neighborhood(
-    df: DataFrame, models: Mapping[str, PipelineModel], into: str = "neighborhood_prediction"
+    df: DataFrame, models: Mapping[str, BoostedTrees], into: str = "neighborhood_prediction"
 ) -> DataFrame:
     """Each row is scored by its neighbourhood's model; rows without a model keep a NULL prediction."""
-    rows = integer_features(df)
-    known = F.upper("neighborhood").isin(*models)
-    spark = df.sparkSession
-    path = scratch_path(spark, "to-score")
-    # Each model then reads its own folder: together one scan, not one per model.
-    keyed = rows.withColumn("_model", F.when(known, F.upper("neighborhood")).otherwise(F.lit("")))
-    keyed.hint("rebalance", "_model").write.partitionBy("_model").parquet(path)
-    staged = spark.read.schema(keyed.schema).parquet(path)
-    result = staged.filter(F.col("_model").isNull() | ~F.col("_model").isin(*models)).drop("_model").withColumn(into, F.lit(None).cast("double"))
-    for name, model in models.items():
-        result = result.unionByName(_score(staged.filter(F.col("_model") == name).drop("_model"), model, into))
-    return result
-
-
-def save_model(model: PipelineModel, root: str, family: str, trained_on: str) -> str:
+    return boosting.score(integer_features(df), models, into, F.upper("neighborhood"))
+
+
+def save_model(model: BoostedTrees, root: str, family: str, trained_on: str) -> str:
     """Stores a model under its family and training date (yyyy-MM-dd)."""
     path = f"{root}/family={family}/date={trained_on}"
-    model.write().overwrite().save(path)
+    boosting.save(SparkSession.active(), model, path)
     return path
 
 
-def load_latest_model(spark: SparkSession, root: str, family: str) -> PipelineModel:
+def load_latest_model(spark: SparkSession, root: str, family: str) -> BoostedTrees:
     """The family's model with the latest training date."""
     try:
-        stages = spark.read.text(f"{root}/family={family}/date=*/metadata/part-*")
+        stored = spark.read.parquet(f"{root}/family={family}/date=*")
     except AnalysisException as missing:
         raise ValueError(f"no model of family {family}") from missing
     dates = F.regexp_extract(F.col("_metadata.file_path"), r"/date=(\d{4}-\d{2}-\d{2})/", 1)
-    newest = stages.agg(F.max(dates)).first()[0]
-    return PipelineModel.load(f"{root}/family={family}/date={newest}")
+    newest = stored.agg(F.max(dates)).first()[0]
+    return boosting.load(spark, f"{root}/family={family}/date={newest}")
 
 
 def validate_requests(df: DataFrame, fields: Sequence[str] = FEATURES) -> DataFrame:

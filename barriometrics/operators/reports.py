@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from barriometrics import dims
+from barriometrics.operators.boosting import BoostedTrees
 from barriometrics.operators.lookups import attach
 from barriometrics.operators.metrics import kpi_city, kpi_neighborhood_rooms, price_summary
 from barriometrics.operators.models import predict_ohe
@@ -19,7 +19,7 @@ def area_bounds(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"area_min": side(1), "area_max": side(2)})
 
 
-def rent_range(requests: DataFrame, model: PipelineModel) -> DataFrame:
+def rent_range(requests: DataFrame, model: BoostedTrees) -> DataFrame:
     """Predicted rent at both ends of the requested area, one row per request."""
     ends = area_bounds(requests).select(
         "request_id", "neighborhood",
@@ -37,7 +37,7 @@ def rent_range(requests: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def answer_requests(
-    requests: DataFrame, old: DataFrame, new: DataFrame, places: DataFrame | None = None, model: PipelineModel | None = None
+    requests: DataFrame, old: DataFrame, new: DataFrame, places: DataFrame | None = None, model: BoostedTrees | None = None
 ) -> DataFrame:
     """One row per request: city, neighbourhood and room-class figures, changes, places, rent range.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from barriometrics.operators import cleaning, crawl, evaluation, extract, models, neighborhoods, staging
+from barriometrics.operators.boosting import BoostedTrees
 from barriometrics.operators.lookups import attach
 from barriometrics.session import materialise
 
@@ -120,7 +120,7 @@ def stock_listings(stock: DataFrame, usd_rate: float = 1225.0) -> DataFrame:
 
 
 def scored_stock(
-    listings: DataFrame, simple: PipelineModel, ohe: PipelineModel, by_neighborhood: Mapping[str, PipelineModel],
+    listings: DataFrame, simple: BoostedTrees, ohe: BoostedTrees, by_neighborhood: Mapping[str, BoostedTrees],
     below: float = 5_000_000,
 ) -> DataFrame:
     """Stock listings with the three predictions, their deviations and deviation classes."""

@@ -534,7 +534,7 @@ def one_hot_neighborhood(spark, sf):
     return cleaning.one_hot_neighborhood(dt.facts(spark, sf).select("code", "neighborhood")).drop("neighborhood")
 
 
-_STOCK = """, stock AS (SELECT code AS "Codigo", CASE WHEN line = 6 THEN 0 WHEN line < 6 THEN price END AS amount, l_returnflag = 'A' AS usd, l_linestatus = 'F' AS rental,
+STOCK_SQL = """, stock AS (SELECT code AS "Codigo", CASE WHEN line = 6 THEN 0 WHEN line < 6 THEN price END AS amount, l_returnflag = 'A' AS usd, l_linestatus = 'F' AS rental,
   neighborhood <> 'OTRO' AS located, garages = 0 AS home, total_area AS covered, CASE WHEN bathrooms > 1 THEN total_area + 5 END AS total, line, rooms, antiquity, raw_neighborhood FROM facts),
 kept AS (SELECT * FROM stock WHERE amount IS NOT NULL AND amount <> 0 AND rental AND located AND home),
 area AS (SELECT *, coalesce(total, covered) AS a FROM kept WHERE coalesce(total, covered) <> 0),
@@ -542,12 +542,12 @@ roomed AS (SELECT *, CASE WHEN line IN (2, 3) THEN CASE WHEN a < 30 THEN 1 WHEN
 """
 
 
-@query("stock_filters", _STOCK + 'SELECT "Codigo", amount AS "MontoOperacion", covered AS "SuperficieCubierta" FROM kept', ("facts",))
+@query("stock_filters", STOCK_SQL + 'SELECT "Codigo", amount AS "MontoOperacion", covered AS "SuperficieCubierta" FROM kept', ("facts",))
 def stock_filters(spark, sf):
     return cleaning.stock_filters(dt.stock(spark, sf)).select("Codigo", "MontoOperacion", "SuperficieCubierta")
 
 
-@query("coalesce_area", _STOCK + 'SELECT "Codigo", a AS "PropiedadSuperficieTotal" FROM area', ("facts",))
+@query("coalesce_area", STOCK_SQL + 'SELECT "Codigo", a AS "PropiedadSuperficieTotal" FROM area', ("facts",))
 def coalesce_area(spark, sf):
     return cleaning.coalesce_area(cleaning.stock_filters(dt.stock(spark, sf))).select("Codigo", "PropiedadSuperficieTotal")
 
@@ -556,14 +556,14 @@ def _roomed_stock(spark, sf):
     return cleaning.rooms_from_area(cleaning.coalesce_area(cleaning.stock_filters(dt.stock(spark, sf))))
 
 
-@query("rooms_from_area", _STOCK + 'SELECT "Codigo", a AS "PropiedadSuperficieTotal", r AS "CantidadDormitorios" FROM roomed', ("facts",))
+@query("rooms_from_area", STOCK_SQL + 'SELECT "Codigo", a AS "PropiedadSuperficieTotal", r AS "CantidadDormitorios" FROM roomed', ("facts",))
 def rooms_from_area(spark, sf):
     return _roomed_stock(spark, sf).select("Codigo", "PropiedadSuperficieTotal", "CantidadDormitorios")
 
 
 @query(
     "stock_defaults",
-    _STOCK + 'SELECT "Codigo", r AS rooms, CASE WHEN r = 1 THEN 2 ELSE r - 1 END::DOUBLE AS bedrooms, 1 AS bathrooms, 1 AS garages FROM roomed',
+    STOCK_SQL + 'SELECT "Codigo", r AS rooms, CASE WHEN r = 1 THEN 2 ELSE r - 1 END::DOUBLE AS bedrooms, 1 AS bathrooms, 1 AS garages FROM roomed',
     ("facts",),
 )
 def stock_defaults(spark, sf):
@@ -573,7 +573,7 @@ def stock_defaults(spark, sf):
 
 @query(
     "stock_listings",
-    _STOCK + """, aged AS (SELECT *, ceil(coalesce(antiquity, avg(antiquity) OVER (PARTITION BY raw_neighborhood))) AS age FROM kept)
+    STOCK_SQL + """, aged AS (SELECT *, ceil(coalesce(antiquity, avg(antiquity) OVER (PARTITION BY raw_neighborhood))) AS age FROM kept)
     SELECT aged."Codigo" AS argenprop_code, CASE WHEN usd THEN amount * 1225 ELSE amount END::DOUBLE AS original_price, coalesce(total, covered) AS total_area, age AS antiquity, n.neighborhood
     FROM aged JOIN names n USING (raw_neighborhood) WHERE coalesce(total, covered) <> 0""",
     ("facts",),

@@ -1,6 +1,7 @@
 """Registered queries: price models, scoring, accuracy, feature studies.
 
-The fits use the operators' own parameters (``models.GBT_PARAMS`` for the price models), so they take long.
+The fits use the operators' own parameters (``models.GBT_PARAMS`` for the price models). SQL cannot fit trees; it
+checks which rows come out, the error that knowing only the mean would make, and that the fit beats it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from barriometrics import dims
 from barriometrics.operators import evaluation, models, reports, selection
 from barriometrics.plans import driver_tables as dt, flows
+from barriometrics.plans.queries_listings import STOCK_SQL
 from barriometrics.plans.queries_metrics import report_requests
 from barriometrics.plans.registry import RUN_DATE, query, rounded
 from barriometrics.session import materialise, scratch_path
@@ -28,32 +30,57 @@ def training_rows(spark, sf):
 
 
 def _halves(spark, sf):
-    rows = materialise(models.train_test_split(training_rows(spark, sf), "code"))
+    """Listings to learn from and to test on, whose prices follow area and rooms (those of the table are drawn apart from both)."""
+    follows = F.col("price") * 0.1 + F.col("total_area") * 400 + F.col("rooms") * 2000
+    rows = materialise(models.train_test_split(training_rows(spark, sf).withColumn("price", follows), "code"))
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
 
 
-@query("train_simple")
+def _held_out(train, scored, prediction, *by):
+    """Row counts of both halves, the held-out error of the training mean, and whether the fit's is below a share of it."""
+    means = train.groupBy(*by).agg(F.avg("price").alias("mean"), F.count("*").alias("n_train"))
+    joined = scored.join(means, list(by)) if by else scored.select("*", means.select(F.struct("mean", "n_train").alias("m")).scalar().alias("m")).select("*", "m.*")
+    error = lambda c: F.sqrt(F.avg(F.pow(F.col("price") - F.col(c), 2)))
+    sums = joined.groupBy(*by).agg(
+        F.first("n_train").alias("n_train"), F.count(prediction).alias("n"), error("mean").alias("mean_rmse"), error(prediction).alias("rmse")
+    )
+    return sums.select(*by, "n_train", "n", F.round("mean_rmse", 2).alias("mean_rmse"), (F.col("rmse") < BEATEN * F.col("mean_rmse")).alias("beats_mean"))
+
+
+#: A fit must leave less than this share of the mean's error.
+BEATEN = 0.5
+_TRAINING = """, t AS (SELECT * REPLACE (price * 0.1::DOUBLE + total_area * 400 + rooms * 2000 AS price), substr(md5(code), 1, 8) < 'b3333333' AS train
+  FROM facts WHERE neighborhood <> 'OTRO')"""
+_HELD_OUT = f"""{_TRAINING}, m AS (SELECT avg(price) AS mean, count(*) AS n_train FROM t WHERE train)
+    SELECT any_value(n_train) AS n_train, count(*) AS n, round(sqrt(avg(pow(price - mean, 2))), 2) AS mean_rmse, true AS beats_mean FROM t, m WHERE NOT train"""
+
+
+@query("train_simple", _HELD_OUT, ("facts",))
 def train_simple(spark, sf):
     train, test = _halves(spark, sf)
     model = models.train_simple(train)
-    return evaluation.evaluate(models.predict_simple(test, model), prediction="simple_prediction")
+    return _held_out(train, models.predict_simple(test, model), "simple_prediction")
 
 
-@query("train_ohe")
+@query("train_ohe", _HELD_OUT, ("facts",))
 def train_ohe(spark, sf):
     train, test = _halves(spark, sf)
     model = models.train_ohe(train)
-    return evaluation.evaluate(models.predict_ohe(test, model), prediction="ohe_prediction")
+    return _held_out(train, models.predict_ohe(test, model), "ohe_prediction")
 
 
-@query("train_per_neighborhood")
+@query(
+    "train_per_neighborhood",
+    f"""{_TRAINING}, m AS (SELECT neighborhood, avg(price) AS mean, count(*) AS n_train FROM t WHERE train GROUP BY 1)
+    SELECT neighborhood, any_value(n_train) AS n_train, count(*) AS n, round(sqrt(avg(pow(price - mean, 2))), 2) AS mean_rmse, true AS beats_mean
+    FROM t JOIN m USING (neighborhood) WHERE NOT train GROUP BY 1""",
+    ("facts",),
+)
 def train_per_neighborhood(spark, sf):
     """Hold-out errors of the model of each neighbourhood."""
     train, test = _halves(spark, sf)
     fitted = models.train_per_neighborhood(train)
-    scored = models.predict_by_neighborhood(test, fitted)
-    error = F.col("price") - F.col("neighborhood_prediction")
-    return scored.groupBy("neighborhood").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"))
+    return _held_out(train, models.predict_by_neighborhood(test, fitted), "neighborhood_prediction", "neighborhood")
 
 
 @query(
@@ -76,15 +103,23 @@ def evaluate(spark, sf):
     return rounded(rounded(result, 2, "rmse"), 6, "r2")
 
 
-@query("save_load_latest_model")
+def _scored(df, prediction, *more):
+    """The rows with whether they are scored and whether the score is a price like those of the listings."""
+    near = F.col(prediction).between(0, 200_000)
+    return df.select("code", *more, F.col(prediction).isNotNull().alias("scored"), F.coalesce(near, F.lit(False)).alias("near"))
+
+
+@query("save_load_latest_model", f"{_TRAINING} SELECT code, part, true AS scored, true AS same FROM t", ("facts",))
 def save_load_latest_model(spark, sf):
-    """Two stored models; the newer one is found by its date and scores every listing."""
+    """Two stored models; the newer one is found by its date and scores every listing as before it was stored."""
     train, test = _halves(spark, sf)
     root = scratch_path(spark, "models")
     models.save_model(models.train_simple(test), root, "wo_ohe", "2001-07-01")
-    models.save_model(models.train_simple(train), root, "wo_ohe", RUN_DATE)
+    newer = models.train_simple(train)
+    models.save_model(newer, root, "wo_ohe", RUN_DATE)
     latest = models.load_latest_model(spark, root, "wo_ohe")
-    return models.predict_simple(training_rows(spark, sf), latest).select("code", "simple_prediction")
+    scored = models.predict_simple(models.predict_simple(training_rows(spark, sf), latest), newer, "before")
+    return scored.select("code", "part", F.col("simple_prediction").isNotNull().alias("scored"), (F.col("simple_prediction") == F.col("before")).alias("same"))
 
 
 @query(
@@ -104,34 +139,54 @@ def validate_input(spark, sf):
     return models.validate_requests(requests).select("code", "error")
 
 
-@query("predict_simple")
+_SCORED = "SELECT code, {}price, true AS scored, true AS near FROM facts"
+
+
+@query("predict_simple", _SCORED.format("") + " WHERE neighborhood <> 'OTRO'", ("facts",))
 def predict_simple(spark, sf):
     rows = training_rows(spark, sf)
-    return models.predict_simple(rows, models.train_simple(rows)).select("code", "price", "simple_prediction")
+    return _scored(models.predict_simple(rows, models.train_simple(rows)), "simple_prediction", "price")
 
 
-@query("predict_ohe")
+@query("predict_ohe", _SCORED.format("neighborhood, "), ("facts",))
 def predict_ohe(spark, sf):
     """Scores all listings, the unmapped ones with no flag set."""
     model = models.train_ohe(training_rows(spark, sf))
     everything = dt.facts(spark, sf).withColumns({c: F.coalesce(F.col(c), F.lit(1.0)) for c in ("bedrooms", "antiquity")})
-    return models.predict_ohe(everything, model).select("code", "neighborhood", "price", "ohe_prediction")
+    return _scored(models.predict_ohe(everything, model), "ohe_prediction", "neighborhood", "price")
 
 
-@query("predict_by_neighborhood")
+@query(
+    "predict_by_neighborhood",
+    "SELECT code, neighborhood, price, neighborhood <> 'OTRO' AS scored, neighborhood <> 'OTRO' AS near FROM facts",
+    ("facts",),
+)
 def predict_by_neighborhood(spark, sf):
-    rows = materialise(training_rows(spark, sf))
-    fitted = models.train_per_neighborhood(rows)
-    return models.predict_by_neighborhood(rows, fitted).select("code", "neighborhood", "price", "neighborhood_prediction")
+    """Scores all listings; the unmapped ones have no model."""
+    fitted = models.train_per_neighborhood(materialise(training_rows(spark, sf)))
+    everything = dt.facts(spark, sf).withColumns({c: F.coalesce(F.col(c), F.lit(1.0)) for c in ("bedrooms", "antiquity")})
+    return _scored(models.predict_by_neighborhood(everything, fitted), "neighborhood_prediction", "neighborhood", "price")
 
 
-@query("scored_stock")
+@query(
+    "scored_stock",
+    STOCK_SQL + """, aged AS (SELECT *, ceil(coalesce(antiquity, avg(antiquity) OVER (PARTITION BY raw_neighborhood))) AS age FROM kept)
+    SELECT aged."Codigo" AS argenprop_code, CASE WHEN usd THEN amount * 1225 ELSE amount END::DOUBLE AS original_price, n.neighborhood,
+      age IS NOT NULL AS simple_scored, age IS NOT NULL AS ohe_scored, age IS NOT NULL AND n.neighborhood <> 'OTRO' AS neighborhood_scored, true AS classed
+    FROM aged JOIN names n USING (raw_neighborhood) WHERE coalesce(total, covered) <> 0 AND (CASE WHEN usd THEN amount * 1225 ELSE amount END) < 5000000""",
+    ("facts",),
+)
 def scored_stock(spark, sf):
     """The accuracy study: three models trained on the listings score the portal's stock."""
     rows = materialise(training_rows(spark, sf))
     fitted = models.train_per_neighborhood(rows)
     stock = flows.stock_listings(dt.stock(spark, sf))
-    return flows.scored_stock(stock, models.train_simple(rows), models.train_ohe(rows), fitted)
+    found = flows.scored_stock(stock, models.train_simple(rows), models.train_ohe(rows), fitted)
+    classed = [F.col(f"{m}_prediction").isNull() == F.col(f"{m}_dev_category").isNull() for m in evaluation.MODELS]
+    return found.select(
+        "argenprop_code", "original_price", "neighborhood", *[F.col(f"{m}_prediction").isNotNull().alias(f"{m}_scored") for m in evaluation.MODELS],
+        (classed[0] & classed[1] & classed[2]).alias("classed"),
+    )
 
 
 # ---- accuracy -------------------------------------------------------------------------------
@@ -309,8 +364,14 @@ def compare_models(spark, sf):
     return selection.compare_models(training_rows(spark, sf), STUDY_FEATURES)
 
 
-@query("rent_range")
+@query(
+    "rent_range",
+    "SELECT o_orderkey AS request_id, true AS scored, true AS near FROM orders JOIN customer ON o_custkey = c_custkey JOIN names ON nk = c_nationkey",
+    ("names",),
+)
 def rent_range(spark, sf):
     """Predicted rent at both ends of the area each request names."""
     model = models.train_ohe(training_rows(spark, sf))
-    return reports.rent_range(report_requests(spark, sf), model)
+    found = reports.rent_range(report_requests(spark, sf), model)
+    ends = F.col("rent_result_min").isNotNull() & F.col("rent_result_max").isNotNull()
+    return found.select("request_id", ends.alias("scored"), (F.least("rent_result_min", "rent_result_max") > 0).alias("near"))
