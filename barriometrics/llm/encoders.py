@@ -1,9 +1,9 @@
 """Encoders inside tasks: a tokenizers-library tokenizer behind a bounded cache of words.
 
 Where a tokenizer drops white space and never looks across it, a text's ids are those of its words in
-turn. A task then splits at ASCII white space, looks each word up, and gives the library only the words
-it has not met, in batches. The cache is emptied when it is full, so memory is bounded. Any other
-tokenizer gets whole texts.
+turn. A task then splits a piece at ASCII white space, looks its distinct words up by their hashes in sorted
+arrays, and gives the library only the words it has not met, in batches. When the arrays are full, words
+not met for longest go, so memory is bounded. Any other tokenizer gets whole texts.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import tokenizers
 
+from barriometrics.llm import arrow_text
+
 CACHE_WORDS = 600_000
-CACHE_STEMS = 600_000
+#: Words and stems held in arrays, about 45 bytes each.
+KNOWN_WORDS = 2_000_000
+KNOWN_STEMS = 1_000_000
 _JOINED = 512
-#: Latin letters in UTF-8 (A-Z, a-z, À-ÿ without × and ÷), then ASCII marks other than the apostrophe.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def whole(tokenizer: tokenizers.Tokenizer, text: str) -> bytes:
@@ -61,41 +64,136 @@ class WordEncoder:
         self.tokenizer = tokenizers.Tokenizer.from_str(json.dumps(settings))
         self.by_word = drops_white_space(settings)
         self.apart = self.by_word and splits_marks(settings)
-        self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.known = WordIds(KNOWN_WORDS)
+        self.stems = WordIds(KNOWN_STEMS)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode_rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows' texts, one behind the other, and where each row's begin (with the end)."""
         if not self.by_word:
-            return [whole(self.tokenizer, t.decode()) for t in texts]
-        split = [t.split() for t in texts]
-        words = list(chain.from_iterable(split))
-        found = list(map(self.cache.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            new = self._new(list(dict.fromkeys([words[i] for i in missing])))
-            for i in missing:
-                found[i] = new[words[i]]
-            remember(self.cache, new, CACHE_WORDS)
-        ends = [0, *accumulate(map(len, split))]
-        return [b"".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of unseen words. Letters and the marks behind them are encoded apart, as the library does.
+            data, offsets = arrow_text.buffers(column)
+            texts = (data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            found = [np.frombuffer(whole(self.tokenizer, t), "<u4") for t in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)
+        words = arrow_text.words(column, arrow_text.SPACED, lower=False)
+        key, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
+        start, size = self.known.lookup(key)
+        if len(new := np.flatnonzero(size < 0)):
+            self.known.add(key[new], *self._new(words.data, words.start[first[new]], words.end[first[new]]))
+            start, size = self.known.lookup(key)
+        sizes = size[place]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.known.ids[_spread(start[place], sizes)]
+        rows = np.concatenate(([0], np.cumsum(words.counts())))
+        return ids, ends[rows]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        ids, ends = self.encode_rows(pa.array([t.decode() for t in texts], pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of unseen words, one behind the other, and how many each has.
 
+        Letters and the marks behind them are encoded apart, as the library does, so that a stem is met once.
         Only words of plain Latin letters and ASCII marks are taken apart: no apostrophes, which begin
         contractions, and no characters that the normaliser could join or change in another way.
         """
-        parts = {}
-        for word in words:
-            match = PLAIN(word) if self.apart else None
-            parts[word] = (match[1].lower(), match[2]) if match else (word, b"")
-        stems = self.stems
-        new = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p and p not in stems]
-        met = dict(zip(new, joined(self.tokenizer, [p.decode() for p in new]), strict=True))
-        met[b""] = b""
-        out = {w: (met[a] if a in met else stems[a]) + (met[b] if b in met else stems[b]) for w, (a, b) in parts.items()}
-        remember(stems, met, CACHE_STEMS)
-        return out
+        cut = _stem_ends(data, start, end) if self.apart else np.zeros(len(start), np.int64)
+        plain = cut > 0
+        # Two parts for each word, the second empty unless marks follow a stem.
+        starts = np.stack((start, np.where(plain, start + cut, end)), 1).ravel()
+        ends = np.stack((np.where(plain, start + cut, end), end), 1).ravel()
+        there = ends > starts
+        body, at = _spaced(data, starts[there], ends[there])
+        lowered = np.repeat(np.repeat(plain, 2)[there], (ends - starts)[there] + 1)
+        body = np.where(lowered, arrow_text.LOWER[body], body)
+        parts = arrow_text.words(_one_row(body), arrow_text.SPACED, lower=False)
+        key, first, place = np.unique(parts.hash, return_index=True, return_inverse=True)
+        if len(new := np.flatnonzero(self.stems.lookup(key)[1] < 0)):
+            raw = body.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(at[first[new]].tolist(), (at + (ends - starts)[there])[first[new]].tolist(), strict=True)]
+            found = joined(self.tokenizer, texts)
+            self.stems.add(key[new], np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        begin, size = self.stems.lookup(key)
+        sizes = np.zeros(len(starts), np.int64)
+        sizes[there] = size[place]
+        flat = self.stems.ids[_spread(begin[place], size[place])]
+        return flat, sizes.reshape(-1, 2).sum(1)
+
+
+def _stem_ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For words of plain letters and then marks the bytes of their letters, else 0."""
+    body, at = _spaced(data, start, end)
+    lead = body == 0xC3
+    follow = np.concatenate(([False], lead[:-1])) & _LATIN[body]
+    letter = _LETTER[body] | follow | (lead & np.concatenate((follow[1:], [False])))
+    letters, marks = (np.concatenate(([0], np.cumsum(x))) for x in (letter, _MARK[body]))
+    size = end - start
+    count = letters[at + size] - letters[at]
+    plain = (count + marks[at + size] - marks[at] == size) & (letters[at + count] - letters[at] == count)
+    return np.where(plain, count, 0)
+
+
+def _table(pattern: bytes) -> np.ndarray:
+    return np.array([re.fullmatch(pattern, bytes([b])) is not None for b in range(256)])
+
+
+#: Latin letters in UTF-8 (A-Z, a-z, and behind the byte C3 À-ÿ without × and ÷), ASCII marks other than the apostrophe.
+_LETTER, _LATIN, _MARK = _table(rb"[A-Za-z]"), _table(rb"[\x80-\x96\x98-\xB6\xB8-\xBF]"), _table(rb"[!-&(-/:-@\[-`{-~]")
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size, joined."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def _spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ranges, a space behind each, and where each begins."""
+    size = end - start
+    at = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    out[_spread(at, size)] = data[_spread(start, size)]
+    return out, at
+
+
+def _one_row(body: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(body)], np.int64)), pa.py_buffer(np.ascontiguousarray(body)))
+
+
+class WordIds:
+    """The ids of words by their 64-bit hashes, in sorted arrays; when full it forgets those not met for longest."""
+
+    def __init__(self, most: int):
+        self.most, self.turn = most, 0
+        self.key = np.zeros(0, np.uint64)
+        self.start, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def lookup(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each hash begin, and how many they are; -1 for unknown ones."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        found = self.key[at] == key
+        self.turn += 1
+        self.met[at[found]] = self.turn
+        return self.start[at], np.where(found, self.size[at], -1)
+
+    def add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Adds new hashes, in ascending order, with their words' ids and how many each has."""
+        if len(self.key) + len(key) > self.most and len(self.key):
+            self._forget()
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, ids))
+        order = np.argsort(np.concatenate((self.key, key)), kind="stable")
+        joined_ = ((self.key, key), (self.start, start), (self.size, size), (self.met, np.full(len(key), self.turn)))
+        self.key, self.start, self.size, self.met = (np.concatenate(pair)[order] for pair in joined_)
+
+    def _forget(self) -> None:
+        """Keeps what the last lookup met, and of the rest the half met more lately."""
+        keep = self.met >= min(self.turn, int(np.median(self.met)) + 1)
+        self.key, size, start, self.met = self.key[keep], self.size[keep], self.start[keep], self.met[keep]
+        self.size, self.start = size, np.cumsum(size) - size
+        self.ids = self.ids[_spread(start, size)]
 
 
 def remember(cache: dict, new: dict, most: int) -> None:

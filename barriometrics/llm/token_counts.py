@@ -49,11 +49,8 @@ def add_missing(documents: DataFrame, path: str, cache: str, text: str = "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in arrow_text.pieces(batch, "text"):
-                data, offsets = arrow_text.buffers(piece.column("text"))
-                raw = memoryview(data)
-                texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                counts = [len(ids) // 4 for ids in encoder(path).encode(texts)]
-                yield pa.RecordBatch.from_arrays([piece.column("digest"), pa.array(np.array(counts, np.int64))], ["digest", "n_tokens"])
+                counts = np.diff(encoder(path).encode_rows(piece.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([piece.column("digest"), pa.array(counts)], ["digest", "n_tokens"])
 
     misses.mapInArrow(encode, _CACHE).write.mode("append").parquet(folder)
     return folder

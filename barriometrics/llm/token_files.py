@@ -199,14 +199,12 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
 
         for batch in batches:
             for piece in arrow_text.pieces(batch, "text", 4 << 20):
-                data, offsets = arrow_text.buffers(piece.column("text"))
-                raw = memoryview(data)
-                texts = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                for key, ids in zip(piece.column("id").to_pylist(), encoder(path).encode(texts), strict=True):
+                ids, ends = encoder(path).encode_rows(piece.column("text"))
+                for key, a, b in zip(piece.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     if writer is None:
                         name = f"{folder}/tokens-{partition:05d}-{number:05d}-{uuid.uuid4().hex}.pfor"
                         writer = FileWriter(name)
-                    writer.add(key, np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                    writer.add(key, np.concatenate((ids[a:b], end)))
                     if writer.ids >= FILE_IDS:
                         yield done()
                         writer, number = None, number + 1
