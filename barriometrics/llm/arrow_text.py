@@ -6,6 +6,7 @@ megabytes of text (a longer text is a piece of its own), so memory follows one p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -48,6 +49,23 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield batch.slice(first, end - first)
         first = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that a batch has left free back to the system, so that a waiting worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@cache
+def _trim():
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
 
 
 def with_text(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barriometrics.llm import arrow_text
@@ -202,6 +203,17 @@ def _merged(a: dict, b: dict) -> dict:
     return best | {"spans": spans, "items": sorted({*a["items"], *b["items"]})}
 
 
+def _test_blocks(benchmark: DataFrame, item: str, item_text: str, window: int) -> Iterator[Broadcast]:
+    """The tests, sent to all tasks in blocks of bounded size; one block at least."""
+    spark = benchmark.sparkSession
+    tests = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("body")).distinct()
+    size = tests.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 16)).first()[0] or 0
+    blocks = max(1, -(-size // TEST_BLOCK_BYTES))
+    for block in range(blocks):
+        rows = tests.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).orderBy("item", "body").collect()
+        yield spark.sparkContext.broadcast(Tests.of([(r["item"], r["body"]) for r in rows], window))
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Each training row with what it holds of the tests: columns ``row`` (all given columns), ``found``.
 
@@ -214,14 +226,8 @@ def matches(documents: DataFrame, benchmark: DataFrame, text: str = "text", item
     judged; a test repeated under one id counts once; a test without id marks words and isn't listed.
     Empty tables give no rows, or rows without hits. Given columns keep their names inside ``row``.
     """
-    spark = documents.sparkSession
-    tests = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("body")).distinct()
-    size = tests.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = max(1, -(-size // TEST_BLOCK_BYTES))
     out = documents.select(F.struct("*").alias("row"))
-    for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).orderBy("item", "body").collect()
-        shared = spark.sparkContext.broadcast(Tests.of([(r["item"], r["body"]) for r in rows], window))
+    for shared in _test_blocks(benchmark, item, item_text, window):
         schema = T.StructType([out.schema["row"], T.StructField("found", _FOUND)])
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -258,6 +264,18 @@ def report(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", w
     )
 
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The training rows that hold no test window, with the columns they came with."""
-    return matches(documents, benchmark, window=window).where(F.size("found.spans") == 0).select("row.*")
+def remove_contaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """The training rows that hold no test window, with the columns they came with; batches are filtered as they are."""
+    out = documents
+    for shared in _test_blocks(benchmark, item, item_text, window):
+
+        def choose(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in arrow_text.pieces(batch, text):
+                    found = _shard_rows(piece.select([text]).rename_columns(["text"]), shared.value, None)
+                    yield piece.filter(pa.array([not row["spans"] for row in found], pa.bool_()))
+
+        out = out.mapInArrow(choose, documents.schema)
+    return out

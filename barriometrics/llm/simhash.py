@@ -385,6 +385,7 @@ def candidates(texts: DataFrame, kept: DataFrame, rows: int, shingle: int, simil
                 yield _list_links(rows[:cut], bits, similarity)
         if len(held):
             yield _list_links(held, bits, similarity)
+        arrow_text.release()
 
     return posted.mapInArrow(search, "a long, b long").distinct()
 
@@ -467,6 +468,7 @@ def _verified(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 held.append(np.frombuffer(one.as_py(), np.uint64))
         if len(ids) > 1:
             yield links_of(ids, held)
+        arrow_text.release()
 
     def links_of(ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = _set_links(np.array(ids), held, similarity)

@@ -197,6 +197,13 @@ def report(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> D
     return scored.select(key.alias(doc_id), held_out(key).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below the threshold, with the columns they came with."""
-    return score(documents, train(documents, labels)).where(F.col("score") < threshold).select("row.*")
+def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows that score below the threshold, with the columns they came with; batches are filtered as they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, text=text))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in arrow_text.pieces(batch, text):
+                yield piece.filter(pa.array(shared.value.scores(piece.column(text)) < threshold))
+
+    return documents.mapInArrow(choose, documents.schema)
