@@ -6,6 +6,8 @@ markup is read with the standard library's tokenizer; the portal's layout is a s
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -88,6 +90,10 @@ class CardReader(HTMLParser):
 
     A card inside a matching element is a card of its own, and its text also belongs to the outer one. A
     page cut off in mid-card keeps what it has.
+
+    Each tag costs constant time, however many cards and elements are open: open tags are counted by name,
+    a card waits in a list for each thing that it still lacks, and texts are ranges of the page's pieces.
+    Elements close last first, so what a closing card waits for lies at the ends of those lists.
     """
 
     def __init__(self, layout: Layout):
@@ -95,51 +101,85 @@ class CardReader(HTMLParser):
         self.layout = layout
         self.has_container = False
         self.cards: list[dict] = []
-        self._live: list[dict] = []
+        self._pieces: list[str] = []
         self._open: list[tuple[str, list[tuple[dict, str]]]] = []
+        self._named: Counter[str] = Counter()
+        self._waiting: dict[str, list[dict]] = {name: [] for name in ("href", *layout.fields)}
+        self._link_parents: list[int] = []
+        self._listing: list[dict] = []
         self._after_currency: list[dict] = []
 
-    def _inside(self, card: dict, role: str) -> bool:
-        return any(c is card and r == role for _, roles in self._open for c, r in roles)
-
     def handle_starttag(self, tag: str, attrs: list) -> None:
         values = dict(attrs)
+        layout, depth = self.layout, len(self._open)
         roles: list[tuple[dict, str]] = []
-        if self.layout.container.holds(tag, values):
+        if layout.container.holds(tag, values):
             self.has_container = True
-        if self.layout.card.holds(tag, values):
-            card = {"items": None}
+        if layout.card.holds(tag, values):
+            card = {"items": None, "depth": depth}
             self.cards.append(card)
-            self._live.append(card)
             roles.append((card, "card"))
+            for waiting in self._waiting.values():
+                waiting.append(card)
         self._after_currency = []
-        for card in self._live:
-            if self.layout.link_parent and self.layout.link_parent.holds(tag, values):
-                roles.append((card, "link_parent"))
-            in_parent = self.layout.link_parent is None or self._inside(card, "link_parent")
-            if "href" not in card and in_parent and self.layout.link.holds(tag, values):
-                card["href"] = values.get("href")
-            for name, rule in self.layout.fields.items():
-                if name not in card and rule.holds(tag, values):
-                    card[name] = ""
+        if layout.link.holds(tag, values):
+            self._link(values.get("href"))
+        for name, rule in layout.fields.items():
+            if self._waiting[name] and rule.holds(tag, values):
+                for card in self._waiting[name]:
+                    card[name] = [len(self._pieces), None]
                     roles.append((card, name))
-                    if name == "features" and self.layout.item:
+                    if name == "features" and layout.item:
                         card["items"] = []
-            if self.layout.item and tag == self.layout.item.tag and self._inside(card, "features"):
-                card["items"].append("")
-                roles.append((card, "item"))
-        if tag not in VOID_TAGS:
-            self._open.append((tag, roles))
+                self._waiting[name] = []
+        if layout.item and tag == layout.item.tag:
+            for card in self._listing:
+                card["items"].append([len(self._pieces), None])
+                roles.append((card["items"][-1], "item"))
+        if tag in VOID_TAGS:
+            for owner, role in roles:
+                self._close(owner, role)
+            return
+        self._listing += [card for card, role in roles if role == "features" and layout.item]
+        if layout.link_parent and layout.link_parent.holds(tag, values):
+            self._link_parents.append(depth)
+        self._named[tag] += 1
+        self._open.append((tag, roles))
+
+    def _link(self, href: str | None) -> None:
+        """The link of all cards that have none and, where the layout asks for it, an open parent inside them."""
+        waiting = self._waiting["href"]
+        if self.layout.link_parent is None:
+            first = len(waiting)
+        else:
+            first = bisect_right(waiting, self._link_parents[-1], key=lambda card: card["depth"]) if self._link_parents else 0
+        for card in waiting[:first]:
+            card["href"] = href
+        del waiting[:first]
+
+    def _close(self, owner, role: str) -> None:
+        if role == "card":
+            for waiting in self._waiting.values():
+                if waiting and waiting[-1] is owner:
+                    waiting.pop()
+        elif role == "item":
+            owner[1] = len(self._pieces)
+        else:
+            owner[role][1] = len(self._pieces)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in (name for name, _ in self._open):
+        if not self._named[tag]:
             return
         while self._open:
             name, roles = self._open.pop()
+            self._named[name] -= 1
+            if self._link_parents and self._link_parents[-1] == len(self._open):
+                self._link_parents.pop()
             self._after_currency = [card for card, role in roles if role == "currency"]
-            for closed, role in roles:
-                if role == "card":
-                    self._live = [card for card in self._live if card is not closed]
+            for owner, role in reversed(roles):
+                self._close(owner, role)
+                if role == "features" and self.layout.item:
+                    self._listing.pop()
             if name == tag:
                 break
 
@@ -147,16 +187,15 @@ class CardReader(HTMLParser):
         for card in self._after_currency:
             card.setdefault("amount", data.strip())
         self._after_currency = []
-        for _, roles in self._open:
-            for card, role in roles:
-                if role == "item":
-                    card["items"][-1] += data
-                elif role in self.layout.fields:
-                    card[role] += data
+        self._pieces.append(data)
+
+    def text(self, span: list[int | None]) -> str:
+        """The text of an element; one that never closed runs to the page's end."""
+        return "".join(self._pieces[span[0] : span[1]])
 
 
-def _text(card: dict, name: str) -> str | None:
-    return card[name].strip() if name in card else None
+def _text(reader: CardReader, card: dict, name: str) -> str | None:
+    return reader.text(card[name]).strip() if name in card else None
 
 
 def read_cards(html: str, portal: str, need_container: bool = True) -> list[dict]:
@@ -169,18 +208,18 @@ def read_cards(html: str, portal: str, need_container: bool = True) -> list[dict
     for card in reader.cards if reader.has_container or not need_container else []:
         href = card.get("href")
         url = layout.site + href if href is not None else None
-        row = {name: _text(card, name) for name in ("expenses", "address", "location", "description")}
+        row = {name: _text(reader, card, name) for name in ("expenses", "address", "location", "description")}
         row["property_url"] = url
         if portal == "Z":
             row["code"] = url.split("-")[-1].split(".")[0] if url else None
-            row["price"] = _text(card, "price")
-            features = _text(card, "features")
+            row["price"] = _text(reader, card, "price")
+            features = _text(reader, card, "features")
             row["features"] = [features] if features is not None else None
         else:
             row["code"] = url.split("-")[-1] if url else None
-            row["price"] = f"{_text(card, 'currency')} {card.get('amount')}"
+            row["price"] = f"{_text(reader, card, 'currency')} {card.get('amount')}"
             row["expenses"] = row["expenses"].replace("+ ", "") if row["expenses"] is not None else None
-            row["features"] = [item.strip() for item in card["items"]] if card["items"] is not None else None
+            row["features"] = [reader.text(item).strip() for item in card["items"]] if card["items"] is not None else None
         rows.append(row)
     return rows
 
