@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barriometrics import dims
-from barriometrics.functions.geo import cell_index, haversine_m
+from barriometrics.functions.geo import EARTH_RADIUS_M, cell_index, haversine_m
 from barriometrics.operators.lookups import attach
 from barriometrics.session import materialise
 
 METRES_PER_DEGREE = 111_194.9
 HOT_CELL_ROWS = 100_000
+#: Levels of the pyramid below cells one radius high.
+LEVELS = 4
 
 
 def with_defaults(places: DataFrame) -> DataFrame:
@@ -95,16 +97,113 @@ def near(requests: DataFrame, places: DataFrame, radius_m: float = 500.0) -> Dat
     )
 
 
+def _columns_of(band: Column, size: float) -> Column:
+    """Cells around the globe in a band ``size`` degrees high: about square at its edge nearest to the pole, one at the pole."""
+    edge = F.least(F.greatest(F.abs(band * size), F.abs((band + 1) * size)), F.lit(90.0))
+    return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * 360 / size)).cast("long")
+
+
+def _east(lon: Column) -> Column:
+    return F.pmod(lon + 180, F.lit(360.0))
+
+
+def _finest_cells(df: DataFrame, size: float) -> DataFrame:
+    """``cy``, ``cx``: the cell of the last level that holds lat, lon; shifting them right gives the coarser ones."""
+    fine = 1 << LEVELS
+    band = F.floor(F.col("lat") / size)
+    column = F.floor(_east(F.col("lon")) / 360 * _columns_of(band, size) * fine)
+    return df.withColumns({"cy": F.floor(F.col("lat") / (size / fine)), "cx": column.cast("long")})
+
+
+def _bounds(size: float) -> tuple[Column, Column]:
+    """Least and greatest distance in metres from lat, lon to a point of the cell (level, cy, cx)."""
+    height = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
+    width = F.lit(360.0) / (F.col("columns") * F.pow(F.lit(2.0), F.col("level")))
+    south = F.col("cy") * height
+    apart = F.abs(F.col("lat") - south - height / 2)
+    along = F.abs(_east(F.col("lon")) - (F.col("cx") + 0.5) * width)
+    along = F.least(along, 360 - along)
+    edges = F.abs(south), F.abs(south + height)
+    wide = F.when((south <= 0) & (south + height >= 0), F.lit(1.0)).otherwise(F.cos(F.radians(F.least(*edges, F.lit(90.0)))))
+    narrow = F.cos(F.radians(F.least(F.greatest(*edges), F.lit(90.0))))
+
+    def metres(dlat: Column, dlon: Column, cosine: Column) -> Column:
+        h = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians("lat")) * cosine * F.pow(F.sin(F.radians(dlon) / 2), 2)
+        return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_RADIUS_M)
+
+    least = metres(F.greatest(apart - height / 2, F.lit(0.0)), F.greatest(along - width / 2, F.lit(0.0)), narrow)
+    most = metres(F.least(apart + height / 2, F.lit(180.0)), F.least(along + width / 2, F.lit(180.0)), wide)
+    return least * (1 - 1e-9), most * (1 + 1e-9)
+
+
+def _cover(origins: DataFrame, radius_m: float, size: float) -> DataFrame:
+    """The cells of each origin's disc: lat, lon, level, cy, cx, low, high, whole.
+
+    Whole cells lie inside the disc and are no larger than their distance allows: about a half of it, so that
+    they also bound the nearest place. The others are cells of the last level that the edge crosses. How
+    many there are follows from the levels alone, at any latitude.
+    """
+    reach = F.lit(size * 1.001)
+    band = lambda lat: F.floor(lat / size)
+    cosine = F.cos(F.radians(F.least(F.abs("lat"), F.lit(90.0))))
+    spans_pole = F.abs("lat") + reach >= 90
+    half = F.when(spans_pole, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / cosine))) * 1.001)
+    cells = origins.select("lat", "lon", F.explode(F.sequence(band(F.greatest(F.col("lat") - reach, F.lit(-90.0))), band(F.least(F.col("lat") + reach, F.lit(90.0))))).alias("cy"))
+    cells = cells.withColumn("columns", _columns_of(F.col("cy"), size)).withColumn("_half", half)
+    first = F.floor((_east(F.col("lon")) - F.col("_half")) / 360 * F.col("columns"))
+    last = F.floor((_east(F.col("lon")) + F.col("_half")) / 360 * F.col("columns"))
+    cells = cells.withColumn("cx", F.explode(F.sequence(first, F.least(last, first + F.col("columns") - 1)))).drop("_half")
+    cells = cells.withColumns({"cx": F.pmod("cx", "columns"), "level": F.lit(0)})
+    for level in range(LEVELS + 1):
+        low, high = _bounds(size)
+        cells = cells.withColumns({"low": low, "high": high}).where(F.col("low") <= radius_m)
+        if level < LEVELS:
+            settled = (F.col("level") < level) | ((F.col("high") <= radius_m) & (F.col("high") <= 2 * F.col("low")))
+            child = lambda y, x: F.struct((F.col("level") + 1).alias("level"), (F.col("cy") * 2 + y).alias("cy"), (F.col("cx") * 2 + x).alias("cx"))
+            own = F.array(F.struct("level", "cy", "cx"))
+            parts = F.explode(F.when(settled, own).otherwise(F.array(child(0, 0), child(0, 1), child(1, 0), child(1, 1))))
+            cells = cells.select("lat", "lon", "columns", parts.alias("cell")).select("lat", "lon", "columns", "cell.*")
+    return cells.drop("columns").withColumn("whole", F.col("high") <= radius_m)
+
+
 def near_counts(requests: DataFrame, places: DataFrame, kind: str, radius_m: float = 500.0) -> DataFrame:
     """Places of each ``kind`` within the radius of each request, and the nearest distance.
 
-    Copies of a place at one spot, and requests from one spot, are folded before the join.
+    Places are summed up by the cells of a pyramid of grids. The cells inside a request's disc give their sums;
+    single distances are taken only in the small cells that its edge crosses, and, for the nearest place, in the
+    cells that can hold it by the bounds of their distances. No table of all pairs comes about, however
+    dense the places are. Copies of a place at one spot, and requests from one spot, are folded first;
+    rows without coordinates take no part. Discs go on across the antimeridian and over the poles.
     """
-    spots = places.groupBy("lat", "lon", kind).agg(F.count("*").alias("copies"))
-    origins = requests.select("lat", "lon").distinct()
-    found = (
-        near(origins, spots, radius_m)
-        .groupBy("lat", "lon", kind)
-        .agg(F.sum("copies").alias("places"), F.min("distance_m").alias("nearest_m"))
+    size = radius_m / METRES_PER_DEGREE
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    cell = ["level", "cy", "cx"]
+    spots = places.where(known).groupBy("lat", "lon", F.col(kind).alias("_kind")).agg(F.count("*").alias("copies"))
+    spots = materialise(_finest_cells(spots, size).withColumnsRenamed({"lat": "place_lat", "lon": "place_lon"}), "spots")
+    levels = F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright("cy", LEVELS - l).alias("cy"), F.shiftright("cx", LEVELS - l).alias("cx")) for l in range(LEVELS + 1)]))
+    stacked = spots.select("place_lat", "place_lon", "_kind", "copies", levels.alias("cell")).select("place_lat", "place_lon", "_kind", "copies", "cell.*")
+    sums = stacked.groupBy(*cell, "_kind").agg(F.sum("copies").alias("n"))
+    cover = materialise(_cover(requests.where(known).select("lat", "lon").distinct(), radius_m, size), "cover")
+    distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
+    by = ["lat", "lon", "_kind"]
+    inside = cover.where("whole").join(sums, cell)
+    inside = inside.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.min("high").alias("bound"), F.collect_list(F.struct("low", *cell)).alias("cells")  # no more cells than a disc has
     )
-    return attach(requests, found, ["lat", "lon"], "inner").select("request_id", kind, "places", "nearest_m")
+    edge = cover.where("not whole").join(spots, ["cy", "cx"]).withColumn("m", distance).where(F.col("m") <= radius_m)
+    edge = edge.groupBy(*by).agg(F.sum("copies").alias("n_edge"), F.min("m").alias("m_edge"))
+    found = materialise(_both(inside, edge, by), "near")
+    may = F.filter("cells", lambda c: c["low"] <= F.least(F.col("bound"), F.coalesce("m_edge", F.col("bound"))))
+    asked = found.where("cells is not null").select(*by, F.explode(may).alias("cell")).select(*by, "cell.level", "cell.cy", "cell.cx")
+    nearest = asked.join(stacked.withColumnRenamed("_kind", "_other"), cell).where(F.col("_kind").eqNullSafe(F.col("_other")))
+    nearest = nearest.groupBy(*by).agg(F.min(distance).alias("m_inside"))
+    whole = _both(found.drop("cells", "bound"), nearest, by)
+    whole = whole.select("lat", "lon", F.col("_kind").alias(kind), (F.coalesce("n", F.lit(0)) + F.coalesce("n_edge", F.lit(0))).alias("places"), F.least("m_edge", "m_inside").alias("nearest_m"))
+    return attach(requests, whole, ["lat", "lon"], "inner").select("request_id", kind, "places", "nearest_m")
+
+
+def _both(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of both by key, each key once, by an aggregate of the two (keys may be NULL)."""
+    columns = [c for c in dict.fromkeys(one.columns + two.columns) if c not in by]
+    rows = one.unionByName(two, allowMissingColumns=True)
+    return rows.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])
