@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (
-    PCA, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler,
-)
+from pyspark.ml.feature import UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
@@ -41,19 +42,37 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str = "pri
     return table.orderBy(F.desc("importance"), "feature")
 
 
+def covariances(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Population covariances of all pairs of columns over the rows without a gap, in one aggregate."""
+    number = {c: F.col(c).cast("double") for c in columns}
+    whole = reduce(and_, [c.isNotNull() & ~F.isnan(c) for c in number.values()])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    row = df.where(whole).agg(*[F.covar_pop(number[columns[i]], number[columns[j]]).alias(f"{i}_{j}") for i, j in pairs]).first()
+    if row[0] is None:
+        raise ValueError("no row has all columns")
+    out = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"{i}_{j}"]
+    return out
+
+
 def pca_explained(df: DataFrame, features: Sequence[str], wanted: float = 0.9) -> DataFrame:
-    """Per principal component: explained share, running share, whether it is needed for ``wanted``, loadings."""
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    assembled = _assembled(df, features)
-    scaled = scaler.fit(assembled).transform(assembled)
-    model = PCA(k=len(features), inputCol="scaled", outputCol="components").fit(scaled)
-    shares = model.explainedVariance.toArray()
-    loadings = model.pc.toArray()
+    """Per principal component of the standardised features: explained share, running share, whether it is needed for ``wanted``, loadings.
+
+    All comes from the features' covariances. A constant feature has no share; a component's largest loading is positive.
+    """
+    matrix = covariances(df, features)
+    spread = np.sqrt(np.diag(matrix))
+    scale = np.where(spread > 0, spread, 1.0)
+    values, vectors = np.linalg.eigh(matrix / np.outer(scale, scale))
+    shares = np.clip(values[::-1], 0, None) / max(values.sum(), 1e-300)
+    loadings = vectors[:, ::-1]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(0), np.arange(len(features))])
     rows, total = [], 0.0
     for i, share in enumerate(shares):
         needed = total < wanted
         total += float(share)
-        rows.append((i + 1, float(share), total, needed, {f: float(loadings[j][i]) for j, f in enumerate(features)}))
+        rows.append((i + 1, float(share), total, bool(needed), {f: float(loadings[j][i]) for j, f in enumerate(features)}))
     schema = "component int, explained double, cumulative double, needed boolean, loadings map<string,double>"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -94,14 +113,18 @@ def drop_collinear(df: DataFrame, features: Sequence[str], label: str = "price",
 
 
 def rfe(df: DataFrame, features: Sequence[str], label: str = "price", keep: int = 3) -> list[str]:
-    """Recursive elimination: refit a linear model and drop the smallest coefficient until ``keep`` stay."""
-    rows = materialise(df.select(*features, label))
-    left = list(features)
+    """Recursive elimination: fit a linear model, drop the smallest coefficient, until ``keep`` stay.
+
+    Every fit is solved from the same covariances, taken in one pass. Where features determine each other the
+    solution of least norm counts; of equal coefficients the last goes.
+    """
+    matrix = covariances(df, [*features, label])
+    left = list(range(len(features)))
     while len(left) > keep:
-        fitted = LinearRegression(labelCol=label, standardization=False).fit(_assembled(rows, left, label))
-        weights = [abs(w) for w in fitted.coefficients.toArray()]
-        left.pop(weights.index(min(weights)))
-    return left
+        weights = np.abs(np.linalg.pinv(matrix[np.ix_(left, left)], rcond=1e-10, hermitian=True) @ matrix[left, -1])
+        least = np.flatnonzero(weights <= weights.min() * (1 + 1e-6) + 1e-12)
+        left.pop(int(least[-1]))
+    return [features[i] for i in left]
 
 
 def compare_models(
