@@ -10,9 +10,6 @@ Copies with equal fingerprints are folded to one before indexing. Lists stream t
 key; a list of many close fingerprints never has its pairs written out: a task keeps a spanning forest of
 the links it has verified, and a list beyond ``LIST_PAIRS`` fingerprints is linked through half-way values,
 which takes time in proportion to its length.
-
-Texts of a given shingle similarity differ in too many bits for a guaranteed minimum of shared bytes. They
-are indexed by their rarest shingles, of which similar sets must share one, and linked by their sets.
 """
 
 from __future__ import annotations
@@ -39,19 +36,6 @@ LIST_PAIRS = 8192
 _STEP = 65_536
 
 
-#: For texts of a given similarity the SimHash has 128 bits and only tells which pairs to look at.
-LANES = 2
-_MIX = [0x0, 0x9E3779B97F4A7C15]
-#: Sets of fewer shingles are looked at whatever their SimHash.
-FEW = 64
-#: Texts, and shingles frequent in them, that the order of shingles is taken from.
-ORDER_ROWS = 10_000
-ORDER_SHINGLES = 200_000
-#: A block of texts that are held against each other has about so many rows, or shingles.
-BLOCK_ROWS = 256
-BLOCK_SHINGLES = 1 << 20
-
-
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each of the 64 bits, by lanes of eight counters in one word."""
     lanes = np.uint64(0x0101010101010101)
@@ -238,6 +222,22 @@ def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _component_table(
+    documents: DataFrame, doc_id: str, text: str, shingle: int, bits: int, carry: list[str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """The written rows with their fingerprints, and (fingerprint, component_id, keeper) of every distinct fingerprint."""
+    prints = materialise(fingerprints(documents, text, shingle, carry), "fingerprints")
+    own = F.struct(F.col("row")[doc_id].isNull().alias("none"), F.col("row")[doc_id].alias("id"), "rid")
+    distinct = materialise(prints.groupBy("fingerprint").agg(F.min(own).alias("low")), "distinct-fingerprints")
+    joined = components(materialise(links(distinct.select("fingerprint"), bits), "links"))
+    known = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select(
+        "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")
+    )
+    lowest = known.groupBy("root").agg(F.min("low").alias("lowest"))
+    table = known.join(lowest, "root").select("fingerprint", F.col("lowest.id").alias("component_id"), F.col("lowest.rid").alias("keeper"))
+    return prints, materialise(table, "components")
+
+
 def groups(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS, carry: list[str] | None = None
 ) -> DataFrame:
@@ -248,16 +248,7 @@ def groups(
     true for one row of each group: one with that doc_id. The fingerprints are written once to the shared
     folder, with the ``carry`` columns (all by default) as ``row``.
     """
-    prints = materialise(fingerprints(documents, text, shingle, carry), "fingerprints")
-    own = F.struct(F.col("row")[doc_id].isNull().alias("none"), F.col("row")[doc_id].alias("id"), "rid")
-    distinct = materialise(prints.groupBy("fingerprint").agg(F.min(own).alias("low")), "distinct-fingerprints")
-    joined = components(materialise(links(distinct.select("fingerprint"), bits), "links"))
-    known = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select(
-        "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")
-    )
-    lowest = known.groupBy("root").agg(F.min("low").alias("lowest"))
-    table = known.join(lowest, "root").select("fingerprint", F.col("lowest.id").alias("component_id"), F.col("lowest.rid").alias("keeper"))
-    table = materialise(table, "components")
+    prints, table = _component_table(documents, doc_id, text, shingle, bits, carry)
     return prints.join(table, "fingerprint").select("row", "fingerprint", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
 
 
@@ -271,28 +262,6 @@ def report(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return found.select(F.col("row")[doc_id].alias(doc_id), hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def similar_bits(similarity: float, lanes: int = LANES) -> int:
-    """Differing bits beyond which texts of a given shingle similarity lie in one of a thousand million cases.
-
-    Shingle sets of similarity s meet at an angle of cosine 2 s / (1 + s) at most; a bit differs with a chance
-    of angle / pi. Six standard deviations are added.
-    """
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * lanes * chance + 6 * np.sqrt(64 * lanes * chance * (1 - chance)))
-
-
-def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of one text, ascending."""
-    parts = [np.unique(h) for h in _shingle_hashes(text, shingle)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def _set_bits(hashes: np.ndarray, lanes: int = LANES) -> list[int]:
-    """SimHash of ``lanes`` words in which each distinct shingle votes once."""
-    votes = np.stack([_bit_counts(arrow_text._mixed(hashes ^ np.uint64(_MIX[lane]))) for lane in range(lanes)])
-    return np.packbits(2 * votes > max(1, len(hashes)), axis=1, bitorder="little").view(np.int64).ravel().tolist()
-
-
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
     for piece in arrow_text.pieces(batch, "text"):
         data, offsets = arrow_text.buffers(piece.column("text"))
@@ -300,248 +269,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Iterator[byt
         yield piece, (raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
 
 
-def set_prints(documents: DataFrame, text: str = "text", shingle: int = 5, carry: list[str] | None = None) -> DataFrame:
-    """Every given row as ``row``, with ``text``, ``rid``, and of its shingle set a ``digest``, ``size``, ``w0`` and ``w1``."""
-    row = F.struct(*carry) if carry else F.struct(*[c for c in documents.columns if c != text], F.lit(None).cast("string").alias(text))
-    out = documents.select(row.alias("row"), F.col(text).cast("string").alias("text"))
-    fields = [T.StructField("digest", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("size", "w0", "w1", "rid"))]
-    schema = T.StructType([*out.schema.fields, *fields])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece, texts in _texts(batch):
-                found = []
-                for one in texts:
-                    hashes = _shingle_set(one, shingle)
-                    found.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), *_set_bits(hashes)))
-                digests, *numbers = zip(*found, strict=True)
-                columns = [pa.array(digests, pa.binary()), *(pa.array(n, pa.int64()) for n in numbers)]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *columns, pa.array(np.arange(rid, rid + len(found)))], schema.names)
-                rid += len(found)
-
-    return out.mapInArrow(mark, schema)
-
-
-def _frequent(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (hashes, ascending) that several of about ``ORDER_ROWS`` texts have, and in how many: no more than an order."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, some in _texts(batch):
-                for one in some:
-                    yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(one, shingle).view(np.int64))], ["h"])
-
-    part = texts.select("text") if rows <= ORDER_ROWS else texts.select("text").sample(ORDER_ROWS / rows, SEED)
-    counts = part.mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
-    hashes, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
-
-
-def _prefix(hashes: np.ndarray, known: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of a set's rarest shingles that two sets of the similarity cannot but share one."""
-    level = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        level = np.where(known[at] == hashes, n[at], 0)
-    return hashes[np.lexsort((hashes, level))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]]
-
-
-def candidates(texts: DataFrame, kept: DataFrame, rows: int, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rids that join all ``kept`` texts (rid) of the similarity, and others, into groups.
-
-    Two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, in whatever order of
-    all shingles: the guaranteed minimum. Rare ones come first, so that a common passage makes no long
-    list. In a list, pairs go on whose sizes allow the similarity and, of sets of ``FEW`` shingles and more,
-    whose SimHash differs in at most ``similar_bits``. Of a list with more such pairs than rows a tree of
-    them comes out: its groups are the list's, and only groups are taken from here.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, rows, shingle))
-    bits, choose = similar_bits(similarity), _choice(texts.sparkSession, kept)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in choose(batches):
-            for piece, some in _texts(batch):
-                keys = [p for one in some if len(p := _shingle_set(one, shingle))]
-                kept = [_prefix(k, *shared.value, similarity) for k in keys]
-                if kept:
-                    values = np.stack([piece.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "w0", "w1", "size")], 1)
-                    values = values[values[:, 3] > 0]
-                    rows = np.repeat(values, [len(k) for k in kept], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(kept).view(np.int64), *rows.T.copy())], names)
-
-    names = ["key", "id", "w0", "w1", "size"]
-    posted = texts.select("text", "rid", "w0", "w1", "size").mapInArrow(post, ", ".join(f"{n} long" for n in names))
-    posted = posted.repartition("key").sortWithinPartitions("key")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, len(names)), np.int64)
-        for batch in batches:
-            rows = np.concatenate((held, np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)))
-            cut = np.searchsorted(rows[:, 0], rows[-1, 0], "left") if len(rows) else 0
-            held = rows[cut:]
-            if cut:
-                yield _list_links(rows[:cut], bits, similarity)
-        if len(held):
-            yield _list_links(held, bits, similarity)
-        arrow_text.release()
-
-    return posted.mapInArrow(search, "a long, b long").distinct()
-
-
-def _may(one: np.ndarray, two: np.ndarray, bits: int, similarity: float) -> np.ndarray:
-    """Which pairs of posted rows (id, w0, w1, size) may have the similarity."""
-    a, b = one[..., 3], two[..., 3]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    apart = sum(np.bitwise_count((one[..., k] ^ two[..., k]).view(np.uint64)).astype(np.int64) for k in (1, 2))
-    return (low >= similarity * high - 1e-9) & ((apart <= bits) | (low < FEW))
-
-
-def _list_links(rows: np.ndarray, bits: int, similarity: float) -> pa.RecordBatch:
-    """Pairs of a sorted run of lists, the smaller id first; of a list with more pairs than rows a tree of them."""
-    key, rows = rows[:, 0], np.ascontiguousarray(rows[:, 1:])
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sizes = np.diff(np.append(starts, len(key)))
-    short = np.repeat(sizes <= 8, sizes)
-    found = [np.zeros((0, 2), np.int64)]
-    for step in range(1, min(int(sizes.max()), 8)):
-        a = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
-        a = a[_may(rows[a], rows[a + step], bits, similarity)]
-        found.append(np.stack((rows[a, 0], rows[a + step, 0]), 1))
-    for i in np.flatnonzero(sizes > 8):
-        found += _long_list(rows[starts[i] : starts[i] + sizes[i]], bits, similarity)
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _long_list(rows: np.ndarray, bits: int, similarity: float) -> list[np.ndarray]:
-    """Links of one list, breadth first from each leader: a row once reached is not met again."""
-    left, out = np.arange(len(rows)), []
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            one = frontier.pop()
-            near = _may(rows[left], rows[one], bits, similarity)
-            new, left = left[near], left[~near]
-            out.append(np.stack((np.full(len(new), rows[one, 0]), rows[new, 0]), 1))
-            frontier += new.tolist()
-    return out
-
-
-def _set_links(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Links of one block by the similarity of the sets themselves, breadth first from each leader."""
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(len(place), bool)
-    left, out = np.arange(len(ids)), [np.zeros((0, 2), np.int64)]
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            one = frontier.pop()
-            mine = place[starts[one] : starts[one] + sizes[one]]
-            mark[mine] = True
-            common = np.add.reduceat(mark[place], starts, dtype=np.int64)[left]
-            mark[mine] = False
-            near = common >= similarity * (sizes[one] + sizes[left] - common) - 1e-9
-            new, left = left[near], left[~near]
-            out.append(np.stack((np.full(len(new), ids[one]), ids[new]), 1))
-            frontier += new.tolist()
-    return np.concatenate(out)
-
-
-def _verified(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the rows (root, i, j, id) of each block whose shingle sets (id, set) are similar."""
-    rows = blocks.join(sets, "id").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, held = None, [], []
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
-            for key, number, one in zip(keys, batch.column("id").to_pylist(), batch.column("set"), strict=True):
-                if key != block:
-                    if len(ids) > 1:
-                        yield links_of(ids, held)
-                    block, ids, held = key, [], []
-                ids.append(number)
-                held.append(np.frombuffer(one.as_py(), np.uint64))
-        if len(ids) > 1:
-            yield links_of(ids, held)
-        arrow_text.release()
-
-    def links_of(ids: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = _set_links(np.array(ids), held, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return rows.select("root", "i", "j", "id", "set").mapInArrow(check, "a long, b long")
-
-
-def _similar_links(texts: DataFrame, kept: DataFrame, rows: int, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of rids that join all ``kept`` texts (rid) of the similarity into the right groups.
-
-    A group of candidates is cut into blocks. First each block is linked, with about eight rows of all
-    its group; groups that this does not make one are then held block against block.
-    """
-    pairs = materialise(candidates(texts, kept, rows, shingle, similarity), "pairs")
-    groups_of = materialise(components(pairs).select(F.col("node").alias("id"), "root"), "candidates")
-
-    choose = _choice(texts.sparkSession, groups_of.select(F.col("id").alias("rid")))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in choose(batches):
-            for piece, some in _texts(batch):
-                sets = pa.array([_shingle_set(one, shingle).tobytes() for one in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("size"), sets], ["id", "size", "set"])
-
-    sets = materialise(texts.select("text", "rid", "size").mapInArrow(emit, "id long, size long, set binary"), "sets")
-    members = groups_of.join(sets.select("id", "size"), "id")
-    shape = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
-    parts = F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES))
-    shape = shape.select("root", parts.alias("parts"), F.greatest(F.lit(1), F.floor(F.col("k") / 8)).alias("every"))
-    members = members.join(shape, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
-    members = materialise(members, "members")
-    everywhere = F.pmod(F.xxhash64("id", F.lit(1)), F.col("every")) == 0
-    every_part = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    first = members.select("root", "id", F.explode(F.when(everywhere, every_part).otherwise(F.array("own"))).alias("i")).withColumn("j", F.col("i"))
-    links_ = materialise(_verified(first, sets.select("id", "set"), similarity), "first-links")
-    joined = components(links_)
-    known = members.where("parts > 1").join(joined, F.col("id") == F.col("node"), "left").select(members["root"], F.coalesce(joined["root"], "id").alias("label"))
-    apart = known.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("root")
-    apart = materialise(apart, "unjoined")
-    if apart.isEmpty():
-        return links_
-    other = members.join(apart, "root", "left_semi").select("root", "id", "own", F.explode(every_part).alias("part")).where("part <> own")
-    other = other.select("root", "id", F.least("own", "part").alias("i"), F.greatest("own", "part").alias("j"))
-    return links_.unionByName(_verified(other, sets.select("id", "set"), similarity))
-
-
-def _similar_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The written rows with their sets' digests, and (digest, component_id, keeper) of their groups of similar texts.
-
-    Only texts of one shingle set fold to one before indexing. Links are decided by the Jaccard similarity of
-    the sets of 64-bit shingle hashes; no estimate decides.
-    """
-    prints = materialise(set_prints(documents, text, shingle, carry), "set-prints")
-    own = F.struct(F.col("row")[doc_id].isNull().alias("none"), F.col("row")[doc_id].alias("id"), "rid")
-    distinct = prints.groupBy("digest").agg(F.min(own).alias("low")).withColumn("id", F.col("low.rid"))
-    distinct = materialise(distinct, "distinct-sets")
-    texts, one_each = prints.select("text", "rid", "w0", "w1", "size"), distinct.select(F.col("id").alias("rid"))
-    joined = components(_similar_links(texts, one_each, prints.count(), shingle, similarity))
-    known = distinct.join(joined, distinct["id"] == joined["node"], "left").select("digest", "low", F.coalesce("root", "id").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("low").alias("lowest"))
-    table = known.join(lowest, "root").select("digest", F.col("lowest.id").alias("component_id"), F.col("lowest.rid").alias("keeper"))
-    table = materialise(table, "components")
-    return prints, table
-
-
-def similar_groups(documents: DataFrame, doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
-    """As ``groups``, linking texts of the given shingle similarity: ``row``, ``component_id``, ``kept``."""
-    carry = carry or documents.columns
-    prints, table = _similar_table(documents, doc_id, "text", shingle, similarity, carry)
-    return prints.select("row", "digest", "rid").join(table, "digest").select("row", "component_id", (F.col("rid") == F.col("keeper")).alias("kept"))
-
-
 def _choice(spark: SparkSession, kept: DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Filters batches to the rows whose ``rid`` is among those of ``kept``, without moving the rows.
 
@@ -580,8 +307,12 @@ def _numbers(system: fs.FileSystem, place: str) -> np.ndarray:
     return np.concatenate([t.column("number").to_numpy() for t in tables]) if tables else np.zeros(0, np.int64)
 
 
-def keep_one(documents: DataFrame, doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of similar texts, the one with the smallest doc_id, with the columns it came with."""
-    prints, table = _similar_table(documents, doc_id, "text", shingle, similarity)
-    rows = _only(prints.select("row", "text", "rid"), table.select(F.col("keeper").alias("rid")).distinct())
-    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])
+def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of each group of ``groups``, the one with the smallest doc_id, with the columns it came with.
+
+    Rows without doc_id give way to any row that has one. Texts aren't shuffled: each task's written rows are
+    filtered where they lie.
+    """
+    prints, table = _component_table(documents, doc_id, text, shingle, bits, None)
+    rows = _only(prints.select("row", "rid"), table.select(F.col("keeper").alias("rid")).distinct())
+    return rows.select(*[F.col("row")[c].alias(c) for c in documents.columns])
