@@ -4,8 +4,9 @@ A text is the set of its terms, and of those it repeats, hashed to ``BUCKETS``.
 weight for each present term and the inner products of the factors of each pair of present terms, so that
 pairs count beyond the sum of their weights. The machine is fitted on at most ``CLASS_ROWS`` labelled rows
 of either class (those with the smallest hash of the id), with each class weighted to its share of all
-labelled rows; the fit sees at most ``TERMS`` buckets, those that tell the classes apart. Scoring is one pass
-over the texts without a shuffle.
+labelled rows. Terms have weights where the residuals of the machine so far stand out for them, or for a pair
+that they are in, by more than noise over all buckets would; however many there are. Scoring is one pass over
+the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from barriometrics.llm import arrow_text
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 CLASS_ROWS = 6_000
-TERMS = 256
 FACTORS = 4
 PASSES = 60
 ROUNDS = 12
-#: Standard deviations that a term must stand out by.
-STANDS_OUT = 6.0
+#: Standard deviations that noise over all buckets, and over all pairs of frequent terms, reaches but rarely.
+STANDS_OUT = float(np.sqrt(2 * np.log(BUCKETS)))
+PAIR_STANDS_OUT = 6.5
 THRESHOLD = 0.7
 _SEED = 7
 
@@ -60,19 +61,23 @@ class Machine:
     def scores(self, column: pa.Array) -> np.ndarray:
         row, bucket, rows = _terms(column)
         term = self.place[bucket]
-        row, term = row[term >= 0], term[term >= 0]
+        return 1.0 / (1.0 + np.exp(-self.totals(row[term >= 0], term[term >= 0], rows)))
+
+    def totals(self, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+        """Log odds of each row, given its terms as (row, term) pairs."""
         total = self.bias + np.bincount(row, self.weights[term], rows)
         for k in range(self.factors.shape[1]):
             f = self.factors[term, k]
             total += 0.5 * (np.bincount(row, f, rows) ** 2 - np.bincount(row, f * f, rows))
-        return 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
+        return np.clip(total, -60, 60)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, terms: int = TERMS, factors: int = FACTORS, passes: int = PASSES) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, factors: int = FACTORS, passes: int = PASSES) -> Machine:
     """Fit on rows of buckets with 0/1 labels; ``share`` is that of label 1 among all labelled rows.
 
-    Terms enter in rounds: those that what is left unexplained stands out for most, so that a term which
-    only keeps company with telling ones stays out.
+    Terms enter in rounds, so that a term which only keeps company with telling ones stays out: in each round
+    those that what is left unexplained stands out for at least half as much as for the strongest, in the last
+    round all that stand out, then the terms of pairs that toxic rows left unexplained have in common.
     """
     place = np.full(BUCKETS, -1, np.int32)
     share = min(0.999, max(0.001, share))
@@ -83,45 +88,87 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, terms: int = T
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     rate = ones / len(labels)
-    weight = np.where(labels == 1, share / rate, (1 - share) / (1 - rate))
+    weight = np.where(labels == 1, share / rate, (1 - share) / (1 - rate)).astype(np.float32)
+    machine = Machine(place, start, np.zeros(0), np.zeros((0, factors)))
     chosen = np.zeros(0, np.int64)
-    expected, bar = np.full(len(rows), rate), None
-    bias, w, v = start, np.zeros(0), np.zeros((0, factors))
-    for _ in range(ROUNDS):
-        odds = expected * (rate / (1 - rate)) / (share / (1 - share)) if len(chosen) else None
-        p = expected if odds is None else odds / (1 - expected + odds)  # as the sample's classes are mixed
-        z = np.bincount(flat, (labels - p)[owner], BUCKETS) / np.sqrt(np.bincount(flat, (p * (1 - p))[owner], BUCKETS) + 1.0)
-        z[chosen] = 0
-        bar = max(STANDS_OUT, 0.25 * np.abs(z).max()) if bar is None else bar
-        best = np.argsort(-np.abs(z), kind="stable")[: terms - len(chosen)]
-        best = best[np.abs(z[best]) >= max(bar, 0.5 * np.abs(z).max())]
-        if not len(best):
-            break
+    p = np.full(len(rows), rate)
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            z = np.bincount(flat, (labels - p)[owner], BUCKETS) / np.sqrt(np.bincount(flat, (p * (1 - p))[owner], BUCKETS) + 1.0)
+            z[chosen] = 0
+            top = np.abs(z).max()
+            best = np.flatnonzero(np.abs(z) >= max(STANDS_OUT, 0.5 * top if turn < ROUNDS - 1 else 0.0))
+            if not len(best):
+                continue  # nothing changes before the pairs
+        else:
+            best = np.setdiff1d(_pair_terms(rows, labels, p), chosen)
+            if not len(best):
+                break
         place[best] = len(chosen) + np.arange(len(best))
         chosen = np.concatenate((chosen, best))
         term = place[flat]
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        x[owner[term >= 0], term[term >= 0]] = 1.0
-        bias, w, v = _descend(x, labels.astype(np.float32), weight.astype(np.float32), start, factors, passes)
-        s = x @ v
-        total = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
-        expected = 1 / (1 + np.exp(-np.clip(total.astype(np.float64), -30, 30)))
-    return Machine(place, float(bias), w.astype(np.float64), v.astype(np.float64))
+        known = term >= 0
+        lists = np.split(term[known], np.cumsum(np.bincount(owner[known], minlength=len(rows)))[:-1])
+        bias, w, v = _descend(lists, labels.astype(np.float32), weight, start, factors, passes)
+        machine = Machine(place, float(bias), w.astype(np.float64), v.astype(np.float64))
+        odds = np.exp(machine.totals(owner[known], term[known], len(rows))) * (rate / (1 - rate)) / (share / (1 - share))
+        p = odds / (1 + odds)  # as the sample's classes are mixed
+    return machine
+
 
+def _pair_terms(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that the residuals stand out for, the pairs found in toxic rows that ``p`` leaves unexplained.
 
-def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: float, factors: int, passes: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam over shuffled batches, with a little decay; the same for the same rows."""
+    A pair that stands out by ``PAIR_STANDS_OUT`` deviations is in at least so many of those rows, so only
+    buckets that are in as many of them can be in one. Each such bucket is held against the rest at once.
+    """
+    left = np.flatnonzero((labels == 1) & (p < 0.5))
+    least = int(np.ceil(PAIR_STANDS_OUT))
+    if len(left) < least:
+        return np.zeros(0, np.int64)
+    often = np.flatnonzero(np.bincount(np.concatenate([rows[i] for i in left]), minlength=BUCKETS) >= least)
+    code = np.full(BUCKETS, -1, np.int32)
+    code[often] = np.arange(len(often))
+    own = [k[k >= 0] for k in (code[r] for r in rows)]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in own])
+    flat = np.concatenate(own)
+    order = np.argsort(flat, kind="stable")
+    holders = np.split(owner[order], np.cumsum(np.bincount(flat, minlength=len(often)))[:-1])
+    unexplained = np.zeros(len(rows), bool)
+    unexplained[left] = True
+    residual, spread = labels - p, p * (1 - p)
+    found = np.zeros(len(often), bool)
+    for a, mine in enumerate(holders):
+        some = [own[i] for i in mine[unexplained[mine]]]
+        other = np.bincount(np.concatenate(some), minlength=len(often)) >= least
+        other[: a + 1] = False
+        if not other.any():
+            continue
+        lists = [own[i] for i in mine]
+        sizes, terms = [len(k) for k in lists], np.concatenate(lists)
+        z = np.bincount(terms, np.repeat(residual[mine], sizes), len(often)) / np.sqrt(np.bincount(terms, np.repeat(spread[mine], sizes), len(often)) + 1.0)
+        other &= z >= PAIR_STANDS_OUT
+        found |= other
+        found[a] |= other.any()
+    return often[found]
+
+
+def _descend(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, start: float, factors: int, passes: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam over shuffled batches of rows of terms, with a little decay; the same for the same rows."""
     rng = np.random.default_rng(_SEED)
-    values = [np.array([start], np.float32), np.zeros(x.shape[1], np.float32), (0.01 * rng.standard_normal((x.shape[1], factors))).astype(np.float32)]
+    terms = 1 + max((int(r.max()) for r in rows if len(r)), default=-1)
+    values = [np.array([start], np.float32), np.zeros(terms, np.float32), (0.01 * rng.standard_normal((terms, factors))).astype(np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in values]
     step, batch = 0, 256
-    decay = 0.2 / max(200, len(x))
-    total_steps = max(1500, passes * len(x) // batch)
+    decay = 0.2 / max(200, len(rows))
+    total_steps = max(1500, passes * len(rows) // batch)
     while step < total_steps:
-        order = rng.permutation(len(x))
+        order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]
-            xb, (bias, w, v) = x[part], values
+            xb, (bias, w, v) = np.zeros((len(part), terms), np.float32), values
+            lists = [rows[i] for i in part]
+            xb[np.repeat(np.arange(len(part)), [len(r) for r in lists]), np.concatenate(lists)] = 1.0
             s = xb @ v
             total = bias[0] + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
             error = weight[part] * (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y[part]) / len(part)
