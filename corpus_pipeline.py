@@ -1,7 +1,7 @@
 """From raw documents to token ids, in four stages; each works on all that the one before it kept.
 
 1. toxicity: documents that the factorization machine rejects go;
-2. simhash: of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays;
+2. simhash: of each group of near-duplicates (SimHash of four-word shingles, at most 4 differing bits) one document stays;
 3. decontamination: documents that hold a benchmark passage go;
 4. sentencepiece: the rest is encoded, with parity and round trip checked.
 
