@@ -84,6 +84,19 @@ def test_attach_salted_equals_broadcast(spark, how):
     assert sorted(by_salt.columns) == sorted(by_broadcast.columns)
 
 
+@pytest.mark.parametrize("hot_rows", [100, lookups.HOT_KEY_ROWS])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_attach_never_broadcasts_a_large_table_and_repeats_hot_keys_only(spark, monkeypatch, how, hot_rows):
+    monkeypatch.setattr(lookups, "HOT_KEY_ROWS", hot_rows)
+    rows = [("hot", i) for i in range(1000)] + [(f"k{i}", i) for i in range(50)] + [(None, -1), (None, -2)]
+    big = spark.createDataFrame(rows, "k string, i int").repartition(8)
+    small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
+    found = lookups.attach(big, small, ["k"], how, broadcast_rows=3)
+    assert sorted(map(str, found.collect())) == sorted(map(str, big.join(small, ["k"], how).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "sequence(0, 63" not in plan
+
+
 def test_group_mean_and_lookup(spark):
     rows = [("Recoleta", 10.2), ("Recoleta", None), ("Recoleta", 11.0), ("Tribunales", None), ("Nowhere", None), (None, None)]
     df = spark.createDataFrame(rows, "n string, age double")
