@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barriometrics import dims
@@ -13,6 +17,10 @@ METRES_PER_DEGREE = 111_194.9
 HOT_CELL_ROWS = 100_000
 #: Levels of the pyramid below cells one radius high.
 LEVELS = 4
+#: Most spots, and most origins, of a tile that one task takes at a time; beyond that they are dealt.
+TILE_ROWS = 400_000
+#: Rows of tiles handed to one group, and distances held at once.
+GROUP_ROWS, BLOCK_PAIRS = 100_000, 1_000_000
 
 
 def with_defaults(places: DataFrame) -> DataFrame:
@@ -107,12 +115,10 @@ def _east(lon: Column) -> Column:
     return F.pmod(lon + 180, F.lit(360.0))
 
 
-def _finest_cells(df: DataFrame, size: float) -> DataFrame:
-    """``cy``, ``cx``: the cell of the last level that holds lat, lon; shifting them right gives the coarser ones."""
-    fine = 1 << LEVELS
-    band = F.floor(F.col("lat") / size)
-    column = F.floor(_east(F.col("lon")) / 360 * _columns_of(band, size) * fine)
-    return df.withColumns({"cy": F.floor(F.col("lat") / (size / fine)), "cx": column.cast("long")})
+def _tile(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
+    """The cell one radius high that holds the point: its band and its column."""
+    band = F.floor(lat / size)
+    return band, F.floor(_east(lon) / 360 * _columns_of(band, size)).cast("long")
 
 
 def _bounds(size: float) -> tuple[Column, Column]:
@@ -136,7 +142,7 @@ def _bounds(size: float) -> tuple[Column, Column]:
     return least * (1 - 1e-9), most * (1 + 1e-9)
 
 
-def _cover(origins: DataFrame, radius_m: float, size: float) -> DataFrame:
+def _cover(origins: DataFrame, radius_m: float, size: float, levels: int = LEVELS) -> DataFrame:
     """The cells of each origin's disc: lat, lon, level, cy, cx, low, high, whole.
 
     Whole cells lie inside the disc and are no larger than their distance allows: about a half of it, so that
@@ -154,10 +160,10 @@ def _cover(origins: DataFrame, radius_m: float, size: float) -> DataFrame:
     last = F.floor((_east(F.col("lon")) + F.col("_half")) / 360 * F.col("columns"))
     cells = cells.withColumn("cx", F.explode(F.sequence(first, F.least(last, first + F.col("columns") - 1)))).drop("_half")
     cells = cells.withColumns({"cx": F.pmod("cx", "columns"), "level": F.lit(0)})
-    for level in range(LEVELS + 1):
+    for level in range(levels + 1):
         low, high = _bounds(size)
         cells = cells.withColumns({"low": low, "high": high}).where(F.col("low") <= radius_m)
-        if level < LEVELS:
+        if level < levels:
             settled = (F.col("level") < level) | ((F.col("high") <= radius_m) & (F.col("high") <= 2 * F.col("low")))
             child = lambda y, x: F.struct((F.col("level") + 1).alias("level"), (F.col("cy") * 2 + y).alias("cy"), (F.col("cx") * 2 + x).alias("cx"))
             own = F.array(F.struct("level", "cy", "cx"))
@@ -166,44 +172,96 @@ def _cover(origins: DataFrame, radius_m: float, size: float) -> DataFrame:
     return cells.drop("columns").withColumn("whole", F.col("high") <= radius_m)
 
 
+def _point(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    y, x = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], 1)
+
+
+def _metres(lat, lon, to_lat, to_lon) -> np.ndarray:
+    """As ``haversine_m``."""
+    dlat, dlon = np.radians(to_lat - lat) / 2, np.radians(to_lon - lon) / 2
+    h = np.sin(dlat) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(to_lat)) * np.sin(dlon) ** 2
+    return np.arcsin(np.minimum(1.0, np.sqrt(h))) * (2 * EARTH_RADIUS_M)
+
+
+def _near_block(lat, lon, spot_lat, spot_lon, copies, radius_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each origin the copies of the spots within the radius, and the nearest one's distance.
+
+    Distances are told by squared chords, taken from one of the origins so that none of their digits are lost;
+    the nearest spot and those that lie on the radius by a hair are measured as ``haversine_m`` does.
+    """
+    centre = _point(lat[:1], lon[:1])
+    origin, spot = _point(lat, lon) - centre, _point(spot_lat, spot_lon) - centre
+    chord = -2 * (origin @ spot.T)
+    chord += (origin**2).sum(1)[:, None]
+    chord += (spot**2).sum(1)
+    limit = 4 * np.sin(min(radius_m / EARTH_RADIUS_M / 2, np.pi / 2)) ** 2
+    n = (chord <= limit * (1 - 1e-8)) @ copies
+    doubt = np.nonzero((chord > limit * (1 - 1e-8)) & (chord <= limit * (1 + 1e-8)))
+    inside = _metres(lat[doubt[0]], lon[doubt[0]], spot_lat[doubt[1]], spot_lon[doubt[1]]) <= radius_m
+    np.add.at(n, doubt[0][inside], copies[doubt[1][inside]])
+    nearest = chord.argmin(1)
+    return n, _metres(lat, lon, spot_lat[nearest], spot_lon[nearest])
+
+
+def _near_tile(origins: pd.DataFrame, spots: pd.DataFrame, radius_m: float) -> Iterator[pd.DataFrame]:
+    """lat, lon, kind, n, m of the origins and spots of one tile, kind by kind, some distances at a time."""
+    lat, lon = origins["lat"].to_numpy(), origins["lon"].to_numpy()
+    for at in spots.groupby("kind", dropna=False).indices.values():
+        of_kind = spots.iloc[at]
+        values = [of_kind[c].to_numpy(np.float64) for c in ("place_lat", "place_lon", "copies")]
+        step = max(1, BLOCK_PAIRS // len(at))
+        for start in range(0, len(lat), step):
+            here = slice(start, start + step)
+            n, m = _near_block(lat[here], lon[here], *values, radius_m)
+            found = n > 0
+            yield pd.DataFrame({"lat": lat[here][found], "lon": lon[here][found], "kind": of_kind["kind"].iloc[0], "n": n[found].astype(np.int64), "m": m[found]})
+
+
 def near_counts(requests: DataFrame, places: DataFrame, kind: str, radius_m: float = 500.0) -> DataFrame:
     """Places of each ``kind`` within the radius of each request, and the nearest distance.
 
-    Places are summed up by the cells of a pyramid of grids. The cells inside a request's disc give their sums;
-    single distances are taken only in the small cells that its edge crosses, and, for the nearest place, in the
-    cells that can hold it by the bounds of their distances. No table of all pairs comes about, however
-    dense the places are. Copies of a place at one spot, and requests from one spot, are folded first;
-    rows without coordinates take no part. Discs go on across the antimeridian and over the poles.
+    Requests meet the places by tiles, cells one radius high: a request goes to its own tile, a place to the tiles
+    with a request whose disc touches its cell. A task works a tile's distances out in blocks and hands on one row
+    a request and kind, so what is shuffled grows with the rows, not with the pairs. A tile with very many of
+    either is dealt over groups whose counts add up. Copies of a place at one spot, and requests from one spot,
+    are folded first; rows without coordinates take no part. Discs go on across the antimeridian and over the poles.
     """
     size = radius_m / METRES_PER_DEGREE
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
-    cell = ["level", "cy", "cx"]
-    spots = places.where(known).groupBy("lat", "lon", F.col(kind).alias("_kind")).agg(F.count("*").alias("copies"))
-    spots = materialise(_finest_cells(spots, size).withColumnsRenamed({"lat": "place_lat", "lon": "place_lon"}), "spots")
-    levels = F.explode(F.array(*[F.struct(F.lit(l).alias("level"), F.shiftright("cy", LEVELS - l).alias("cy"), F.shiftright("cx", LEVELS - l).alias("cx")) for l in range(LEVELS + 1)]))
-    stacked = spots.select("place_lat", "place_lon", "_kind", "copies", levels.alias("cell")).select("place_lat", "place_lon", "_kind", "copies", "cell.*")
-    sums = stacked.groupBy(*cell, "_kind").agg(F.sum("copies").alias("n"))
-    cover = materialise(_cover(requests.where(known).select("lat", "lon").distinct(), radius_m, size), "cover")
-    distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    by = ["lat", "lon", "_kind"]
-    inside = cover.where("whole").join(sums, cell)
-    inside = inside.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.min("high").alias("bound"), F.collect_list(F.struct("low", *cell)).alias("cells")  # no more cells than a disc has
-    )
-    edge = cover.where("not whole").join(spots, ["cy", "cx"]).withColumn("m", distance).where(F.col("m") <= radius_m)
-    edge = edge.groupBy(*by).agg(F.sum("copies").alias("n_edge"), F.min("m").alias("m_edge"))
-    found = materialise(_both(inside, edge, by), "near")
-    may = F.filter("cells", lambda c: c["low"] <= F.least(F.col("bound"), F.coalesce("m_edge", F.col("bound"))))
-    asked = found.where("cells is not null").select(*by, F.explode(may).alias("cell")).select(*by, "cell.level", "cell.cy", "cell.cx")
-    nearest = asked.join(stacked.withColumnRenamed("_kind", "_other"), cell).where(F.col("_kind").eqNullSafe(F.col("_other")))
-    nearest = nearest.groupBy(*by).agg(F.min(distance).alias("m_inside"))
-    whole = _both(found.drop("cells", "bound"), nearest, by)
-    whole = whole.select("lat", "lon", F.col("_kind").alias(kind), (F.coalesce("n", F.lit(0)) + F.coalesce("n_edge", F.lit(0))).alias("places"), F.least("m_edge", "m_inside").alias("nearest_m"))
+    tile, cell = ["ty", "tx"], ["cy", "cx"]
+    ty, tx = _tile(F.col("lat"), F.col("lon"), size)
+    spots = places.where(known).groupBy("lat", "lon", F.col(kind).cast("string").alias("kind")).agg(F.count("*").alias("copies"))
+    spots = materialise(spots.withColumns({"cy": ty, "cx": tx}).withColumnsRenamed({"lat": "place_lat", "lon": "place_lon"}), "spots")
+    origins = materialise(requests.where(known).select("lat", "lon").distinct().withColumns({"ty": ty, "tx": tx}), "origins")
+    links = materialise(_cover(origins, radius_m, size, levels=0).select(ty.alias("ty"), tx.alias("tx"), *cell).distinct(), "links")
+
+    # How many groups the spots, and the origins, of a tile are dealt over.
+    weight = links.join(spots.groupBy(*cell).agg(F.count("*").alias("spots")), cell).groupBy(*tile).agg(F.sum("spots").alias("spots"))
+    weight = materialise(weight.join(origins.groupBy(*tile).agg(F.count("*").alias("origins")), tile), "tiles")
+    total = weight.agg(F.coalesce(F.sum(F.col("spots") + F.col("origins")), F.lit(0))).first()[0]
+    groups = max(64, int(total) // GROUP_ROWS)
+    parts = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    hot = weight.where((F.col("spots") > TILE_ROWS) | (F.col("origins") > TILE_ROWS)).select(*tile, parts("spots").alias("_spots"), parts("origins").alias("_origins"))
+    hot = F.broadcast(materialise(hot, "hot-tiles"))
+
+    def dealt(df: DataFrame, own: str, other: str, *by: str) -> DataFrame:
+        n, m = F.coalesce(f"_{own}", F.lit(1)), F.coalesce(f"_{other}", F.lit(1))
+        df = df.join(hot, tile, "left").withColumn(own, F.pmod(F.xxhash64(*by), n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), m - 1)))
+        return df.drop("_spots", "_origins").withColumn("group", F.pmod(F.xxhash64(*tile, "spots", "origins"), F.lit(groups)))
+
+    tiles_of = links.groupBy(*cell).agg(F.collect_list(F.struct(*tile)).alias("tiles"))  # some ten a cell
+    offered = attach(spots, tiles_of, cell, "inner").select("place_lat", "place_lon", "kind", "copies", F.inline("tiles"))
+    offered = dealt(offered, "spots", "origins", "place_lat", "place_lon", "kind")
+    asked = dealt(origins, "origins", "spots", "lat", "lon")
+    key = [*tile, "spots", "origins"]
+
+    def count(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        of = offered.groupby(key).indices
+        found = [x for k, at in asked.groupby(key).indices.items() if k in of for x in _near_tile(asked.iloc[at], offered.iloc[of[k]], radius_m)]
+        return pd.concat(found) if found else pd.DataFrame(columns=["lat", "lon", "kind", "n", "m"])
+
+    found = asked.groupBy("group").cogroup(offered.groupBy("group")).applyInPandas(count, "lat double, lon double, kind string, n long, m double")
+    whole = found.groupBy("lat", "lon", "kind").agg(F.sum("n").alias("places"), F.min("m").alias("nearest_m"))
+    whole = whole.select("lat", "lon", F.col("kind").cast(places.schema[kind].dataType).alias(kind), "places", "nearest_m")
     return attach(requests, whole, ["lat", "lon"], "inner").select("request_id", kind, "places", "nearest_m")
-
-
-def _both(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of both by key, each key once, by an aggregate of the two (keys may be NULL)."""
-    columns = [c for c in dict.fromkeys(one.columns + two.columns) if c not in by]
-    rows = one.unionByName(two, allowMissingColumns=True)
-    return rows.groupBy(*by).agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns])

@@ -65,3 +65,17 @@ def test_poles_have_few_cells(spark):
 
 def test_nothing_near(spark):
     assert places.near_counts(spark.createDataFrame([(1, 0.0, 0.0)], "request_id long, lat double, lon double"), spark.createDataFrame([(9.0, 9.0, "a")], SCHEMA), "kind").count() == 0
+
+
+def test_tiles_dealt_over_groups_and_rows_shuffled_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(places, "TILE_ROWS", 40, raising=False)
+    monkeypatch.setattr(places, "BLOCK_PAIRS", 100, raising=False)
+    rng = random.Random(5)
+    spots = [(*around(rng, -34.6, -58.4, 0.003), rng.choice(["a", None])) for _ in range(300)]
+    requests = [around(rng, -34.6, -58.4, 0.003) for _ in range(90)]
+    check(spark, requests, spots)
+    written = {}
+    keep = places.materialise
+    monkeypatch.setattr(places, "materialise", lambda df, label: written.setdefault(label, keep(df, label)))
+    check(spark, requests, spots)
+    assert sum(df.count() for df in written.values()) < 2 * (len(spots) + len(requests))
