@@ -7,6 +7,9 @@ by jobs for every level of every tree. Splits, leaves and residuals are those of
 binned features; row subsampling draws how many of a tuple's rows take part.
 
 A fitted model is constant on a tuple: ``score`` predicts each distinct tuple once and joins.
+
+A row's tuple is one binary column (``_tuple``): expressions that compare each feature with each edge make methods
+too long for the JVM to compile, and as many keys to group and join by as there are features.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barriometrics.operators.lookups import attach
 from barriometrics.session import materialise
 
 MAX_BINS = 32
@@ -53,9 +57,6 @@ class BoostedTrees:
             total += self.value[at]
         return total
 
-    def bin_columns(self) -> list[Column]:
-        return [_bin(f, e) for f, e in zip(self.features, self.edges, strict=True)]
-
 
 def _bin(feature: str, edges: Sequence[float]) -> Column:
     """How many edges lie below the value; NULL for NULL and NaN."""
@@ -64,20 +65,36 @@ def _bin(feature: str, edges: Sequence[float]) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), count.cast("short"))
 
 
+def _tuple(features: Sequence[str], edges: Sequence[Sequence[float]]) -> Column:
+    """How many edges of each feature lie below its value, as the bytes of 16-bit numbers; NULL where any value is NULL or NaN."""
+    cuts = [np.array(e, np.float64) for e in edges]
+
+    @F.pandas_udf("binary")
+    def of(*values: pd.Series) -> pd.Series:
+        columns = [v.to_numpy(np.float64) for v in values]
+        gaps = np.logical_or.reduce([np.isnan(c) for c in columns])
+        rows = np.stack([np.searchsorted(e, c) for e, c in zip(cuts, columns, strict=True)], 1).astype(np.int16)
+        found = pd.Series(list(map(bytes, rows.view(np.uint8))), dtype=object)
+        found[gaps] = None
+        return found
+
+    # Not deterministic for the optimizer only: it would else work the column out again below each filter.
+    return of.asNondeterministic()(*[F.col(f).cast("double") for f in features])
+
+
+def _bins(tuples: pd.Series, many: int) -> np.ndarray:
+    """Rows of bins, a column for each feature."""
+    return np.frombuffer(b"".join(tuples), np.int16).reshape(-1, many)
+
+
 def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -> tuple[tuple[float, ...], ...]:
     """Where each feature's bins end: between all its values where they are few, else at even quantiles."""
     steps = [i / max_bins for i in range(1, max_bins)]
-    known = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
-    summary = df.agg(
-        *[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(known.values())],
-        *[F.percentile_approx(c, steps).alias(f"q_{i}") for i, c in enumerate(known.values())],
-    ).first()
-    few = [i for i in range(len(features)) if summary[f"n_{i}"] <= max_bins]
-    values: dict[int, list[float]] = {i: [] for i in few}
-    if few:  # some tens of values each
-        pairs = F.array(*[F.struct(F.lit(i).alias("i"), known[features[i]].alias("v")) for i in few])
-        for i, v in df.select(F.inline(pairs)).where("v is not null").distinct().collect():
-            values[i].append(v)
+    known = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double") + F.lit(0.0)) for f in features]
+    numbers = df.agg(*[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(known)]).first()
+    few = [n <= max_bins for n in numbers]  # some tens of values each
+    summary = df.agg(*[(F.collect_set(c) if few[i] else F.percentile_approx(c, steps)).alias(f"q_{i}") for i, c in enumerate(known)]).first()
+    values = {i: summary[f"q_{i}"] for i in range(len(features)) if few[i]}
     edges = []
     for i in range(len(features)):
         if i in values:
@@ -89,12 +106,10 @@ def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS)
 
 
 def fold(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence[float]], label: str, model: Column) -> DataFrame:
-    """model, b0, b1, ..., n, total: rows and label sum of each tuple of bins. Rows with a gap are left out."""
-    names = [f"b{i}" for i in range(len(features))]
-    value = F.col(label).cast("double")
-    rows = df.select(model.alias("model"), value.alias("y"), *[_bin(f, e).alias(b) for f, e, b in zip(features, edges, names, strict=True)])
-    whole = reduce(and_, [F.col(c).isNotNull() for c in ("model", "y", *names)]) & ~F.isnan("y")
-    return rows.where(whole).groupBy("model", *names).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+    """model, tuple, n, total: rows and label sum of each tuple of bins. Rows with a gap are left out."""
+    named = df.select(*features, model.alias("_model"), F.col(label).cast("double").alias("_y")).where(F.col("_model").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_y"))
+    rows = named.select(F.col("_model").alias("model"), F.col("_y").alias("y"), _tuple(features, edges).alias("tuple")).where("tuple is not null")
+    return rows.groupBy("model", "tuple").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
 
 
 def fit_folded(bins: np.ndarray, n: np.ndarray, total: np.ndarray, params: Mapping[str, object]) -> tuple[float, list[np.ndarray]]:
@@ -193,12 +208,12 @@ def fit(df: DataFrame, features: Sequence[str], label: str, params: Mapping[str,
     """
     edges = bin_edges(df, features, params["maxBins"])
     folded = fold(df, features, edges, label, F.lit("all") if model is None else model)
-    names = [f"b{i}" for i in range(len(features))]
-    settings = dict(params)
+    settings, many = dict(params), len(features)
 
     def grow(tuples: pd.DataFrame) -> pd.DataFrame:
-        tuples = tuples.sort_values(names)  # the same order whatever the partitions were
-        base, arrays = fit_folded(tuples[names].to_numpy(np.int16), tuples["n"].to_numpy(np.int64), tuples["total"].to_numpy(np.float64), settings)
+        bins = _bins(tuples["tuple"], many)
+        order = np.lexsort(bins.T[::-1])  # the same order whatever the partitions were
+        base, arrays = fit_folded(bins[order], tuples["n"].to_numpy(np.int64)[order], tuples["total"].to_numpy(np.float64)[order], settings)
         return pd.DataFrame([(tuples["model"].iloc[0], base, *(a.tobytes() for a in arrays))], columns=[c.split()[0] for c in _MODEL.split(", ")])
 
     if model is not None:
@@ -237,19 +252,19 @@ def score(df: DataFrame, models: Mapping[str, BoostedTrees], into: str, model: C
     if not models:
         return df.select(*kept, F.lit(None).cast("double").alias(into))
     any_ = next(iter(models.values()))
-    names = [f"_b{i}" for i in range(len(any_.features))]
-    keyed = df.select(*kept, (F.lit(next(iter(models))) if model is None else model).alias("_model"), *[c.alias(n) for c, n in zip(any_.bin_columns(), names, strict=True)])
-    whole = reduce(and_, [F.col(n).isNotNull() for n in names]) & F.col("_model").isin(*models)
+    many = len(any_.features)
+    keyed = df.select(*df.columns, (F.lit(next(iter(models))) if model is None else model).alias("_model"))
+    keyed = keyed.select(*kept, "_model", _tuple(any_.features, any_.edges).alias("_tuple"))
     shared = df.sparkSession.sparkContext.broadcast(dict(models))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = np.full(len(batch), np.nan)
-            bins = batch[names].to_numpy(np.int16)
+            bins = _bins(batch["_tuple"], many)
             for name, at in batch.groupby("_model").indices.items():
                 out[at] = shared.value[name].predict(bins[at])
             yield batch.assign(**{into: out})
 
-    tuples = keyed.where(whole).select("_model", *names).distinct()
-    scores = tuples.mapInPandas(predict, f"_model string, {', '.join(f'{n} short' for n in names)}, `{into}` double")
-    return keyed.join(scores, ["_model", *names], "left").select(*kept, into)
+    tuples = keyed.select("_model", "_tuple").where(F.col("_tuple").isNotNull() & F.col("_model").isin(*models)).distinct()
+    scores = tuples.mapInPandas(predict, f"_model string, _tuple binary, `{into}` double")
+    return attach(keyed, scores, ["_model", "_tuple"]).select(*kept, into)

@@ -109,3 +109,14 @@ def test_gaps_and_unknown_models_have_no_score(spark, table):
         boosting.fit(table.limit(0), models.FEATURES, "price", settings)
     with pytest.raises(ValueError):
         models.train_simple(table, params={"trees": 3})
+
+
+def test_tuples_are_those_of_the_bins_and_scores_are_joined_without_sorting_rows(spark, table):
+    edges = [(2.0, 4.5, 9.0), (), (0.0,)]
+    values = [(2.0, 1.0, -0.0), (2.5, 1.0, 0.0), (99.0, 0.0, 1.0), (None, 1.0, 1.0), (float("nan"), 1.0, 1.0), (float("-inf"), 1.0, 2.0)]
+    rows = spark.createDataFrame(values, "x double, y double, z double")
+    found = rows.select(boosting._tuple(["x", "y", "z"], edges).alias("t"), F.struct(*[boosting._bin(f, e) for f, e in zip("xyz", edges)]).alias("b")).collect()
+    assert [None if None in tuple(r["b"]) else tuple(r["b"]) for r in found] == [r["t"] and tuple(np.frombuffer(r["t"], np.int16)) for r in found]
+    fitted = boosting.fit(table, models.FEATURES, "price", models._params({"maxIter": 2, "maxDepth": 2}))
+    plan = boosting.score(table, fitted, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
