@@ -38,30 +38,32 @@ def pages_to_raw(pages: DataFrame, portal: str) -> DataFrame:
 
 def clean_stg(stg: DataFrame, literal_prices: bool = False) -> DataFrame:
     """STG rows to listings that lack nothing but antiquity, names still as written. ``literal_prices`` reads price texts
-    the older way, dollar prices included (they come out as missing)."""
+    the older way, dollar prices included (they come out as missing).
+
+    The narrow rows are written before those with gaps are dropped: a filter above the texts' expressions would be moved below
+    them and spell each out once more for every use. The result is a filter on the written table.
+    """
     df = cleaning.parse_price_text(stg, literal_prices)
     df = cleaning.coerce_numeric(df)
     df = cleaning.fill_garages_zero(df)
-    df = cleaning.drop_missing(df, "price", "total_area")
     df = cleaning.lowercase_description(df)
     df = cleaning.fill_studio(df)
     df = cleaning.fill_rooms_from_text(df)
-    df = cleaning.drop_missing(df, "rooms")
     df = cleaning.derive_bedrooms(df)
     df = cleaning.derive_bathrooms(df)
     keep = [c for c in ("zonaprop_code", "argenprop_code", "snapshot_date") if c in df.columns]
-    return df.select(*keep, *LISTING_COLUMNS)
+    rows = materialise(df.select(*keep, *LISTING_COLUMNS), "cleaned")
+    return cleaning.drop_missing(rows, "price", "total_area", "rooms")
 
 
 def fill_and_map(cleaned: DataFrame, long_aliases: bool = True) -> DataFrame:
     """Antiquity filled and names mapped by one lookup with a row per name as written.
 
-    The narrow rows are written first: the lookup is folded from them and then joined to them.
+    ``cleaned`` is read twice, as a filter on a written table: the lookup is folded from it and then joined to it.
     """
-    rows = materialise(cleaned, "cleaned")
-    names = materialise(cleaning.group_means(rows, "antiquity", "neighborhood"), "names")
+    names = materialise(cleaning.group_means(cleaned, "antiquity", "neighborhood"), "names")
     mapping = neighborhoods.name_mapping(names, "neighborhood", long_aliases)
-    df = attach(rows, names.join(mapping, "neighborhood", "left"), ["neighborhood"])
+    df = attach(cleaned, names.join(mapping, "neighborhood", "left"), ["neighborhood"])
     df = cleaning.impute_lookup(cleaning.fill_from_mean(df, "antiquity"), "antiquity", "neighborhood")
     return df.withColumn("neighborhood", F.col("_mapped")).drop("_mapped")
 
